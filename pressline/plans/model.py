@@ -57,7 +57,7 @@ class Model:
             "cast(doc_id % 23 AS int) AS author_id",
             "concat('post-', doc_id % 180) AS external_id",
             "concat('http://www.Wire.example/story-', doc_id % 950,"
-            " CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '?utm_source=feed&id=7' ELSE '?id=7#top' END) AS url",
+            " CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '?utm_source=feed' ELSE '#top' END) AS url",
             "substr(text, 1, 80) AS title",
             "substr(text, 1, 200) AS excerpt",
             "text AS content",
@@ -324,7 +324,7 @@ SQL_TABLES = {
   SELECT doc_id AS id, CAST(substr(source, 4) AS INTEGER) AS source_id, CAST(doc_id % 7 AS INTEGER) AS category_id,
     CAST(doc_id % 23 AS INTEGER) AS author_id, 'post-' || (doc_id % 180) AS external_id,
     'http://www.Wire.example/story-' || (doc_id % 950) || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/'
-      WHEN 2 THEN '?utm_source=feed&id=7' ELSE '?id=7#top' END AS url,
+      WHEN 2 THEN '?utm_source=feed' ELSE '#top' END AS url,
     substr(text, 1, 80) AS title, substr(text, 1, 200) AS excerpt, text AS content,
     CAST(length(text) - length(replace(text, ' ', '')) + 1 AS INTEGER) AS word_count,
     length(text) - length(replace(text, ' ', '')) + 1 >= 80 AS has_full_content,
@@ -470,6 +470,8 @@ def model_sql(body: str) -> str:
     body = body.strip()
     if not tables:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {tables},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {tables},\n{body[5:]}"
     return f"WITH {tables}\n{body}"
