@@ -91,9 +91,10 @@ def fts_search(queries: Sequence[tuple[int, str]], articles: DataFrame, index: D
     already match and only for queries with phrases or exclusions.
     """
     spark = articles.sparkSession
-    index = build_search_index(articles) if index is None else index
     parsed = [(qid, n, alt) for qid, text in queries for n, alt in enumerate(parse_query(text))]
     wanted = [(qid, n, t, len(set(alt["terms"]))) for qid, n, alt in parsed for t in sorted(set(alt["terms"]))]
+    if index is None:
+        index = build_search_index(articles, only=sorted({t for _, _, t, _ in wanted}))
     schema = "query_id bigint, alternative int, term string, n_terms int"
     lookups = spark.createDataFrame(wanted, schema)
     hits = (

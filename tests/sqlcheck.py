@@ -74,9 +74,9 @@ def main():
             if name in sql:
                 problem, n = compare(run(spark, folder), con, sql[name])
             else:
-                problem, n = "", run(spark, folder).count()
+                problem, n = "", len(run(spark, folder).toPandas())
         except Exception as error:  # report and go on with the next query
-            problem, n = f"{type(error).__name__}: {str(error)[:600]}", -1
+            problem, n = f"{type(error).__name__}: {str(error)[-700:] if "PythonException" in repr(error)[:30] else str(error)[:600]}", -1
         failed += bool(problem)
         state = "FAIL" if problem else ("ok" if name in sql else "rows-only")
         print(f"{state:9} {name:40} {n:8} rows {time.time() - start:6.1f}s {problem}", flush=True)
