@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressline.functions import text as tx
-from pressline.operators.ranking import freshness_order, intelligence_order, rank_all, top_n
+from pressline.operators.ranking import freshness_order, intelligence_order, pick_places, ranked_places, top_n
 from pressline.operators.trends import recent_and_total_views
 
 
@@ -358,31 +358,14 @@ def read_next_for_users(
     # Fewer than ``limit`` rows of a list can hold a higher score when the list is
     # needed at all, so twice the limit plus the viewed rows is always deep enough.
     users = profiles.select("user_id", "preferred_categories", "followed_sources").join(seen, "user_id", "left")
-    needs = users.withColumn("_need", (F.coalesce("_seen", F.lit(0)) + 2 * limit).cast("int")).drop("_seen")
-    deepest = needs.agg(F.max("_need").alias("_deepest"))
-
-    def listed(df, label, key):
-        ranked = rank_all(df, [key], coarse, intelligence_order(), rank="_pos")
-        return ranked.select(
-            F.concat(F.lit(label), F.col(key)).alias("_list"), F.col("_pos").cast("int").alias("_pos"), "id", "category_id",
-            "source_id", *_ORDER_COLUMNS,
-        )
-
-    lists = (
-        listed(base, "s", "source_id").unionByName(listed(base, "c", "category_id"))
-        .unionByName(listed(base.withColumn("_all", F.lit(0)), "a", "_all"))
-    )
-    reachable = lists.join(F.broadcast(deepest)).filter("_pos <= _deepest").drop("_deepest")  # one row
-    names = F.array_distinct(
-        F.concat(
-            F.transform("followed_sources", lambda x: F.concat(F.lit("s"), x)),
-            F.transform("preferred_categories", lambda x: F.concat(F.lit("c"), x)), F.array(F.lit("a0")),
-        )
-    )
-    places = needs.select("user_id", "_need", F.explode(names).alias("_list")).select(
-        "user_id", "_list", F.explode(F.sequence(F.lit(1), F.col("_need"))).alias("_pos")
+    lists = F.concat(
+        F.transform("followed_sources", lambda x: F.concat(F.lit("s"), x)),
+        F.transform("preferred_categories", lambda x: F.concat(F.lit("c"), x)), F.array(F.lit("all")),
     )
-    hits = places.join(reachable, ["_list", "_pos"]).drop("_list", "_pos").dropDuplicates(["user_id", "id"])
+    requests = users.select("user_id", (F.coalesce("_seen", F.lit(0)) + 2 * limit).alias("need"), lists.alias("lists"))
+    named = [F.concat(F.lit("s"), "source_id"), F.concat(F.lit("c"), "category_id"), F.lit("all")]
+    places = ranked_places(base, named, coarse, intelligence_order(), ["id", "category_id", "source_id", *_ORDER_COLUMNS])
+    hits = pick_places(requests, places, "user_id")
     fresh = hits.join(viewed, ["user_id", "id"], "left_anti").join(
         profiles.select("user_id", "preferred_categories", "followed_sources"), "user_id"
     )

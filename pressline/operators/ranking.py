@@ -49,6 +49,30 @@ def rank_all(
     return joined.select("l.*", (F.col("_inside") + F.col("r._offset")).alias(rank)).drop("_inside")
 
 
+def ranked_places(base: DataFrame, lists: Sequence[Column], coarse: Sequence[tuple[str, bool]], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+    """Every row once per named list, with its position there: ``(list, pos, ...keep)``.
+
+    ``lists`` are string columns that name the lists a row belongs to.
+    """
+    member = base.withColumn("list", F.explode(F.array(*lists)))
+    ranked = rank_all(member, ["list"], coarse, order, rank="pos")
+    return ranked.select("list", F.col("pos").cast("int").alias("pos"), *keep)
+
+
+def pick_places(requests: DataFrame, places: DataFrame, owner: str) -> DataFrame:
+    """The first ``need`` rows of each of an owner's ``lists``, each row once per owner.
+
+    Rows are looked up by (list, position), so the work is the number of places asked
+    for. ``requests`` is ``(owner, need, lists)``.
+    """
+    deepest = requests.agg(F.max("need").alias("_deepest"))
+    reachable = places.join(F.broadcast(deepest)).filter("pos <= _deepest").drop("_deepest")  # one row
+    wanted = requests.select(owner, "need", F.explode(F.array_distinct("lists")).alias("list")).select(
+        owner, "list", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("pos")
+    )
+    return wanted.join(reachable, ["list", "pos"]).drop("list", "pos").dropDuplicates([owner, "id"])
+
+
 def gap_sessions(
     df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, break_at_gap: bool = False
 ) -> DataFrame:
