@@ -24,14 +24,19 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def build_search_index(articles: DataFrame) -> DataFrame:
+def build_search_index(articles: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     """Q1: postings ``(term, id, tf_title, tf_excerpt, tf_content, weight)``.
 
     All occurrences of a term in an article come from one row, so they are combined
-    before the shuffle; a frequent term spreads over its articles.
+    before the shuffle; a frequent term spreads over its articles. With ``only`` the
+    postings of the listed terms are built and no others leave the scan.
     """
+
     def tagged(field):
-        return F.transform(terms(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+        found = terms(F.col(field))
+        if only is not None:
+            found = F.filter(found, lambda t: t.isin(list(only)))
+        return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
 
     occurrences = F.concat(*[tagged(field) for field in FIELD_WEIGHTS])
     rows = articles.select("id", F.explode(occurrences).alias("o"))

@@ -299,7 +299,7 @@ class Model:
         return self.raw("events").filter("event_type IN ('view', 'click')").selectExpr(
             "event_id AS id", "event_id % 40 AS video_id",
             "CASE WHEN event_id % 10 = 0 THEN NULL ELSE user_id END AS user_id",
-            "concat('s', user_id) AS session_id", "value AS watch_seconds",
+            "concat('s', user_id) AS session_id", "cast(value AS int) AS watch_seconds",
             f"element_at({_array(SCREENS)}, cast(event_id % 4 AS int) + 1) AS device_type",
             f"CASE WHEN event_id % 17 = 0 THEN '' ELSE element_at({_array(QUALITIES)}, cast(event_id % 3 AS int) + 1) END AS quality_watched",
             "cast(value / 2 AS int) AS last_position_seconds",
@@ -448,7 +448,7 @@ SQL_TABLES = {
     (['', 'midday', 'evening'])[c_custkey % 7 % 3 + 1] AS last_slot_sent FROM customer""",
     "video_views": f"""
   SELECT event_id AS id, event_id % 40 AS video_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE user_id END AS user_id,
-    's' || user_id AS session_id, value AS watch_seconds, ({_list(SCREENS)})[event_id % 4 + 1] AS device_type,
+    's' || user_id AS session_id, CAST(floor(value) AS INTEGER) AS watch_seconds, ({_list(SCREENS)})[event_id % 4 + 1] AS device_type,
     CASE WHEN event_id % 17 = 0 THEN '' ELSE ({_list(QUALITIES)})[event_id % 3 + 1] END AS quality_watched,
     CAST(floor(value / 2) AS INTEGER) AS last_position_seconds, ts AS started_at
   FROM events WHERE event_type IN ('view', 'click')""",

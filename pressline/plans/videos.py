@@ -11,6 +11,13 @@ from pressline.plans.registry import query
 
 MARKED = """marked AS (SELECT v.*, duration_seconds, CASE WHEN watch_seconds > 0 AND duration_seconds > 0 THEN least(100.0, watch_seconds / duration_seconds * 100) ELSE 0 END AS pct
   FROM video_views v JOIN videos d ON d.id = v.video_id)"""
+
+
+def two(value):
+    """Two places, halves up, on the decimal value as Spark rounds."""
+    return f"CAST(round(CAST({value} AS DECIMAL(18, 8)), 2) AS DOUBLE)"
+
+
 READY = "is_active AND status = 'ready'"
 
 
@@ -25,20 +32,20 @@ WITH {MARKED}, totals AS (SELECT video_id, count(*) AS n, count(DISTINCT user_id
     count(*) FILTER (WHERE watch_seconds >= duration_seconds * 0.25) AS engaged FROM marked GROUP BY 1),
 dev AS (SELECT video_id, string_agg(device_type || ':' || n, ',' ORDER BY device_type) AS t FROM (SELECT video_id, device_type, count(*) AS n FROM marked GROUP BY 1, 2) GROUP BY 1),
 qual AS (SELECT video_id, string_agg(q || ':' || n, ',' ORDER BY q) AS t FROM (SELECT video_id, coalesce(nullif(quality_watched, ''), 'unknown') AS q, count(*) AS n FROM marked GROUP BY 1, 2) GROUP BY 1)
-SELECT v.id AS video_id, v.title, v.status, coalesce(n, 0) AS total_views, coalesce(users, 0) AS unique_users, round(coalesce(watch, 0), 2) AS total_watch_seconds,
-  round(coalesce(watch / n, 0), 2) AS average_watch_seconds, round(coalesce(done * 100 / n, 0), 2) AS completion_rate, round(coalesce(engaged * 100 / n, 0), 2) AS engagement_rate,
+SELECT v.id AS video_id, v.title, v.status, coalesce(n, 0) AS total_views, coalesce(users, 0) AS unique_users, CAST(coalesce(watch, 0) AS BIGINT) AS total_watch_seconds,
+  {two('coalesce(watch / n, 0)')} AS average_watch_seconds, {two('coalesce(done * 100 / n, 0)')} AS completion_rate, {two('coalesce(engaged * 100 / n, 0)')} AS engagement_rate,
   coalesce(dev.t, '') AS devices, coalesce(qual.t, '') AS qualities FROM videos v LEFT JOIN totals t ON t.video_id = v.id LEFT JOIN dev ON dev.video_id = v.id LEFT JOIN qual ON qual.video_id = v.id""")
 def _(m):
     rows = video.video_analytics(m.videos, m.video_views)
     shown = lambda c: F.coalesce(F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","), F.lit(""))
     return rows.withColumns(
-        {"devices": shown("device_breakdown"), "qualities": shown("quality_breakdown"), "total_watch_seconds": F.round("total_watch_seconds", 2)}
+        {"devices": shown("device_breakdown"), "qualities": shown("quality_breakdown")}
     ).drop("device_breakdown", "quality_breakdown", "duration_seconds")
 
 
-@query("va3_video_rollup", "SELECT video_id, count(*) AS view_count, round(sum(watch_seconds), 2) AS total_watch_seconds FROM video_views GROUP BY 1")
+@query("va3_video_rollup", "SELECT video_id, count(*) AS view_count, CAST(sum(watch_seconds) AS BIGINT) AS total_watch_seconds FROM video_views GROUP BY 1")
 def _(m):
-    return video.video_rollup(m.video_views).withColumn("total_watch_seconds", F.round("total_watch_seconds", 2))
+    return video.video_rollup(m.video_views)
 
 
 @query("va4_avg_engagement", f"WITH {MARKED} SELECT d.id AS video_id, round(coalesce(avg(pct), 0), 6) AS engagement FROM videos d LEFT JOIN marked m ON m.video_id = d.id GROUP BY 1")
@@ -46,8 +53,8 @@ def _(m):
     return video.avg_engagement(m.videos, m.video_views).withColumn("engagement", F.round("engagement", 6))
 
 
-@query("va5_quality_distribution", """
-SELECT video_id, q AS quality, n, round(n * 100 / sum(n) OVER (PARTITION BY video_id), 2) AS percentage
+@query("va5_quality_distribution", f"""
+SELECT video_id, q AS quality, n, {two('n * 100 / sum(n) OVER (PARTITION BY video_id)')} AS percentage
 FROM (SELECT video_id, coalesce(nullif(quality_watched, ''), 'unknown') AS q, count(*) AS n FROM video_views GROUP BY 1, 2)""")
 def _(m):
     return video.quality_distribution(m.video_views)
@@ -102,7 +109,7 @@ def _(m):
 
 @query("a20_video_totals", """
 SELECT count(*) AS total_videos, count(*) FILTER (WHERE status = 'ready') AS ready_videos, count(*) FILTER (WHERE status = 'processing') AS processing_videos,
-  count(*) FILTER (WHERE status = 'failed') AS failed_videos, CAST(sum(n) AS BIGINT) AS total_views, round(sum(w) / 3600, 2) AS total_watch_hours
+  count(*) FILTER (WHERE status = 'failed') AS failed_videos, CAST(sum(n) AS BIGINT) AS total_views, CAST(round(CAST(sum(w) / 3600 AS DECIMAL(18, 8)), 2) AS DOUBLE) AS total_watch_hours
 FROM videos LEFT JOIN (SELECT video_id, count(*) AS n, sum(watch_seconds) AS w FROM video_views GROUP BY 1) r ON r.video_id = id""")
 def _(m):
     return trends.video_totals(m.videos, video.video_rollup(m.video_views))
