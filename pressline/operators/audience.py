@@ -35,9 +35,10 @@ def digest_candidates(enrichments: DataFrame, as_of: Column, limit: int = 50, th
     order = [F.desc_nulls_first("importance_score"), F.desc_nulls_first("analyzed_at"), F.desc("article_id")]
     tiered = enrichments.filter("status = 'completed'").withColumn("tier", tier)
     best = top_n(tiered, ["tier"], order, limit)
-    sizes = best.groupBy().agg(F.count_if(F.col("tier") == 0).alias("_n0"), F.count_if(F.col("tier") == 1).alias("_n1"))
-    wanted = (F.col("tier") == 0) | ((F.col("tier") == 1) & (F.col("_n0") < thin)) | ((F.col("tier") == 2) & (F.col("_n0") + F.col("_n1") == 0))
-    chosen = best.join(F.broadcast(sizes)).filter(wanted).drop("_n0", "_n1", "rank")  # one row
+    fresh = best.agg(F.count_if(F.col("tier") == 0)).scalar()
+    recent = best.agg(F.count_if(F.col("tier") <= 1)).scalar()
+    wanted = (F.col("tier") == 0) | ((F.col("tier") == 1) & (fresh < thin)) | ((F.col("tier") == 2) & (recent == 0))
+    chosen = best.filter(wanted).drop("rank")
     return chosen.orderBy("tier", *order).limit(limit)
 
 
@@ -59,7 +60,7 @@ def digest_payload(candidates: DataFrame, articles: DataFrame, sources: DataFram
     entities = trending.groupBy().agg(
         F.array_sort(F.collect_list(F.struct((-F.col("mention_count")).alias("k"), "entity_name", "entity_type", "mention_count"))).alias("_t")
     )
-    return listed.join(F.broadcast(entities)).select(  # both are one row
+    return listed.withColumn("_t", entities.scalar()).select(
         date.alias("digest_date"), F.size("_l").alias("article_count"), length_guidance(F.size("_l")).alias("guidance"),
         F.to_json(F.transform("_l", lambda x: x["e"])).alias("articles_json"),
         F.to_json(F.transform("_t", lambda t: F.struct(t["entity_name"], t["entity_type"], t["mention_count"]))).alias("trending_json"),
@@ -142,7 +143,7 @@ def digest_page(digests: DataFrame, stories: DataFrame, as_of: Column, zone: str
     age = F.datediff(today, "shown_date")
     label = F.when(age == 1, "Yesterday's brief").otherwise(F.concat(F.lit("Brief from "), F.date_format("shown_date", "d MMMM")))
     paragraphs = F.filter(F.transform(F.split("digest_text", "\n"), tx.strip), lambda p: p != "")
-    return newest.join(F.broadcast(earlier)).join(F.broadcast(active)).select(  # one row each
+    return newest.withColumns({"_dates": earlier.scalar(), "_stories": active.scalar()}).select(
         "shown_date", paragraphs.alias("paragraphs"), F.slice(F.filter("_dates", lambda d: d != F.col("shown_date")), 1, 14).alias("previous"),
         waiting.alias("waiting_for_today"), F.when(waiting, label).otherwise("").alias("digest_label"),
         F.when(waiting, F.transform("_stories", lambda s: s["id"])).otherwise(F.array().cast("array<bigint>")).alias("latest_stories"),
@@ -190,9 +191,9 @@ def schedule_articles(schedules: DataFrame, articles: DataFrame, history: DataFr
     name = lambda c, s: F.concat(F.lit("c"), c, F.lit("s"), s)
     lists = F.flatten(F.transform("cats", lambda c: F.transform("srcs", lambda s: name(c, s))))
     requests = due.select("id", (F.coalesce("_sent", F.lit(0)) + F.col("max_articles")).alias("need"), lists.alias("lists")).withColumnRenamed("id", "schedule_id")
-    earliest = due.agg(F.min("since").alias("_since"))
+    earliest = due.agg(F.min("since")).scalar()
     fresh = articles.filter(~F.col("is_processed")).select("id", "category_id", "source_id", "scraped_at")
-    fresh = fresh.join(F.broadcast(earliest)).filter(F.col("scraped_at") > F.col("_since")).drop("_since")  # one row
+    fresh = fresh.filter(F.col("scraped_at") > earliest)
     everyone = F.lit(-1)
     named = [name(c, s) for c in (F.col("category_id"), everyone) for s in (F.col("source_id"), everyone)]
     places = ranked_places(fresh.withColumn("_day", F.to_date("scraped_at")), named, [("_day", True)], freshness_order(), ["id", "scraped_at"])
@@ -229,7 +230,7 @@ def alert_messages(alerts: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     entry = F.struct(F.col("id").alias("alert_id"), "story_id", "article_id", "title", F.substring("reason", 1, 180).alias("body"), "importance_score")
     listed = alerts.groupBy().agg(F.collect_list(entry).alias("_alerts"))
-    sent = tokens.filter("is_active").select("user_id", "token").join(F.broadcast(listed))  # one row
+    sent = tokens.filter("is_active").withColumn("_alerts", listed.scalar())
     return sent.select("user_id", "token", F.explode("_alerts").alias("x")).select("user_id", "token", "x.*")
 
 
@@ -283,7 +284,7 @@ def breaking_audience(breaking: DataFrame, tokens: DataFrame, history: DataFrame
     entry = F.struct(F.col("id").alias("breaking_id"), "article_id", "target_categories", "target_sources")
     listed = breaking.filter("NOT is_sent").groupBy().agg(F.collect_list(entry).alias("items"), F.count(F.lit(1)).alias("n"))
     checked = listed.select(F.when(F.col("n") > max_items, F.raise_error(F.lit(f"more than {max_items} unsent items")).cast(listed.schema["items"].dataType)).otherwise(F.col("items")).alias("items"))
-    users = tokens.filter("is_active").select("user_id").distinct().join(profiles, "user_id", "left").join(F.broadcast(checked))  # one row
+    users = tokens.filter("is_active").select("user_id").distinct().join(profiles, "user_id", "left").withColumn("items", checked.scalar())
 
     def fits(x):
         none = F.array().cast("array<int>")

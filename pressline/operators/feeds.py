@@ -121,6 +121,16 @@ def unsuppressed_alerts(alerts: DataFrame, articles: DataFrame, status: str | No
     return alerts.filter(wanted).join(full, "article_id", "left_semi")
 
 
+def active_tokens(tokens: DataFrame) -> DataFrame:
+    """F6."""
+    return tokens.filter("is_active")
+
+
+def published_digests(digests: DataFrame) -> DataFrame:
+    """newest first."""
+    return digests.filter("is_published").orderBy(F.desc("digest_date"))
+
+
 def filter_by_keyword(articles: DataFrame, keyword: str) -> DataFrame:
     """F7."""
     needle = keyword.lower()
@@ -318,7 +328,7 @@ def read_next_for_articles(candidates: DataFrame, seeds: DataFrame, limit: int =
     )
     wide = (
         poor.join(by_source, F.col("ssrc").eqNullSafe(F.col("key")), "left").drop("key")
-        .join(tag_hits, "seed_id", "left").join(F.broadcast(everywhere))  # one row
+        .join(tag_hits, "seed_id", "left").withColumn("anywhere", everywhere.scalar())
     )
     shared = F.transform(F.coalesce("tag_hits", none), lambda x: x["id"])
     pool = F.array_distinct(F.concat("own", F.coalesce("tag_hits", none), F.coalesce("list", none), "anywhere"))
@@ -528,9 +538,9 @@ def guide_cards(
             first, F.concat(F.lit("context-"), F.col("id")), "context", f"{brand} context", F.lit("Before you move on"),
             F.col("_reason"), capped(0.9, 0.5, F.col("importance_score")), 6, F.col("id"),
         )
-        cards = cards.join(F.broadcast(last)).withColumn(  # ``last`` is one row
-            "insert_after_article_id", F.coalesce("insert_after_article_id", "_anchor")
-        ).drop("_anchor").unionByName(context_cards)
+        cards = cards.withColumn(
+            "insert_after_article_id", F.coalesce("insert_after_article_id", last.scalar())
+        ).unionByName(context_cards)
     return cards.orderBy(F.desc("confidence"), "id")
 
 

@@ -65,8 +65,8 @@ def pick_places(requests: DataFrame, places: DataFrame, owner: str) -> DataFrame
     Rows are looked up by (list, position), so the work is the number of places asked
     for. ``requests`` is ``(owner, need, lists)``.
     """
-    deepest = requests.agg(F.max("need").alias("_deepest"))
-    reachable = places.join(F.broadcast(deepest)).filter("pos <= _deepest").drop("_deepest")  # one row
+    deepest = requests.agg(F.max("need")).scalar()
+    reachable = places.filter(F.col("pos") <= deepest)
     wanted = requests.select(owner, "need", F.explode(F.array_distinct("lists")).alias("list")).select(
         owner, "list", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("pos")
     )
@@ -171,10 +171,9 @@ def intelligence_order() -> list[Column]:
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """L2: one page of a sorted table with the paging facts on every row."""
-    total = df.agg(F.count(F.lit(1)).alias("total_count"))
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
     pages = F.greatest(F.lit(1), F.ceil(F.col("total_count") / size))
-    return rows.join(F.broadcast(total)).withColumns(  # ``total`` is a single row
+    return rows.withColumn("total_count", df.agg(F.count(F.lit(1))).scalar()).withColumns(
         {
             "total_pages": pages.cast("int"),
             "has_next": F.lit(number) < pages,

@@ -103,15 +103,15 @@ def fts_search(queries: Sequence[tuple[int, str]], articles: DataFrame, index: D
     schema = "query_id bigint, alternative int, term string, n_terms int"
     lookups = spark.createDataFrame(wanted, schema)
     hits = (
-        index.select("term", "id", "weight").join(F.broadcast(lookups), "term")  # the query list itself is short
+        index.select("term", "id", "weight").join(lookups, "term")
         .groupBy("query_id", "alternative", "n_terms", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("rank"))
         .filter("n = n_terms").select("query_id", "alternative", "id", "rank")
     )
     checks = [(qid, n, alt["phrases"], alt["excluded"]) for qid, n, alt in parsed if alt["phrases"] or alt["excluded"]]
     if checks:
         rules = spark.createDataFrame(checks, "query_id bigint, alternative int, phrases array<string>, excluded array<string>")
-        ruled = hits.join(F.broadcast(rules), ["query_id", "alternative"])
-        plain = hits.join(F.broadcast(rules), ["query_id", "alternative"], "left_anti")
+        ruled = hits.join(rules, ["query_id", "alternative"])
+        plain = hits.join(rules, ["query_id", "alternative"], "left_anti")
         needed = ruled.join(articles.select("id", _token_text(articles).alias("_text")), "id")
         bounded = lambda p: F.concat(F.lit(" "), p, F.lit(" "))
         passes = F.forall("phrases", lambda p: F.col("_text").contains(bounded(p))) & ~F.exists(
@@ -179,7 +179,7 @@ def cascade_search(queries: Sequence[tuple[int, str]], articles: DataFrame, inde
     )
     matches = ranked.unionByName(scanned)
     first = matches.groupBy("query_id").agg(F.min("tier").alias("_tier"))
-    kept = matches.join(F.broadcast(first), "query_id").filter("tier = _tier")  # one row per listed query
+    kept = matches.join(first, "query_id").filter("tier = _tier")
     return kept.drop("_tier")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -65,6 +67,15 @@ def pending_embeddings(enrichments: DataFrame, embeddings: DataFrame, batch: int
     return waiting.orderBy("article_id").limit(batch) if batch else waiting
 
 
+def embed_pending(pending: DataFrame, articles: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Vectors for waiting annotations from a user's function of the text to embed.
+
+    ``embed`` is a pandas UDF (or any column function) from text to ``array<float>``.
+    """
+    texts = embedding_text(articles, pending)
+    return texts.select("article_id", embed(F.col("text")).alias("embedding"))
+
+
 def unassigned(enrichments: DataFrame, embeddings: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:
     """Embedded, completed, not yet in a story; with vector, date and entity set."""
     done = exclude_themes(enrichments.filter("status = 'completed'"))
@@ -136,6 +147,40 @@ def _match_block(articles: pd.DataFrame, stories: pd.DataFrame) -> pd.DataFrame:
     return out[keep][names]
 
 
+_PAIR_SCHEMA = "article_id bigint, story_id bigint, cosine double, days int"
+
+
+def interval_similarity_join(
+    articles: DataFrame, stories: DataFrame, floor: float = COSINE_FLOOR, days: int = EVENT_WINDOW_DAYS, rows: int = sim.BLOCK_ROWS
+) -> DataFrame:
+    """Pairs of article and story within ``days`` whole days and at least ``floor`` similar."""
+    width = (2 * days + 1) * DAY * 1_000_000
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["article_id", "story_id", "cosine", "days"])
+        cosine = sim.unit_rows(left["embedding"]) @ sim.unit_rows(right["centroid"]).T
+        apart = np.floor((left["published"].to_numpy()[:, None] - right["last_seen"].to_numpy()[None, :]) / (DAY * 1e6))
+        i, j = np.nonzero((cosine >= floor) & (np.abs(apart) <= days))
+        return pd.DataFrame(
+            {"article_id": left["article_id"].to_numpy()[i], "story_id": right["story_id"].to_numpy()[j], "cosine": cosine[i, j],
+             "days": apart[i, j].astype("int32")}
+        )
+
+    seen = _micros("last_seen_at")
+    reach = F.array_distinct(
+        F.array(F.floor((seen - days * DAY * 1_000_000) / width), F.floor((seen + (days + 1) * DAY * 1_000_000 - 1) / width))
+    )
+    right = stories.filter("centroid IS NOT NULL").select(
+        F.col("id").alias("story_id"), "centroid", seen.alias("last_seen"), F.explode(reach).alias("cell")
+    )
+    published = _micros("published_at")
+    left = articles.filter("embedding IS NOT NULL AND published_at IS NOT NULL").select(
+        "article_id", "embedding", published.alias("published"), F.floor(published / width).alias("cell")
+    )
+    return sim.compare_blocks(left, right, compare, _PAIR_SCHEMA, "article_id", "story_id", rows)
+
+
 def match_active(articles: DataFrame, stories: DataFrame, as_of: Column, rows: int = sim.BLOCK_ROWS) -> DataFrame:
     """The best active story per article, ``attached`` when it is good enough.
 
@@ -214,14 +259,27 @@ def revival_candidates(articles: DataFrame, stories: DataFrame, as_of: Column, r
     return top_n(hits, ["article_id"], order, ADJUDICATION_CANDIDATES)
 
 
-def match_revival(articles: DataFrame, stories: DataFrame, verdicts: DataFrame, as_of: Column, rows: int = sim.BLOCK_ROWS) -> DataFrame:
+Adjudicator = Callable[[DataFrame], DataFrame]
+
+
+def verdicts_from(table: DataFrame) -> Adjudicator:
+    """Verdicts looked up in a table ``(article_id, story_id, verdict)``."""
+    return lambda candidates: candidates.join(table, ["article_id", "story_id"], "left")
+
+
+def verdicts_by(judge: Callable[[Column, Column], Column]) -> Adjudicator:
+    """Verdicts from a user's function of (article_id, story_id), e.g. a pandas UDF."""
+    return lambda candidates: candidates.withColumn("verdict", judge(F.col("article_id"), F.col("story_id")))
+
+
+def match_revival(articles: DataFrame, stories: DataFrame, adjudicate: Adjudicator, as_of: Column, rows: int = sim.BLOCK_ROWS) -> DataFrame:
     """``(article_id, story_id, action)`` with action attach or related.
 
     The most similar older story is revived directly when vector and names agree;
-    otherwise the first of two candidates that the verdict table (article_id, story_id,
-    verdict) calls same_story or related_story decides.
+    otherwise the first of two candidates decides that is judged same_story or
+    related_story. Only these candidates, at most two per article, are adjudicated.
     """
-    found = revival_candidates(articles, stories, as_of, rows).join(verdicts, ["article_id", "story_id"], "left")
+    found = adjudicate(revival_candidates(articles, stories, as_of, rows))
     direct = (F.col("rank") == 1) & (F.col("cosine") >= REVIVAL_COSINE) & (F.col("entity") >= REVIVAL_ENTITY)
     action = F.when(direct, "attach").when(F.col("verdict") == "same_story", "attach").when(F.col("verdict") == "related_story", "related")
     decided = found.withColumn("action", action).filter("action IS NOT NULL")
@@ -278,7 +336,7 @@ def story_key(*parts: Column) -> Column:
 
 
 def assign_batch(
-    articles: DataFrame, stories: DataFrame, verdicts: DataFrame, as_of: Column, rows: int = sim.BLOCK_ROWS
+    articles: DataFrame, stories: DataFrame, adjudicate: Adjudicator, as_of: Column, rows: int = sim.BLOCK_ROWS
 ) -> DataFrame:
     """One row per article: story, action, relevance and an older related story.
 
@@ -292,7 +350,7 @@ def assign_batch(
     scored = cut_lineage(match_active(articles, stories, as_of, rows))
     attached = scored.filter("attached")
     rest = unmatched(articles, attached)
-    revival = cut_lineage(match_revival(rest, stories, verdicts, as_of, rows))
+    revival = cut_lineage(match_revival(rest, stories, adjudicate, as_of, rows))
     revived = revival.filter("action = 'attach'")
     residue = unmatched(rest, revived)
     date = tx.event_date(F.col("published_at"), F.col("scraped_at"), as_of)
@@ -561,7 +619,7 @@ def prune_by_theme(stories: DataFrame, theme: str, children: dict[str, DataFrame
 
 
 def rebuild_all(
-    articles: DataFrame, enrichments: DataFrame, embeddings: DataFrame, verdicts: DataFrame, as_of: Column, batch_days: int = 1,
+    articles: DataFrame, enrichments: DataFrame, embeddings: DataFrame, adjudicate: Adjudicator, as_of: Column, batch_days: int = 1,
     replay: bool = True, rows: int = sim.BLOCK_ROWS,
 ) -> DataFrame:
     """All assignments from scratch, one pass per ``batch_days`` of publication dates.
@@ -583,7 +641,7 @@ def rebuild_all(
         batch = work.filter((F.to_date("published_at") >= day) & (F.to_date("published_at") < F.date_add(day, batch_days)))
         stories = current_stories(done, work, enrichments, embeddings, articles)
         newest = F.least(as_of, F.date_add(day, batch_days).cast("timestamp")) if replay else as_of
-        done = cut_lineage(done.unionByName(assign_batch(batch, stories, verdicts, newest, rows)))
+        done = cut_lineage(done.unionByName(assign_batch(batch, stories, adjudicate, newest, rows)))
     return done
 
 

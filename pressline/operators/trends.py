@@ -280,11 +280,9 @@ def corpus_summary(articles: DataFrame, limit: int = 10) -> DataFrame:
         articles.select(F.explode(entries).alias("e")).filter("e.name IS NOT NULL")
         .groupBy("e.section", "e.name").agg(F.count(F.lit(1)).alias("n"))
     )
-    total = counts.filter("section = 'total'").select(F.col("n").alias("_total"))
+    total = counts.filter("section = 'total'").select("n").scalar()
     ranked = top_n(counts.filter("section <> 'total'"), ["section"], [F.desc("n"), F.asc("name")], limit)
-    return ranked.join(F.broadcast(total)).select(  # ``total`` is a single row
-        "section", "name", "n", F.round(F.col("n") * 100 / F.col("_total"), 1).alias("share"), "rank"
-    )
+    return ranked.select("section", "name", "n", F.round(F.col("n") * 100 / total, 1).alias("share"), "rank")
 
 
 def length_summary(articles: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pressline.functions import clients
 from pressline.functions import text as tx
 from pressline.operators import audience, feeds, trends
 from pressline.operators.ranking import top_n
@@ -319,25 +320,31 @@ def _(m):
 SELECT article_id, CAST(round(CAST(input_tokens / 1000000.0 * CASE model_used WHEN 'gpt-4o' THEN 2.50 WHEN 'gpt-5-nano' THEN 0.05 ELSE 0.15 END
   + output_tokens / 1000000.0 * CASE model_used WHEN 'gpt-4o' THEN 10.0 WHEN 'gpt-5-nano' THEN 0.40 ELSE 0.60 END AS DECIMAL(18,10)), 6) AS DOUBLE) AS cost FROM enrichments""")
 def _(m):
-    from pressline.functions.clients import token_cost
+    return m.enrichments.select("article_id", clients.token_cost(F.col("model_used"), F.col("input_tokens"), F.col("output_tokens")).cast("double").alias("cost"))
 
-    return m.enrichments.select("article_id", token_cost(F.col("model_used"), F.col("input_tokens"), F.col("output_tokens")).cast("double").alias("cost"))
 
+def _agents(m: Model):
+    agent = F.expr("element_at(array('Mozilla Android 14', 'Mozilla iPad Tablet', 'SmartTV Browser', 'Mozilla Linux x86', 'iPhone Mobile', 'Android Tablet'), cast(event_id % 6 AS int) + 1)")
+    return m.raw("events").select("event_id", clients.classify_device(agent).alias("device"))
+
+
+DEVICE = "CASE event_id % 6 WHEN 0 THEN 'mobile' WHEN 1 THEN 'tablet' WHEN 2 THEN 'tv' WHEN 3 THEN 'desktop' ELSE 'mobile' END"
 
-@query("t19_classify_device", f"""
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'mobile' WHEN 1 THEN 'tablet' WHEN 2 THEN 'tv' WHEN 3 THEN 'desktop' ELSE 'mobile' END AS device,
-  CASE event_id % 6 WHEN 2 THEN 'high' WHEN 3 THEN 'high' ELSE 'medium' END AS quality, CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 250) ELSE '192.168.1.1' END AS ip FROM events""")
+
+@query("t19_classify_device", f"SELECT event_id, {DEVICE} AS device FROM events")
 def _(m):
-    """T19, T20 and T21 over all events."""
-    from pressline.functions import clients
+    return _agents(m)
 
-    agent = F.expr("element_at(array('Mozilla Android 14', 'Mozilla iPad Tablet', 'SmartTV Browser', 'Mozilla Linux x86', 'iPhone Mobile', 'Android Tablet'), cast(event_id % 6 AS int) + 1)")
-    rows = m.raw("events").withColumn("device", clients.classify_device(agent))
+
+@query("t20_recommended_quality", f"SELECT event_id, CASE WHEN {DEVICE} IN ('tv', 'desktop') THEN 'high' ELSE 'medium' END AS quality FROM events")
+def _(m):
+    return _agents(m).select("event_id", clients.recommended_quality(F.col("device")).alias("quality"))
+
+
+@query("t21_client_ip", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 250) ELSE '192.168.1.1' END AS ip FROM events")
+def _(m):
     forwarded = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" 10.0.0."), F.col("event_id") % 250, F.lit(", 172.16.0.1")))
-    return rows.select(
-        "event_id", "device", clients.recommended_quality(F.col("device")).alias("quality"),
-        clients.client_ip(forwarded, F.lit("192.168.1.1")).alias("ip"),
-    )
+    return m.raw("events").select("event_id", clients.client_ip(forwarded, F.lit("192.168.1.1")).alias("ip"))
 
 
 @query("t24_next_send_at", """

@@ -87,6 +87,18 @@ def _(m):
     return feeds.unsuppressed_alerts(m.alerts, m.articles).select("id", "story_id", "status")
 
 
+@query("f6_active_tokens", "SELECT user_id, token FROM push_tokens WHERE is_active")
+def _(m):
+    return feeds.active_tokens(m.push_tokens).select("user_id", "token")
+
+
+@query("f6_published_digests", "SELECT DISTINCT CAST(CAST(published_at AS DATE) AS VARCHAR) AS digest_date FROM articles WHERE day(published_at) % 7 <> 0")
+def _(m):
+    from pressline.plans.audiences import digests
+
+    return feeds.published_digests(digests(m)).select(F.col("digest_date").cast("string").alias("digest_date"))
+
+
 @query("f7_filter_by_keyword", """
 SELECT id FROM articles WHERE lower(title) LIKE '%ation%' OR lower(excerpt) LIKE '%ation%' OR lower(content) LIKE '%ation%'""")
 def _(m):
@@ -168,12 +180,16 @@ def _(m):
     return feeds.latest(eligible(m), m.as_of, 48).select("id", "scraped_at")
 
 
+MID = "TIMESTAMP '2024-01-16 00:00:00'"
+
+
 @query("r6_trending", f"""
-SELECT a.id, n AS recent_views, round(n / greatest(epoch({AS_OF_SQL} - scraped_at) / 3600.0, 1.0), 6) AS trending_score
-FROM {ELIGIBLE} a JOIN (SELECT article_id, count(*) AS n FROM views WHERE viewed_at >= {AS_OF_SQL} - to_hours(24) GROUP BY 1) v ON v.article_id = a.id
-WHERE scraped_at >= {AS_OF_SQL} - to_hours(24) ORDER BY n / greatest(epoch({AS_OF_SQL} - scraped_at) / 3600.0, 1.0) DESC, n DESC, scraped_at DESC, a.id DESC LIMIT 10""")
+WITH s AS (SELECT a.*, n, CASE WHEN scraped_at < {MID} THEN n / greatest(epoch({MID} - scraped_at) / 3600.0, 1.0) ELSE n END AS score
+  FROM {ELIGIBLE} a JOIN (SELECT article_id, count(*) AS n FROM views WHERE viewed_at >= {MID} - to_hours(24) GROUP BY 1) v ON v.article_id = a.id
+  WHERE scraped_at >= {MID} - to_hours(24))
+SELECT id, n AS recent_views, round(score, 6) AS trending_score FROM s ORDER BY score DESC, n DESC, scraped_at DESC, id DESC LIMIT 10""")
 def _(m):
-    top = feeds.trending(eligible(m), m.views, m.as_of)
+    top = feeds.trending(eligible(m), m.views, m.as_of - F.expr("INTERVAL 15 DAYS"))
     return top.select("id", "recent_views", F.round("trending_score", 6).alias("trending_score"))
 
 

@@ -179,6 +179,18 @@ def _(m):
     return identity.match_existing(rows.filter(F.col("scraped_at") >= week_ago), rows.filter(F.col("scraped_at") < week_ago), m.as_of)
 
 
+@query("j11_priority_lookup", f"""
+WITH {IDENTIFIED}, hits AS (SELECT n.id AS new_id, s.id AS existing_id, s.scraped_at, CASE WHEN s.external_id = n.external_id AND s.source_id = n.source_id THEN 1
+    WHEN s.canonical_url = n.canonical_url THEN 2 WHEN s.url = n.url THEN 3 WHEN s.content_hash = n.content_hash THEN 4 ELSE 5 END AS priority
+  FROM identified n JOIN identified s ON (s.external_id = n.external_id AND s.source_id = n.source_id) OR s.canonical_url = n.canonical_url OR s.url = n.url
+    OR (s.content_hash = n.content_hash AND n.content_hash <> '') OR (s.normalized_title_hash = n.normalized_title_hash AND s.source_id = n.source_id))
+SELECT new_id, existing_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY priority, scraped_at DESC, existing_id) AS r FROM hits) WHERE r = 1""")
+def _(m):
+    """Every article looked up in the whole corpus: the newest of its own key group."""
+    rows = identified(m)
+    return identity.match_existing(rows, rows, m.as_of)
+
+
 @query("d6_already_sent", f"""
 SELECT DISTINCT user_id, article_id FROM views WHERE (user_id, article_id) IN (SELECT (user_id, article_id) FROM history WHERE sent_at >= {AS_OF_SQL} - to_days(7))""")
 def _(m):

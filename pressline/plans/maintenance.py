@@ -100,6 +100,16 @@ def _(m):
     return tables.flatten_lists(m.spark.read.schema(tables.HEADLINE).json(path))
 
 
+@query("s4_read_headlines", """
+SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM articles) GROUP BY tag""")
+def _(m):
+    """Headline files written as CSV, read back and counted by their split tags."""
+    path = scratch(m, "headlines-csv")
+    tables.write_csv_flattened(headlines(m), path)
+    rows = tables.read_headlines_csv(m.spark, path)
+    return rows.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s7_insert_if_absent", """
 SELECT tag AS name, min(id) AS first_id FROM (SELECT unnest(tags) AS tag, id FROM articles) WHERE tag NOT IN (SELECT 't' || id FROM categories WHERE id < 2) GROUP BY tag""")
 def _(m):

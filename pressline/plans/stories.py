@@ -31,11 +31,10 @@ def matchable(m: Model):
     return m.stories.join(centroid, "id").join(names.select("id", "entity_set"), "id", "left")
 
 
-def verdicts(m: Model):
-    """Adjudications for every (embedded article, story): a third each way."""
-    pairs = m.embeddings.select("article_id").join(m.story_articles.select("story_id").distinct())
-    kind = (F.col("article_id") + F.col("story_id")) % 3
-    return pairs.withColumn("verdict", F.when(kind == 0, "same_story").when(kind == 1, "related_story").otherwise("unrelated"))
+def judge(article_id, story_id):
+    """Stands for an adjudicator: a third of the pairs each way."""
+    kind = (article_id + story_id) % 3
+    return F.when(kind == 0, "same_story").when(kind == 1, "related_story").otherwise("unrelated")
 
 
 NAMES = """list_distinct(list_concat(list_transform(entities_people, lambda n: 'person:' || lower(n)), list_concat(
@@ -77,10 +76,11 @@ decided AS (SELECT *, CASE WHEN r = 1 AND cos >= 0.80 AND ent >= 0.10 THEN 'atta
 revival AS (SELECT article_id, story_id, action FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY r) AS k FROM decided WHERE action IS NOT NULL) WHERE k = 1)"""
 
 
-@query("c1_embedding_text", f"""
-SELECT article_id, substr(title || chr(10) || CASE WHEN {sql_strip('content')} <> '' THEN substr({sql_strip('content')}, 1, 6000) ELSE summary END || chr(10) || 'Entities: ' ||
-  array_to_string(list_concat(entities_people, list_concat(entities_organizations, entities_locations))[1:20], ', ') || chr(10) || 'Topics: ' || array_to_string(themes, ', '), 1, 8000) AS text
-FROM enrichments JOIN articles ON articles.id = article_id""")
+EMBEDDING_TEXT = f"""substr(title || chr(10) || CASE WHEN {sql_strip('content')} <> '' THEN substr({sql_strip('content')}, 1, 6000) ELSE summary END || chr(10) || 'Entities: ' ||
+  array_to_string(list_concat(entities_people, list_concat(entities_organizations, entities_locations))[1:20], ', ') || chr(10) || 'Topics: ' || array_to_string(themes, ', '), 1, 8000)"""
+
+
+@query("c1_embedding_text", f"SELECT article_id, {EMBEDDING_TEXT} AS text FROM enrichments JOIN articles ON articles.id = article_id")
 def _(m):
     return stories.embedding_text(m.articles, m.enrichments)
 
@@ -91,6 +91,16 @@ def _(m):
     return stories.pending_embeddings(m.enrichments, m.embeddings).select("article_id")
 
 
+@query("c2_embed_pending", f"""
+SELECT article_id, length({EMBEDDING_TEXT}) AS first_value FROM enrichments JOIN articles ON articles.id = article_id
+WHERE status = 'completed' AND NOT list_contains(themes, 'sports') AND article_id NOT IN (SELECT vec_id FROM embeddings)""")
+def _(m):
+    waiting = stories.pending_embeddings(m.enrichments, m.embeddings)
+    counted = lambda text: F.array(F.length(text).cast("float"), F.ascii(text).cast("float"))
+    made = stories.embed_pending(waiting, m.articles, counted)
+    return made.select("article_id", F.get("embedding", F.lit(0)).cast("bigint").alias("first_value"))
+
+
 @query("c2_unassigned", f"""
 WITH {EMBEDDED} SELECT article_id, importance_score, array_to_string(list_sort(names), '|') AS names FROM emb
 WHERE article_id NOT IN (SELECT article_id FROM story_articles WHERE relevance_score >= 0.75)""")
@@ -125,9 +135,17 @@ def _(m):
     return found.select("article_id", "story_id", "strong", *[F.round(c, 6).alias(c) for c in ("score", "cosine", "entity")], "attached")
 
 
+@query("j7_interval_similarity_join", f"""
+WITH {EMBEDDED}, {CENTROIDS}, pairs AS (SELECT e.article_id, s.id AS story_id, list_cosine_similarity(e.v, s.c) AS cos, CAST(floor(epoch(published_at - last_seen_at) / 86400) AS INTEGER) AS days
+  FROM emb e JOIN matchable s ON true) SELECT article_id, story_id, round(cos, 6) AS cosine, days FROM pairs WHERE cos >= 0.52 AND abs(days) <= 14""")
+def _(m):
+    pairs = stories.interval_similarity_join(embedded(m), matchable(m))
+    return pairs.withColumn("cosine", F.round("cosine", 6))
+
+
 @query("c6_match_revival", f"WITH {EMBEDDED}, {CENTROIDS}, {revival_sql(LATER_SQL)} SELECT article_id, story_id, action FROM revival")
 def _(m):
-    return stories.match_revival(embedded(m), matchable(m), verdicts(m), later(m)).select("article_id", "story_id", "action")
+    return stories.match_revival(embedded(m), matchable(m), stories.verdicts_by(judge), later(m)).select("article_id", "story_id", "action")
 
 
 @query("c7_assign_batch", f"""
@@ -147,7 +165,7 @@ UNION ALL SELECT g.article_id, CASE WHEN g.article_id = seed THEN 'created' ELSE
   FROM groups g JOIN seeds USING (group_id) JOIN residue r ON r.article_id = g.article_id JOIN residue sr ON sr.article_id = seed
   LEFT JOIN active x ON x.article_id = g.article_id LEFT JOIN revival v ON v.article_id = g.article_id""")
 def _(m):
-    made = stories.assign_batch(embedded(m), matchable(m), verdicts(m), m.as_of)
+    made = stories.assign_batch(embedded(m), matchable(m), stories.verdicts_by(judge), m.as_of)
     seeds = made.filter("action = 'created'").select("story_id", F.col("article_id").alias("seed"))
     joined = made.join(seeds, "story_id", "left")
     return joined.select(
@@ -321,7 +339,7 @@ def _(m):
 
 @query("c16_rebuild_all")
 def _(m):
-    return stories.rebuild_all(m.articles, m.enrichments, m.vectors, verdicts(m), m.as_of, batch_days=8)
+    return stories.rebuild_all(m.articles, m.enrichments, m.vectors, stories.verdicts_by(judge), m.as_of, batch_days=8)
 
 
 @query("c17_story_card", """
