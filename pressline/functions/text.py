@@ -250,7 +250,7 @@ def tag_entities(text: Column, entities: Column, href: str = "/stories/?q=") ->
     """
     valid = F.filter(entities, lambda e: (F.coalesce(e["name"], F.lit("")) != "") & (F.coalesce(e["type"], F.lit("")) != ""))
     numbered = F.transform(valid, lambda e, i: F.struct((-F.length(e["name"])).alias("rank"), i.alias("pos"), e["name"].alias("name"), e["type"].alias("type")))
-    ordered = F.array_sort(numbered)
+    ordered = F.array_sort(numbered)  # struct order: longest name first, then position
 
     def token(e):
         return F.concat(F.lit("\x01E"), e["pos"].cast("string"), F.lit("\x01"))

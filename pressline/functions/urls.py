@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pressline.functions import text as tx
 
@@ -68,19 +68,21 @@ def path_segments(url: Column) -> Column:
     return F.filter(F.split(url_part(url, "path"), "/"), lambda p: p != "")
 
 
-def identity_columns(articles, as_of=None):
+def identity_columns(articles: DataFrame) -> DataFrame:
     """canonical_url, title hash, content hash and published id on an article table."""
     body = F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.col("content")).otherwise(F.col("excerpt"))
-    published_id = F.col("source_published_id") if "source_published_id" in articles.columns else F.lit("")
     external = tx.bounded_identifier(F.col("external_id"))
-    given = tx.bounded_identifier(published_id)
+    published = external
+    if "source_published_id" in articles.columns:
+        given = tx.bounded_identifier(F.col("source_published_id"))
+        published = F.when(given != "", given).otherwise(external)
     return articles.withColumns(
         {
             "canonical_url": normalize_url(F.col("url")),
             "normalized_title_hash": tx.hash_text(tx.normalize_title(F.col("title"))),
             "content_hash": tx.hash_text(body),
             "external_id": external,
-            "source_published_id": F.when(given != "", given).otherwise(external),
+            "source_published_id": published,
         }
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressline.functions import text as tx
+from pressline.functions.binding import let
 from pressline.operators.trends import cost_totals
 
 # --- fixed values: allowed enumerations ---
@@ -97,8 +98,10 @@ def normalize_highlights(data: Column) -> Column:
         ),
     )
     valid = F.filter(entries, lambda h: (h["text"] != "") & h["type"].isin(HIGHLIGHT_TYPES))
-    texts = F.transform(valid, lambda h: h["text"])
-    first = F.filter(valid, lambda h, i: F.array_position(texts, h["text"]) == i + 1)
+    first = let(
+        valid,
+        lambda v: let(F.transform(v, lambda h: h["text"]), lambda t: F.filter(v, lambda h, i: F.array_position(t, h["text"]) == i + 1)),
+    )
     is_link = lambda h: (h["type"] == "link") & h["url"].startswith("http")
     return F.transform(first, lambda h: F.struct(h["text"].alias("text"), h["type"].alias("type"), F.when(is_link(h), h["url"]).alias("url")))
 

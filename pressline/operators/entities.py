@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressline.functions import names as nm
+from pressline.functions.binding import let
 from pressline.operators.trends import change_pair_counts
 
 _NO_TEXT = "array<string>"
@@ -179,6 +180,8 @@ def verbatim_entities(people: Column, organizations: Column, locations: Column,
         present = F.filter(bare, lambda n: (n != "") & text.contains(n))
         return F.transform(present, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
 
-    every = F.concat(typed(people, "person"), typed(organizations, "organization"), typed(locations, "location"))
-    order = F.transform(every, lambda e: e["name"])
-    return F.filter(every, lambda e, i: F.array_position(order, e["name"]) == i + 1)
+    found = F.concat(typed(people, "person"), typed(organizations, "organization"), typed(locations, "location"))
+    return let(
+        found,
+        lambda v: let(F.transform(v, lambda e: e["name"]), lambda n: F.filter(v, lambda e, i: F.array_position(n, e["name"]) == i + 1)),
+    )

@@ -57,14 +57,34 @@ def title_dups(articles: DataFrame) -> DataFrame:
     return _losers(runs, ["normalized_title_hash", "source_id", "session_no"], "title")
 
 
+def _key(*parts: str) -> Column:
+    return F.concat_ws("\x1f", *[F.col(p).cast("string") for p in parts])
+
+
 def dedupe_rules(articles: DataFrame) -> DataFrame:
-    """All four rules: ``(rule, id, keeper_id, group_size)``, one row per rule and loser."""
-    return (
-        dup_groups(articles, ["url"], "url")
-        .unionByName(dup_groups(articles, ["canonical_url"], "canonical_url"))
-        .unionByName(dup_groups(articles, ["external_id", "source_id"], "external_id"))
-        .unionByName(title_dups(articles))
+    """All four rules: ``(rule, id, keeper_id, group_size)``, one row per rule and loser.
+
+    Every article is expanded to its keys, so one aggregation and one join find the
+    losers of all rules. Run it on a stored table with the identity columns; on computed
+    ones the texts would be read for every use.
+    """
+    def rule(name, key, given):
+        return F.when(F.coalesce(F.col(given), F.lit("")) != "", F.struct(F.lit(name).alias("rule"), key.alias("key")))
+
+    keys = F.array_compact(
+        F.array(
+            rule("url", F.col("url"), "url"), rule("canonical_url", F.col("canonical_url"), "canonical_url"),
+            rule("external_id", _key("external_id", "source_id"), "external_id"),
+        )
     )
+    direct = articles.select(*_NEEDED, F.explode(keys).alias("k")).select(*_NEEDED, "k.rule", "k.key")
+    titled = articles.filter("normalized_title_hash <> ''").select(*_NEEDED, "normalized_title_hash", "source_id")
+    runs = gap_sessions(titled, ["normalized_title_hash", "source_id"], "scraped_at", REPOST_WINDOW_SECONDS)
+    by_title = runs.select(*_NEEDED, F.lit("title").alias("rule"), _key("normalized_title_hash", "source_id", "session_no").alias("key"))
+    rows = direct.unionByName(by_title)
+    groups = rows.groupBy("rule", "key").agg(F.min(keeper_order()).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    shared = groups.filter("group_size > 1").select("rule", "key", F.col("_best.d").alias("keeper_id"), "group_size")
+    return rows.select("id", "rule", "key").join(shared, ["rule", "key"]).filter("id <> keeper_id").drop("key")
 
 
 def dedupe_plan(articles: DataFrame, source_id: int | None = None, transitive: bool = False) -> DataFrame:

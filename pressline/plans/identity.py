@@ -9,6 +9,7 @@ from pressline.functions import urls
 from pressline.operators import identity
 from pressline.plans.model import AS_OF_SQL, Model
 from pressline.plans.registry import query
+from pressline.session import cut_lineage
 
 WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
 
@@ -44,6 +45,12 @@ def identified(m: Model):
     return urls.identity_columns(m.articles)
 
 
+def identity_table(m: Model):
+    """The identity columns as a stored table: the texts are read once."""
+    columns = ["id", "has_full_content", "word_count", "scraped_at", "url", "canonical_url", "external_id", "source_id", "normalized_title_hash", "title"]
+    return cut_lineage(identified(m).select(*columns))
+
+
 @query("t2_normalize_url", f"SELECT page_id, {sql_canonical('url')} AS canonical FROM pages")
 def _(m):
     return m.raw("pages").select("page_id", urls.normalize_url(F.col("url")).alias("canonical"))
@@ -139,18 +146,18 @@ def _(m):
 
 @query("d4_dedupe_plan", f"WITH {IDENTIFIED}, {RUNS} SELECT DISTINCT id FROM ({RULES})")
 def _(m):
-    return identity.dedupe_plan(identified(m))
+    return identity.dedupe_plan(identity_table(m))
 
 
 @query("d4_dedupe_audit", f"""
 WITH {IDENTIFIED}, {RUNS} SELECT rule, count(DISTINCT keeper_id) AS n_groups, count(*) AS n_remove FROM ({RULES}) GROUP BY rule""")
 def _(m):
-    return identity.dedupe_audit(identified(m))
+    return identity.dedupe_audit(identity_table(m))
 
 
 @query("d4_apply_dedupe", f"WITH {IDENTIFIED}, {RUNS} SELECT id, title FROM articles WHERE id NOT IN (SELECT id FROM ({RULES}))")
 def _(m):
-    rows = identified(m)
+    rows = identity_table(m)
     return identity.apply_dedupe(rows, identity.dedupe_plan(rows)).select("id", "title")
 
 
@@ -162,7 +169,7 @@ comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
 members AS (SELECT articles.*, component FROM articles JOIN comp ON comp.id = articles.id)
 SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY component ORDER BY has_full_content DESC, word_count DESC, scraped_at, id) AS r FROM members) WHERE r > 1""")
 def _(m):
-    return identity.dedupe_plan(identified(m), transitive=True)
+    return identity.dedupe_plan(identity_table(m), transitive=True)
 
 
 @query("d5_match_existing", f"""
