@@ -7,14 +7,13 @@ operators do not depend on them.
 
 from __future__ import annotations
 
-from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressline.session import prepare
 
-AS_OF = datetime(2024, 1, 31)
+AS_OF = "2024-01-31 00:00:00"
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 THEMES = [
     "governance", "education", "health", "economy", "entertainment", "sports", "crime", "environment",
@@ -39,7 +38,7 @@ class Model:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder
-        self.as_of = F.lit(AS_OF).cast("timestamp")
+        self.as_of = F.lit(AS_OF).cast("timestamp")  # read in the session time zone, UTC
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
