@@ -140,19 +140,19 @@ def merge_aliases(mentions: DataFrame, canonical: str, aliases: Sequence[str], e
     return merged.withColumn("normalized_name", nm.normalize_entity_name(F.lit(canonical), kind))
 
 
-def merged_alias_list(spark, canonical: str, aliases: Sequence[str], entity_type: str, entities: DataFrame) -> DataFrame:
+def merged_alias_list(canonical: str, aliases: Sequence[str], entity_type: str, entities: DataFrame) -> DataFrame:
     """The canonical entity with its alias list after the merge."""
     spellings = [canonical, *aliases]
     kind = F.lit(entity_type)
     keys = F.flatten(F.array(*[F.concat(nm.entity_alias_keys(F.lit(s), kind), F.array(nm.clean_entity_name(F.lit(s)))) for s in spellings]))
-    wanted = spark.range(1).select(
-        kind.alias("entity_type"), nm.normalize_entity_name(F.lit(canonical), kind).alias("normalized_name"),
-        nm.clean_entity_name(F.lit(canonical)).alias("name"), keys.alias("_keys"),
+    own_key = nm.normalize_entity_name(F.lit(canonical), kind)
+    stored = entities.filter((F.col("entity_type") == entity_type) & (F.col("normalized_name") == own_key))
+    # The key is unique per type, so at most one row is on record.
+    known = F.coalesce(F.flatten(F.collect_list("aliases")), F.array().cast(_NO_TEXT))
+    return stored.agg(known.alias("_known")).select(
+        kind.alias("entity_type"), own_key.alias("normalized_name"), nm.clean_entity_name(F.lit(canonical)).alias("name"),
+        F.array_sort(F.array_union("_known", keys)).alias("aliases"),
     )
-    stored = entities.select("entity_type", "normalized_name", "aliases")
-    joined = wanted.join(stored, ["entity_type", "normalized_name"], "left")
-    union = F.array_union(F.coalesce("aliases", F.array().cast(_NO_TEXT)), F.col("_keys"))
-    return joined.select("entity_type", "normalized_name", "name", F.array_sort(union).alias("aliases"))
 
 
 def entity_name_variants(requests: DataFrame, entities: DataFrame, limit: int = 5) -> DataFrame:

@@ -18,30 +18,41 @@ BLOCK_ROWS = 4096
 
 
 def _blocked(df: DataFrame, id_column: str, rows: int, block: str, blocks: str) -> DataFrame:
-    """Number the blocks of every cell: column ``block``, with the count in ``blocks``."""
-    sizes = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(blocks))
-    place = F.pmod(F.xxhash64(F.col(id_column)), F.col(blocks)).cast("int")
-    return df.join(sizes, "cell").withColumn(block, place)
+    """Spread rows over blocks: column ``block``, with the number of blocks in ``blocks``."""
+    size = F.ceil(F.count(F.lit(1)) / rows).cast("int")
+    if "cell" in df.columns:
+        counted = df.join(df.groupBy("cell").agg(size.alias(blocks)), "cell")
+    else:
+        counted = df.withColumn(blocks, df.agg(size).scalar())
+    return counted.withColumn(block, F.pmod(F.xxhash64(F.col(id_column)), F.col(blocks)).cast("int"))
+
+
+def _copied(df: DataFrame, own: str, other: DataFrame, block: str, blocks: str) -> DataFrame:
+    """One copy of every row per block of the other side; none where that side is empty."""
+    bare = df.drop(own)
+    if "cell" in df.columns:
+        met = bare.join(other.select("cell", blocks).distinct(), "cell")
+    else:
+        met = bare.withColumn(blocks, other.agg(F.coalesce(F.max(blocks), F.lit(0))).scalar()).filter(F.col(blocks) > 0)
+    return met.withColumn(block, F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))).drop(blocks)
 
 
 def compare_blocks(
     left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
     left_id: str, right_id: str, rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Apply ``compare`` to every pair of blocks with the same ``cell``.
+    """Apply ``compare`` to every pair of blocks.
 
-    Both sides carry a ``cell`` column; rows of different cells never meet.
+    When both sides carry a ``cell`` column, rows of different cells never meet.
     """
     a = _blocked(left, left_id, rows, "block_l", "n_l")
     b = _blocked(right, right_id, rows, "block_r", "n_r")
-    a_counts = a.select("cell", "n_l").distinct()
-    b_counts = b.select("cell", "n_r").distinct()
-    a = a.drop("n_l").join(b_counts, "cell").withColumn("block_r", F.explode(F.sequence(F.lit(0), F.col("n_r") - 1))).drop("n_r")
-    b = b.drop("n_r").join(a_counts, "cell").withColumn("block_l", F.explode(F.sequence(F.lit(0), F.col("n_l") - 1))).drop("n_l")
+    keys = [*(["cell"] if "cell" in left.columns else []), "block_l", "block_r"]
+    spread_a = _copied(a, "n_l", b, "block_r", "n_r")
+    spread_b = _copied(b, "n_r", a, "block_l", "n_l")
     # Both sides may come from one table: fresh aliases tell their columns apart.
-    b = b.select(*[F.col(name).alias(name) for name in b.columns])
-    keys = ["cell", "block_l", "block_r"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+    spread_b = spread_b.select(*[F.col(name).alias(name) for name in spread_b.columns])
+    return spread_a.groupBy(*keys).cogroup(spread_b.groupBy(*keys)).applyInPandas(compare, schema)
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:

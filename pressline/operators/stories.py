@@ -251,9 +251,9 @@ def revival_candidates(articles: DataFrame, stories: DataFrame, as_of: Column, r
     older = stories.filter((F.col("last_seen_at") >= oldest) & (F.col("last_seen_at") < window) & F.col("centroid").isNotNull())
     right = older.select(
         F.col("id").alias("story_id"), "centroid", F.coalesce("entity_set", F.array().cast("array<string>")).alias("entity_set"),
-        _micros("last_seen_at").alias("last_seen"), F.coalesce("importance_score", F.lit(0)).cast("int").alias("importance"), F.lit(0).alias("cell"),
+        _micros("last_seen_at").alias("last_seen"), F.coalesce("importance_score", F.lit(0)).cast("int").alias("importance"),
     )
-    left = articles.filter(F.col("embedding").isNotNull()).select("article_id", "embedding", "entity_set", F.lit(0).alias("cell"))
+    left = articles.filter(F.col("embedding").isNotNull()).select("article_id", "embedding", "entity_set")
     hits = sim.compare_blocks(left, right, _revival_block, _REVIVAL_SCHEMA, "article_id", "story_id", rows)
     order = [F.desc("cosine"), F.desc("last_seen"), F.desc("importance"), F.asc("story_id")]
     return top_n(hits, ["article_id"], order, ADJUDICATION_CANDIDATES)

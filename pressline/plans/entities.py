@@ -154,7 +154,7 @@ WITH {STORED} SELECT entity_type, normalized_name, 'Entity 4' AS name, (SELECT s
   ['Entity 4', 'Entity 8', 'The Entity 6 Ltd', 'entity 4', '4 of entity', 'entity 6', '6 of entity', 'entity 8', '8 of entity'])) AS a)) AS aliases
 FROM stored WHERE entity_type = 'organization' AND normalized_name = 'entity 4'""")
 def _(m):
-    merged = entities.merged_alias_list(m.spark, "Entity 4", ["The Entity 6 Ltd", "Entity  8"], "organization", stored(m))
+    merged = entities.merged_alias_list("Entity 4", ["The Entity 6 Ltd", "Entity  8"], "organization", stored(m))
     return merged.withColumn("aliases", F.array_join("aliases", "|"))
 
 
