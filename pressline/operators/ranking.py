@@ -25,37 +25,48 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 
 def rank_all(
-    df: DataFrame, keys: Sequence[str], coarse: Sequence[tuple[str, bool]], order: Sequence[Column], rank: str = "rank"
+    df: DataFrame, keys: Sequence[str], coarse: Sequence[tuple[str, bool]], order: Sequence[Column], rank: str = "rank",
+    at_most: Column | None = None,
 ) -> DataFrame:
     """Position of every row inside its key, for keys of any size.
 
     ``coarse`` names columns (with True for descending) that are a leading, coarsened
     part of ``order``, e.g. the day of a timestamp. Rows are numbered inside
     (key, coarse) cells and shifted by the sizes of the earlier cells, so the largest
-    sort is one cell, not one key.
+    sort is one cell, not one key. With ``at_most`` only the first positions are kept,
+    and cells that start beyond it are dropped before any row is sorted.
     """
     cell = [name for name, _ in coarse]
     sizes = df.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_size"))
     directions = [F.desc(name) if descending else F.asc(name) for name, descending in coarse]
     before = Window.partitionBy(*keys).orderBy(*directions).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    if at_most is not None:
+        offsets = offsets.filter(F.col("_offset") < at_most)
+    condition = F.lit(True)
+    for name in [*keys, *cell]:
+        condition = condition & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    placed = df.alias("l").join(offsets.alias("r"), condition).select("l.*", "r._offset")
     inside = Window.partitionBy(*keys, *cell).orderBy(*order)
-    numbered = df.withColumn("_inside", F.row_number().over(inside))
-    matches = [F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}")) for name in [*keys, *cell]]
-    condition = matches[0]
-    for match in matches[1:]:
-        condition = condition & match
-    joined = numbered.alias("l").join(offsets.alias("r"), condition)
-    return joined.select("l.*", (F.col("_inside") + F.col("r._offset")).alias(rank)).drop("_inside")
+    ranked = placed.withColumn(rank, F.row_number().over(inside) + F.col("_offset")).drop("_offset")
+    return ranked if at_most is None else ranked.filter(F.col(rank) <= at_most)
 
 
-def ranked_places(base: DataFrame, lists: Sequence[Column], coarse: Sequence[tuple[str, bool]], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+def deepest_need(requests: DataFrame) -> Column:
+    """The largest ``need`` of any request, as a scalar."""
+    return requests.agg(F.max("need")).scalar()
+
+
+def ranked_places(
+    base: DataFrame, lists: Sequence[Column], coarse: Sequence[tuple[str, bool]], order: Sequence[Column], keep: Sequence[str], at_most: Column
+) -> DataFrame:
     """Every row once per named list, with its position there: ``(list, pos, ...keep)``.
 
-    ``lists`` are string columns that name the lists a row belongs to.
+    ``lists`` are string columns that name the lists a row belongs to; positions beyond
+    ``at_most`` are left out.
     """
     member = base.withColumn("list", F.explode(F.array(*lists)))
-    ranked = rank_all(member, ["list"], coarse, order, rank="pos")
+    ranked = rank_all(member, ["list"], coarse, order, rank="pos", at_most=at_most)
     return ranked.select("list", F.col("pos").cast("int").alias("pos"), *keep)
 
 
@@ -65,12 +76,10 @@ def pick_places(requests: DataFrame, places: DataFrame, owner: str) -> DataFrame
     Rows are looked up by (list, position), so the work is the number of places asked
     for. ``requests`` is ``(owner, need, lists)``.
     """
-    deepest = requests.agg(F.max("need")).scalar()
-    reachable = places.filter(F.col("pos") <= deepest)
     wanted = requests.select(owner, "need", F.explode(F.array_distinct("lists")).alias("list")).select(
         owner, "list", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("pos")
     )
-    return wanted.join(reachable, ["list", "pos"]).drop("list", "pos").dropDuplicates([owner, "id"])
+    return wanted.join(places, ["list", "pos"]).drop("list", "pos").dropDuplicates([owner, "id"])
 
 
 def gap_sessions(
@@ -129,7 +138,7 @@ def card_image(links: DataFrame, articles: DataFrame) -> DataFrame:
 QUEUE_PRIORITIES = ["low", "normal", "high", "urgent"]
 
 
-def queue_position(queue: DataFrame, cell: str = "hour") -> DataFrame:
+def queue_position(queue: DataFrame, cell: str = "minute") -> DataFrame:
     """One plus the queued tasks of equal or higher priority that were queued earlier.
 
     Counts are accumulated per time cell first, so the running count inside a window
