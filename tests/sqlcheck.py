@@ -43,12 +43,27 @@ def rows(pdf):
     return columns, sorted((tuple(_cell(v) for v in row) for row in pdf[columns].itertuples(index=False)), key=repr)
 
 
+def kind(column):
+    """Type of a column's values: int, float, bool, str, time or what objects it holds."""
+    letter = column.dtype.kind
+    if letter == "O":
+        present = [v for v in column if v is not None]
+        return type(present[0]).__name__ if present else "str"
+    return {"i": "int", "u": "int", "f": "float", "b": "bool", "M": "time", "T": "str", "U": "str"}.get(letter, letter)
+
+
 def compare(spark_df, con, sql):
     """'' when both sides agree, else the first difference."""
-    left_columns, left = rows(spark_df.toPandas())
-    right_columns, right = rows(con.execute(sql).df())
+    ours, theirs = spark_df.toPandas(), con.execute(sql).df()
+    left_columns, left = rows(ours)
+    right_columns, right = rows(theirs)
     if left_columns != right_columns:
         return f"columns {left_columns} != {right_columns}", len(left)
+    if len(left) == len(right) and left:
+        kinds = {c: (kind(ours[c]), kind(theirs[c])) for c in left_columns}
+        wrong = {c: k for c, k in kinds.items() if k[0] != k[1]}
+        if wrong:
+            return f"types {wrong}", len(left)
     if len(left) != len(right):
         return f"{len(left)} rows != {len(right)}; first {left[:2]} / {right[:2]}", len(left)
     for a, b in zip(left, right):
