@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pressline.llm import fertility, order_minhash, suffixes
+from pressline.llm import fertility, hilbert_packing, order_minhash, poisson_mixing, suffixes
 from pressline.llm.store import stored
 
 
@@ -23,18 +23,30 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return suffixes.remove_duplicates(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated towards tempered source weights, in shuffled order."""
+    return poisson_mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids; a document that the mix repeats has pieces for every copy."""
+    return hilbert_packing.pack_along_curve(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("minhash_dedup", minhash_dedup),
     ("suffix_dedup", suffix_dedup),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
 ]
+# Tokenisers and hashing cannot be expressed in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; each stage's result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

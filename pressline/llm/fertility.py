@@ -104,11 +104,8 @@ def _token_statistics(words, path: str) -> tuple[np.ndarray, np.ndarray, np.ndar
     rows = len(words.offsets) - 1
     raw = words.data.tobytes()
     split = [raw[a:b].split() for a, b in zip(words.offsets[:-1], words.offsets[1:])]
-    at = memo.look_up([w for part in split for w in part])
-    length = memo.length[at]
+    length, ids = memo.tokens([w for part in split for w in part])
     row = np.repeat(words.row, length)
-    before = np.cumsum(length) - length
-    ids = memo.ids[np.arange(len(row)) + np.repeat(memo.start[at] - before, length)] if len(row) else np.zeros(0, np.uint16)
     tokens = np.bincount(row, minlength=rows)
     bytes_ = np.bincount(row[fallback[ids]], minlength=rows)
     kinds, times = np.unique(row * len(fallback) + ids, return_counts=True)

@@ -6,31 +6,33 @@ from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
 
+from pressline.llm.textarrays import ranges
+
 ENTRIES = 300_000
 
 
 class TokenMemo:
     """Maps words to runs in one flat array of token ids.
 
-    ``encode`` turns a list of new words into their id sequences. When the memo is full it
-    starts anew, so its memory is bounded and the result never depends on it.
+    ``encode`` turns a list of new words into their id sequences. The first ``entries`` words
+    stay; later ones are encoded again for each call, so memory is bounded and results never
+    depend on the memo.
     """
 
     def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], entries: int = ENTRIES):
         self.encode, self.entries = encode, entries
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[Hashable, int] = {}
         self.ids = np.zeros(1 << 16, np.uint16)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
+        self.passing: list = []  # words of the last call only
+        self.settled = 0  # ids that stay
 
     def _add(self, words: list) -> None:
         found = self.encode(words)
         lengths = np.fromiter(map(len, found), np.int64, len(words))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint16, int(lengths.sum()))
+        flat = np.concatenate([np.asarray(ids, np.uint16) for ids in found]) if words else np.zeros(0, np.uint16)
         at, n = len(self.place), len(words)
         while at + n > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
@@ -44,10 +46,21 @@ class TokenMemo:
 
     def look_up(self, words: list) -> np.ndarray:
         """Index of every word; valid until the next call."""
-        new = set(words).difference(self.place)
+        for word in self.passing:
+            del self.place[word]
+        self.passing, self.used = [], self.settled
+        new = list(set(words).difference(self.place))
         if new:
-            if len(self.place) + len(new) > self.entries and self.place:
-                self._clear()
-                new = set(words)
-            self._add(list(new))
+            stay = max(0, self.entries - len(self.place))
+            self._add(new[:stay])
+            self.settled = self.used
+            self.passing = new[stay:]
+            if self.passing:
+                self._add(self.passing)
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def tokens(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of every word, and all ids in order."""
+        at = self.look_up(words)
+        length = self.length[at]
+        return length, self.ids[ranges(self.start[at], length)]

@@ -2,11 +2,131 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressline.llm import fertility, order_minhash, suffixes
+from pressline.llm import (
+    boosted_trees, cross_polytope, fertility, hilbert_packing, order_minhash, poisson_mixing, sharding, suffixes, token_counts, url_reputation,
+)
 from pressline.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
+RULES = [
+    url_reputation.Rule("block", "com/en/"), url_reputation.Rule("allow", "example.com/en/7"), url_reputation.Rule("allow", "net/de/"),
+    url_reputation.Rule("block", "example.net/de/8"), url_reputation.Rule("block", "org/es/"),
+]
+
+OP1_SQL = r"""
+WITH split AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), known AS (
+  SELECT doc_id, max(CAST(quality = 1 AND toxic = 0 AS INT)) AS good FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
+), outcomes AS (
+  SELECT host, good FROM split JOIN known ON try_cast(regexp_extract(path, '/([0-9]{1,18})(\.html)?/?$', 1) AS BIGINT) = doc_id
+), judged AS (SELECT host, count(*) AS n, sum(good) AS good FROM outcomes GROUP BY host),
+named AS (
+  SELECT h.host, coalesce(n, 0) AS n, coalesce(good, 0) AS good,
+    regexp_replace(regexp_replace(regexp_replace(h.host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS name
+  FROM (SELECT DISTINCT host FROM split) h LEFT JOIN judged USING (host)
+), every AS (
+  SELECT host, n, good,
+    CASE WHEN regexp_matches(name, '^([0-9.]+|\[.*\])$') THEN name ELSE list_last(string_split(name, '.')) END AS suffix,
+    CASE WHEN regexp_matches(name, '^([0-9.]+|\[.*\])$') THEN name ELSE array_to_string(string_split(name, '.')[-2:], '.') END AS domain
+  FROM named
+), web AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS p FROM every),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT p FROM web) AS p FROM every GROUP BY suffix),
+s1 AS (SELECT least(10000.0, greatest(1.0, 1 / greatest(CASE WHEN sum(n * (n - 1)) > 0 THEN (sum((good - n * p) ^ 2 / (p * (1 - p))) - sum(n)) / sum(n * (n - 1)) ELSE 0 END, 1e-9) - 1)) AS s FROM s0),
+s2 AS (SELECT suffix, (good + s * p) / (n + s) AS p FROM s0, s1),
+d0 AS (SELECT e.domain, sum(e.n) AS n, sum(e.good) AS good, any_value(s2.p) AS p FROM every e JOIN s2 USING (suffix) GROUP BY e.domain),
+d1 AS (SELECT least(10000.0, greatest(1.0, 1 / greatest(CASE WHEN sum(n * (n - 1)) > 0 THEN (sum((good - n * p) ^ 2 / (p * (1 - p))) - sum(n)) / sum(n * (n - 1)) ELSE 0 END, 1e-9) - 1)) AS s FROM d0),
+d2 AS (SELECT domain, (good + s * p) / (n + s) AS p FROM d0, d1),
+h0 AS (SELECT host, n, good, p FROM every JOIN d2 USING (domain)),
+h1 AS (SELECT least(10000.0, greatest(1.0, 1 / greatest(CASE WHEN sum(n * (n - 1)) > 0 THEN (sum((good - n * p) ^ 2 / (p * (1 - p))) - sum(n)) / sum(n * (n - 1)) ELSE 0 END, 1e-9) - 1)) AS s FROM h0),
+h2 AS (SELECT host, n, (good + s * p) / (n + s) AS m, n + s AS w FROM h0, h1),
+h3 AS (SELECT host, n, least(1.0, m + 1.645 * sqrt(m * (1 - m) / (w + 1))) AS upper FROM h2),
+ruled AS (
+  SELECT page_id, host, path, CAST(n AS BIGINT) AS n_labelled, upper, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule
+  FROM split JOIN h3 USING (host)
+)
+SELECT page_id, host, path, rule, n_labelled,
+  CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), g AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS s, b.vec_id AS d FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), reached(s, d) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.s, l.d FROM reached r JOIN links l ON r.d = l.s
+)
+SELECT v.vec_id, coalesce(any_value(n), 0) AS n_links, min(r.d) AS component_id, min(r.d) = v.vec_id AS kept
+FROM v JOIN reached r ON r.s = v.vec_id LEFT JOIN (SELECT s, count(*) AS n FROM links GROUP BY s) c ON c.s = v.vec_id GROUP BY v.vec_id
+"""
+
+OP3_SQL = """
+WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0)) AS size FROM documents GROUP BY source),
+weights AS (SELECT source, size, CAST(size AS DOUBLE) ^ 0.5 / (SELECT sum(CAST(size AS DOUBLE) ^ 0.5) FROM sizes) AS weight FROM sizes),
+rates AS (SELECT source, (SELECT sum(size) FROM sizes) * (weight / (SELECT sum(weight) FROM weights)) / size AS rate FROM weights WHERE size > 0),
+masses AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM rates, range(0, 200) t(k)),
+draws AS (
+  SELECT doc_id, source, CAST('0x' || substr(md5('mix-1/' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents
+), counts AS (
+  SELECT doc_id, d.source, count(*) FILTER (c <= u) AS n FROM draws d JOIN masses m ON d.source IS NOT DISTINCT FROM m.source GROUP BY doc_id, d.source
+), copies AS (
+  SELECT doc_id, source, CAST(k AS INT) AS copy, CAST('0x' || substr(md5('mix-1/order/' || doc_id || '/' || k), 1, 13) AS BIGINT) AS key
+  FROM counts, range(0, 200) t(k) WHERE k < n
+)
+SELECT doc_id, source, copy, row_number() OVER (ORDER BY key, doc_id, copy) - 1 AS position FROM copies
+"""
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``host, good`` of pages whose path ends in the number of a labelled document.
+
+    A page is good when its document is of quality 1 and not toxic.
+    """
+    path = url_reputation.path_of(F.col("url"))
+    number = F.regexp_extract(path, r"/([0-9]{1,18})(\.html)?/?$", 1)
+    numbered = pages.select(url_reputation.host_of(F.col("url")).alias("host"), F.when(number != "", number.cast("long")).alias("doc_id"))
+    known = labels.filter("quality is not null and toxic is not null").groupBy("doc_id").agg(
+        F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
+    )
+    return numbered.join(known, "doc_id").select("host", "good")
+
+
+@query("op1_url_reputation", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules and host reputation for every page."""
+    pages = table(spark, folder, "pages")
+    return url_reputation.judge_urls(pages, page_outcomes(pages, table(spark, folder, "labels")), RULES)
+
+
+@query("op2_near_vectors", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    return cross_polytope.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op3_poisson_mix", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The copies of all documents in a mix with tempered source weights, with their place in the shuffle."""
+    docs = table(spark, folder, "documents")
+    rates = poisson_mixing.repetition_rates(poisson_mixing.tempered_weights(docs))
+    placed = poisson_mixing.positions(poisson_mixing.replicate(docs.select("doc_id", "source"), rates))
+    return placed.select("doc_id", "source", F.col("_copy").alias("copy"), F.col("position"))
+
 
 @query("op4_suffix_duplicates")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +134,24 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.suffix_duplicates(table(spark, folder, "documents"))
 
 
+@query("op5_minimax_shards")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op6_quality_trees")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return boosted_trees.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level BPE token counts of all documents."""
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Quality rules with fertility bands over all documents."""
@@ -24,3 +162,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of near copies among all documents."""
     return order_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_curve_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed along the curve; ids as checksums."""
+    packed = hilbert_packing.pack_along_curve(table(spark, folder, "documents"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
