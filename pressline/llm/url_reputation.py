@@ -89,14 +89,14 @@ def _shrink(groups: DataFrame) -> DataFrame:
 
 
 def host_reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``host, domain, suffix, n, good, mean, upper`` for every distinct ``host`` of ``hosts``.
+    """``host, domain, suffix, n, good, mean, upper`` for every host of ``hosts`` and ``outcomes``.
 
     ``outcomes`` has a ``host`` and a boolean ``good`` per labelled page; null outcomes do not
     count. A host without labelled pages has the prior of its domain. Without any outcome
     every rate is drawn to one half.
     """
     judged = outcomes.filter("good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
-    every = hosts.select("host").distinct().join(judged, "host", "left").fillna(0, ["n", "good"])
+    every = hosts.select("host").unionByName(judged.select("host")).distinct().join(judged, "host", "left").fillna(0, ["n", "good"])
     every = stored(with_levels(every))
     sums = (F.sum("n").alias("n"), F.sum("good").alias("good"))
     web = every.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("p")).scalar()

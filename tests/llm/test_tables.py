@@ -42,15 +42,24 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == want
 
 
-def test_bad_hosts_are_blocked_and_rare_ones_lean_on_their_domain(spark):
-    outcomes = [("bad.example.com", False)] * 200 + [("good.example.com", True)] * 200 + [("new.spam.org", False)]
-    outcomes += [(f"h{i}.spam.org", False) for i in range(60)] + [(f"h{i}.fine.org", True) for i in range(60)] + [("good.example.com", None)]
-    pages = [(0, "http://bad.example.com/"), (1, "http://good.example.com/"), (2, "http://new.spam.org/x"), (3, "http://never.fine.org"), (4, "http://seen.never.spam.org")]
-    got = url_reputation.judge_urls(
-        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "host string, good boolean"), []
-    ).collect()
-    assert {r.page_id: r.verdict for r in got} == {0: "block", 1: "allow", 2: "block", 3: "allow", 4: "block"}
-    assert {r.page_id: r.n_labelled for r in got} == {0: 200, 1: 200, 2: 1, 3: 0, 4: 0}
+def verdicts(spark, pages, outcomes):
+    df = spark.createDataFrame(outcomes, "host string, good boolean")
+    got = url_reputation.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), df, []).collect()
+    return {r.page_id: (r.verdict, r.n_labelled) for r in got}
+
+
+def test_bad_hosts_are_blocked(spark):
+    outcomes = [("bad.example.com", False)] * 200 + [("good.example.com", True)] * 200 + [("good.example.com", None)]
+    pages = [(0, "http://bad.example.com/"), (1, "http://good.example.com/"), (2, "http://new.example.com/")]
+    assert verdicts(spark, pages, outcomes) == {0: ("block", 200), 1: ("allow", 200), 2: ("allow", 0)}
+
+
+def test_rare_hosts_lean_on_their_domain(spark):
+    outcomes = [(f"h{i}.spam.org", i % 10 == 0) for i in range(300) for _ in range(3)] + [(f"h{i}.fine.org", i % 10 > 0) for i in range(300) for _ in range(3)]
+    outcomes += [(f"h{i}.{d}.co.uk", i % 2 == 0) for i in range(50) for d in ("a", "b")] + [("x.spam.org", True)]
+    pages = [(0, "http://x.spam.org/"), (1, "http://never.spam.org:80"), (2, "http://never.fine.org"), (3, "http://q.c.co.uk"), (4, "http://10.0.0.1/")]
+    got = verdicts(spark, pages, outcomes)
+    assert got[1] == ("block", 0) and got[2] == ("allow", 0) and got[3] == ("allow", 0) and got[4] == ("allow", 0) and got[0][1] == 1
 
 
 def vectors(seed):
