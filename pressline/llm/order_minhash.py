@@ -161,6 +161,25 @@ def _cross_pairs(members: DataFrame, key: str, similarity: float) -> DataFrame:
     return listed.select(F.inline(pairs))
 
 
+def _toward(members: DataFrame, end: str) -> DataFrame:
+    """Pairs of each member with one end of its bucket."""
+    pair = F.col("rep") != F.col(end)
+    return members.filter(pair).select(F.greatest("rep", end).alias("src"), F.least("rep", end).alias("dst"))
+
+
+def _beside_main(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of large buckets outside the bucket's largest part, and their pairs with four members of that part.
+
+    The four are drawn by hashes of bucket and member, so each bucket has its own.
+    """
+    draws = [F.min(F.struct(F.xxhash64("key", "rep", F.lit(k)), "rep"))["rep"] for k in range(4)]
+    sizes = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.array(*draws).alias("drawn"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "part", "drawn")).alias("main"))
+    others = stored(members.join(main, "key").filter("part <> main.part").select("key", "rep", "n", "part", "main.drawn"))
+    pairs = others.select("rep", F.explode("drawn").alias("other"))
+    return others.drop("drawn"), _toward(pairs, "other")
+
+
 def _second_keys(members: DataFrame, keys: DataFrame) -> DataFrame:
     """Members of large buckets once per further table, with a key of both sketches and a coarse size.
 
@@ -190,10 +209,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Finding candidates takes two passes. The first compares every document with the one
     leader it shares most buckets with and joins what is confirmed. The second takes all
-    pairs of a bucket whose members are still apart; a bucket of more than ``SMALL_BUCKET``
-    members is first split by second sketches, and what stays large is compared with its
-    two end members. Candidates therefore grow with the documents, not with the square of
-    a group, and none are left unverified.
+    pairs of a bucket whose members are still apart. In a bucket of more than
+    ``SMALL_BUCKET`` members those outside the largest part are compared with four drawn
+    members of that part, and among each other after a split by second sketches; what stays
+    large is compared with its two end members. Candidates therefore grow with the
+    documents, not with the square of a group, and none are left unverified.
     """
     unnamed = F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED)
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("vertex"), F.md5("text").alias("copy"), "text", "doc_id")
@@ -213,13 +233,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     parts = connected_components(first).select(F.col("id").alias("rep"), "component")
 
     apart = met.select("key", "rep", "n").join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    apart = stored(_members(apart))
+    apart = stored(_members(apart).drop("least", "largest"))
     small = _cross_pairs(apart.filter(F.col("size") <= SMALL_BUCKET), "key", similarity)
-    split = _members(_second_keys(apart.filter(F.col("size") > SMALL_BUCKET), reps.select("rep", "keys")), "key2")
+    others, to_main = _beside_main(apart.filter(F.col("size") > SMALL_BUCKET))
+    split = _members(_second_keys(others, reps.select("rep", "keys")), "key2")
     split_small = _cross_pairs(split.filter(F.col("size") <= SMALL_BUCKET), "key2", similarity)
-    ends = split.filter(F.col("size") > SMALL_BUCKET).select(
-        F.explode(F.array(F.struct(F.col("rep").alias("src"), F.col("least").alias("dst")), F.struct(F.col("largest").alias("src"), F.col("rep").alias("dst")))).alias("p")
-    ).select("p.src", "p.dst").filter("src <> dst")
+    large = split.filter(F.col("size") > SMALL_BUCKET)
+    ends = _toward(large, "least").unionByName(_toward(large, "largest")).unionByName(to_main)
     pairs = small.unionByName(split_small).unionByName(ends).distinct()
     second = _links(pairs, texts, similarity)
     labels = connected_components(first.unionByName(second)).select(F.col("id").alias("rep"), "component")
