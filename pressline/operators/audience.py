@@ -17,7 +17,7 @@ OLDER_BREAKING_KEYWORDS = ["breaking", "urgent", "alert", "crisis", "disaster"]
 BREAKING_PRIORITIES = ["low", "medium", "high", "critical"]
 POST_LIMIT = 280
 MESSAGES_PER_BATCH = 100
-MAX_BREAKING_ITEMS = 5000
+AUDIENCE_SALTS = 16  # parts into which the users of one target key are split
 
 
 # --- digest ----------------------------------------------------------------------------
@@ -276,24 +276,38 @@ def breaking_order() -> list[Column]:
     return [level.desc(), F.desc("created_at"), F.desc("id")]
 
 
-def breaking_audience(breaking: DataFrame, tokens: DataFrame, history: DataFrame, profiles: DataFrame, as_of: Column, max_items: int = MAX_BREAKING_ITEMS) -> DataFrame:
+def _keys(prefix: str, values: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.transform(values, lambda v: F.concat(F.lit(prefix), v.cast("string"))), none)
+
+
+def breaking_audience(
+    breaking: DataFrame, tokens: DataFrame, history: DataFrame, profiles: DataFrame, as_of: Column, salts: int = AUDIENCE_SALTS
+) -> DataFrame:
     """``(breaking_id, article_id, user_id)`` for every unsent item.
 
-    Targets restrict the audience when an item has any. The unsent items travel as one
-    checked, short list: more than ``max_items`` raise an error instead of growing it.
+    Targets restrict the audience when an item has any. Items and users meet in an
+    equi-join on a target key: a category, else an outlet, else the key that everyone has.
+    Each key is split into ``salts`` parts of its users, so a key that all users share is
+    many join keys. An item with several matching keys counts at the first of them.
     """
-    entry = F.struct(F.col("id").alias("breaking_id"), "article_id", "target_categories", "target_sources")
-    listed = breaking.filter("NOT is_sent").groupBy().agg(F.collect_list(entry).alias("items"), F.count(F.lit(1)).alias("n"))
-    checked = listed.select(F.when(F.col("n") > max_items, F.raise_error(F.lit(f"more than {max_items} unsent items")).cast(listed.schema["items"].dataType)).otherwise(F.col("items")).alias("items"))
-    users = tokens.filter("is_active").select("user_id").distinct().join(profiles, "user_id", "left").withColumn("items", checked.scalar())
-
-    def fits(x):
-        none = F.array().cast("array<int>")
-        likes = F.arrays_overlap(x["target_categories"], F.coalesce("preferred_categories", none))
-        follows = F.arrays_overlap(x["target_sources"], F.coalesce("followed_sources", none))
-        return ((F.size(x["target_categories"]) == 0) | likes) & ((F.size(x["target_sources"]) == 0) | follows)
-
-    pairs = users.select("user_id", F.explode(F.filter("items", fits)).alias("x")).select("x.breaking_id", "x.article_id", "user_id")
+    everyone = F.array(F.lit("all"))
+    items = breaking.filter("NOT is_sent").select(
+        F.col("id").alias("breaking_id"), "article_id", _keys("c", F.col("target_categories")).alias("_c"), _keys("s", F.col("target_sources")).alias("_s")
+    )
+    wanted = F.when(F.size("_c") > 0, F.col("_c")).when(F.size("_s") > 0, F.col("_s")).otherwise(everyone)
+    offered = items.withColumn("_wanted", F.array_distinct(wanted)).withColumn("_key", F.explode("_wanted")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    users = tokens.filter("is_active").select("user_id").distinct().join(profiles.select("user_id", "preferred_categories", "followed_sources"), "user_id", "left")
+    own = users.select(
+        "user_id", F.concat(everyone, _keys("c", F.col("preferred_categories")), _keys("s", F.col("followed_sources"))).alias("_own"),
+        F.pmod(F.xxhash64("user_id"), F.lit(salts)).cast("int").alias("_salt"),
+    )
+    reading = own.withColumn("_key", F.explode(F.array_distinct("_own")))
+    first = F.get(F.array_intersect("_wanted", "_own"), F.lit(0)) == F.col("_key")
+    from_outlet = (F.size("_s") == 0) | F.arrays_overlap("_s", "_own")
+    pairs = offered.join(reading, ["_key", "_salt"]).filter(first & from_outlet).select("breaking_id", "article_id", "user_id")
     recent = history.filter(F.col("sent_at") >= hours_before(as_of, 24)).select("user_id", "article_id")
     return pairs.join(recent, ["user_id", "article_id"], "left_anti")
 

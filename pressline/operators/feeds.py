@@ -440,10 +440,6 @@ def suggested_next_reads(
     members = links.select(F.col("article_id").alias("id"), story_key).distinct()
     done = base.filter("status = 'completed'")
     names = mentions.select(F.col("article_id").alias("id"), F.array("normalized_name").alias("keys")).distinct()
-    first_names = (
-        top_n(mentions.select("article_id", "id", "normalized_name"), ["article_id"], [F.asc("id")], limit, rank="_m")
-        .groupBy(F.col("article_id").alias("id")).agg(F.collect_set("normalized_name").alias("keys"))
-    )
 
     def tier(number, seeds, candidates):
         found = overlap_top_n(seeds, candidates, rank_key, order, limit)
@@ -454,7 +450,7 @@ def suggested_next_reads(
     tiers = (
         tier(1, full.join(own_story, "id").select("id", story_key), base.join(members, "id"))
         .unionByName(tier(2, annotated.select("id", arcs.alias("keys")), done.withColumn("keys", arcs)))
-        .unionByName(tier(3, annotated.select("id").join(first_names, "id"), done.join(names, "id")))
+        .unionByName(tier(3, annotated.select("id").join(names, "id"), done.join(names, "id")))
     )
     kept = tiers.withColumn("_best", F.min("tier").over(Window.partitionBy("seed_id"))).filter("tier = _best")
     return kept.select("seed_id", "id", "tier", "rank")

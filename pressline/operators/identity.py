@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressline.operators.graph import connected_components
 from pressline.operators.ranking import gap_sessions
@@ -128,6 +128,30 @@ def _keyed() -> Column:
     return F.array_compact(keys)
 
 
+_KEY_COLUMNS = ["id", "external_id", "source_id", "canonical_url", "url", "content_hash", "normalized_title_hash"]
+_HEADLINE = 5  # the priority of the headline key
+
+
+def lookup_keys(articles: DataFrame) -> DataFrame:
+    """``(id, scraped_at, priority, key)``: the keys under which an article is found again."""
+    keyed = articles.select(*_KEY_COLUMNS, "scraped_at").withColumn("k", F.explode(_keyed()))
+    return keyed.select("id", "scraped_at", "k.priority", "k.key")
+
+
+def _in_time(as_of: Column) -> Column:
+    """Headlines only count for 30 days."""
+    return (F.col("priority") != _HEADLINE) | (F.col("scraped_at") >= as_of - F.expr("INTERVAL 30 DAYS"))
+
+
+def _newest() -> Column:
+    return F.struct("scraped_at", (-F.col("id")).alias("i"))
+
+
+def _first_hit(hits: DataFrame) -> DataFrame:
+    first = F.min(F.struct("priority", "existing_id")).alias("m")
+    return hits.groupBy("new_id").agg(first).select("new_id", "m.existing_id", "m.priority")
+
+
 def match_existing(new: DataFrame, corpus: DataFrame, as_of: Column) -> DataFrame:
     """The stored article each new one duplicates, by the first key that hits.
 
@@ -136,16 +160,22 @@ def match_existing(new: DataFrame, corpus: DataFrame, as_of: Column) -> DataFram
     is expanded to its keys once, so one aggregation and one join serve all five rules.
     Returns ``(new_id, existing_id, priority)`` for the articles that matched.
     """
-    columns = ["id", "external_id", "source_id", "canonical_url", "url", "content_hash", "normalized_title_hash"]
-    since = as_of - F.expr("INTERVAL 30 DAYS")
-    stored = corpus.select(*columns, "scraped_at").withColumn("k", F.explode(_keyed()))
-    recent_enough = (F.col("k.priority") != 5) | (F.col("scraped_at") >= since)
-    newest = F.max_by("id", F.struct("scraped_at", (-F.col("id")).alias("i"))).alias("existing_id")
-    lookup = stored.filter(recent_enough).groupBy("k.priority", "k.key").agg(newest)
-    wanted = new.select(*columns).withColumn("k", F.explode(_keyed())).select(F.col("id").alias("new_id"), "k.priority", "k.key")
-    hits = wanted.join(lookup, ["priority", "key"])
-    first = F.min(F.struct("priority", "existing_id")).alias("m")
-    return hits.groupBy("new_id").agg(first).select("new_id", "m.existing_id", "m.priority")
+    known = lookup_keys(corpus).filter(_in_time(as_of)).groupBy("priority", "key").agg(F.max_by("id", _newest()).alias("existing_id"))
+    wanted = new.select(*_KEY_COLUMNS).withColumn("k", F.explode(_keyed())).select(F.col("id").alias("new_id"), "k.priority", "k.key")
+    return _first_hit(wanted.join(known, ["priority", "key"]))
+
+
+def match_arriving(new_keys: DataFrame, known_keys: DataFrame, as_of: Column) -> DataFrame:
+    """Like :func:`match_existing`, from lookup keys, and new articles also find earlier new ones.
+
+    Within the new articles the order is that of their scrape times, then ids.
+    """
+    known = known_keys.filter(_in_time(as_of)).groupBy("priority", "key").agg(F.max(F.struct(F.struct("scraped_at", (-F.col("id")).alias("i")).alias("at"), "id")).alias("k"))
+    before = Window.partitionBy("priority", "key").orderBy("scraped_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.struct(F.struct("scraped_at", (-F.col("id")).alias("i")).alias("at"), "id")
+    wanted = new_keys.withColumn("_e", F.max(F.when(_in_time(as_of), entry)).over(before))
+    found = wanted.join(known, ["priority", "key"], "left").withColumn("_best", F.greatest("_e", "k"))
+    return _first_hit(found.filter("_best IS NOT NULL").select(F.col("id").alias("new_id"), "priority", F.col("_best.id").alias("existing_id")))
 
 
 def already_sent(pairs: DataFrame, history: DataFrame, as_of: Column, days: int = 7) -> DataFrame:

@@ -138,30 +138,36 @@ def card_image(links: DataFrame, articles: DataFrame) -> DataFrame:
 QUEUE_PRIORITIES = ["low", "normal", "high", "urgent"]
 
 
-def queue_position(queue: DataFrame, cell: str = "minute") -> DataFrame:
+# Widths in microseconds of the cells in which a queue is counted: day, minute, second, millisecond, microsecond.
+_QUEUE_CELLS = (86_400_000_000, 60_000_000, 1_000_000, 1_000, 1)
+
+
+def queue_position(queue: DataFrame) -> DataFrame:
     """One plus the queued tasks of equal or higher priority that were queued earlier.
 
-    Counts are accumulated per time cell first, so the running count inside a window
-    covers one cell only.
+    Tasks are counted per level and microsecond, and the counts are added up in a hierarchy
+    of cells. A running total covers the days, or the few parts of one cell: 1440 at most.
     """
     level = F.array_position(F.array(*[F.lit(p) for p in QUEUE_PRIORITIES]), F.col("priority"))
-    waiting = (
-        queue.filter(F.col("status") == "queued")
-        .withColumn("_level", level)
-        .withColumn("_cell", F.date_trunc(cell, "queued_at"))
-        .withColumn("_micros", F.unix_micros("queued_at"))
-    )
+    waiting = queue.filter(F.col("status") == "queued").withColumn("_level", level).withColumn("_at", F.unix_micros("queued_at"))
     levels = range(1, len(QUEUE_PRIORITIES) + 1)
-    totals = waiting.groupBy("_cell").agg(*[F.count_if(F.col("_level") >= n).alias(f"_n{n}") for n in levels])
-    # One row per time cell: the running total over cells is small whatever the queue holds.
-    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_cell", *[F.coalesce(F.sum(f"_n{n}").over(earlier), F.lit(0)).alias(f"_o{n}") for n in levels])
-    inside = Window.partitionBy("_cell").orderBy("_micros").rangeBetween(Window.unboundedPreceding, -1)
-    counted = waiting.join(offsets, "_cell")
+    counts = waiting.groupBy("_at").agg(*[F.count_if(F.col("_level") >= n).alias(f"_n{n}") for n in levels])
+    before = None
+    for width, parent in zip(_QUEUE_CELLS, (None, *_QUEUE_CELLS)):
+        cell = F.floor(F.col("_at") / width).alias("_cell")
+        outer = F.lit(0).alias("_outer") if parent is None else F.floor(F.col("_at") / parent).alias("_outer")
+        sums = counts.groupBy(outer, cell).agg(*[F.sum(f"_n{n}").alias(f"_n{n}") for n in levels])
+        earlier = Window.partitionBy("_outer").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        here = sums.select("_outer", "_cell", *[F.coalesce(F.sum(f"_n{n}").over(earlier), F.lit(0)).alias(f"_o{n}") for n in levels])
+        if before is None:
+            before = here.drop("_outer")
+        else:
+            above = before.select(F.col("_cell").alias("_outer"), *[F.col(f"_o{n}").alias(f"_b{n}") for n in levels])
+            before = here.join(above, "_outer").select("_cell", *[(F.col(f"_o{n}") + F.col(f"_b{n}")).alias(f"_o{n}") for n in levels])
+    counted = waiting.join(before.withColumnRenamed("_cell", "_at"), "_at")
     position = F.lit(None).cast("bigint")
     for n in levels:
-        here = F.coalesce(F.sum(F.when(F.col("_level") >= n, 1).otherwise(0)).over(inside), F.lit(0))
-        position = F.when(F.col("_level") == n, F.col(f"_o{n}") + here + 1).otherwise(position)
+        position = F.when(F.col("_level") == n, F.col(f"_o{n}") + 1).otherwise(position)
     return counted.withColumn("position", position).select("id", "priority", "queued_at", "position")
 
 
@@ -178,6 +184,53 @@ def intelligence_order() -> list[Column]:
     ]
 
 
+def global_positions(
+    df: DataFrame, order: Sequence[Column], by_time: str, leading: Sequence[str] = (), position: str = "position"
+) -> DataFrame:
+    """L1/L4: the place of every row in a descending order over the whole table.
+
+    The order is ``leading`` columns, then the time ``by_time``, then anything. Rows are
+    counted per leading values and day, and days are numbered inside months, so neither the
+    running totals nor the numbering of rows takes more than one day's or one month's part.
+    """
+    month, day = F.date_trunc("month", by_time), F.to_date(by_time)
+    celled = df.withColumns({"_month": month, "_day": day})
+    group = [*leading, "_month"]
+    days = celled.groupBy(*group, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    months = days.groupBy(*group).agg(F.sum("_n").alias("_n"))
+    newest = [F.desc_nulls_first(c) for c in leading]
+    earlier = Window.orderBy(*newest, F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per month and leading values in one task.
+    by_month = months.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before_month"))
+    within = Window.partitionBy(*group).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    by_day = days.select(*group, "_day", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_before_day"))
+
+    def matched(left, right, names):
+        condition = F.lit(True)
+        for name in names:
+            condition = condition & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+        extra = [c for c in right.columns if c not in names]
+        return left.alias("l").join(right.alias("r"), condition).select("l.*", *[f"r.{c}" for c in extra])
+
+    placed = matched(celled, matched(by_day, by_month, group), [*group, "_day"])
+    inside = F.row_number().over(Window.partitionBy(*group, "_day").orderBy(*order))
+    return placed.withColumn(position, inside + F.col("_before_month") + F.col("_before_day")).drop("_month", "_day", "_before_month", "_before_day")
+
+
+def page_after(df: DataFrame, last: dict[str, Column], size: int) -> DataFrame:
+    """L2 by key: the ``size`` rows that follow the row with the values ``last``.
+
+    ``last`` names the columns of a descending order, the last of them unique, with the
+    values of the last row shown. Deep pages cost no more than the first.
+    """
+    names = list(last)
+    beyond, equal = F.lit(False), F.lit(True)
+    for name in names:
+        beyond = beyond | (equal & (F.col(name) < last[name]))
+        equal = equal & (F.col(name) == last[name])
+    return df.filter((F.col(names[0]) <= last[names[0]]) & beyond).orderBy(*[F.desc(n) for n in names]).limit(size)
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """L2: one page of a sorted table with the paging facts on every row."""
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)

@@ -33,9 +33,6 @@ ADJUDICATION_COSINE = 0.62
 ADJUDICATION_CANDIDATES = 2
 SYNTHESIS_MIN_ARTICLES = 2
 SYNTHESIS_IMPORTANCE = 7
-PAYLOAD_LIMIT = 24000
-# A serialised member takes over 90 characters, so no more members than this can show.
-PAYLOAD_MEMBERS = PAYLOAD_LIMIT // 90
 
 DAY = 86400
 
@@ -43,8 +40,13 @@ DAY = 86400
 # --- inputs ----------------------------------------------------------------------------
 
 
-def embedding_text(articles: DataFrame, enrichments: DataFrame) -> DataFrame:
-    """The text to embed: headline, body head or summary, entities, topics."""
+def embedding_text(
+    articles: DataFrame, enrichments: DataFrame, body_length: int | None = None, max_names: int | None = None, text_length: int | None = None
+) -> DataFrame:
+    """The text to embed: headline, body or summary, entities, topics.
+
+    The limits belong to the embedding model a user plugs in; without them nothing is cut.
+    """
     joined = articles.select(F.col("id").alias("article_id"), "title", "content").join(enrichments, "article_id")
     body = tx.strip(F.coalesce("content", F.lit("")))
     names = F.concat("entities_people", "entities_organizations", "entities_locations")
@@ -52,12 +54,13 @@ def embedding_text(articles: DataFrame, enrichments: DataFrame) -> DataFrame:
     parts = F.array_compact(
         F.array(
             F.coalesce("title", F.lit("")),
-            F.when(body != "", F.substring(body, 1, 6000)).when(F.coalesce("summary", F.lit("")) != "", F.col("summary")),
-            filled(F.size(names) > 0, F.concat(F.lit("Entities: "), F.array_join(F.slice(names, 1, 20), ", "))),
+            F.when(body != "", F.substring(body, 1, body_length) if body_length else body).when(F.coalesce("summary", F.lit("")) != "", F.col("summary")),
+            filled(F.size(names) > 0, F.concat(F.lit("Entities: "), F.array_join(F.slice(names, 1, max_names) if max_names else names, ", "))),
             filled(F.size("themes") > 0, F.concat(F.lit("Topics: "), F.array_join("themes", ", "))),
         )
     )
-    return joined.select("article_id", F.substring(F.array_join(parts, "\n"), 1, 8000).alias("text"))
+    text = F.array_join(parts, "\n")
+    return joined.select("article_id", (F.substring(text, 1, text_length) if text_length else text).alias("text"))
 
 
 def pending_embeddings(enrichments: DataFrame, embeddings: DataFrame, batch: int | None = None) -> DataFrame:
@@ -87,21 +90,21 @@ def unassigned(enrichments: DataFrame, embeddings: DataFrame, links: DataFrame,
     )
 
 
-def story_entity_sets(links: DataFrame, enrichments: DataFrame, articles: DataFrame) -> DataFrame:
-    """A17 for stories: names of the ten newest completed members."""
+def story_entity_sets(links: DataFrame, enrichments: DataFrame, articles: DataFrame, members: int | None = None) -> DataFrame:
+    """A17 for stories: names of all completed members, or of the newest ``members``."""
     names = vec.entity_set(F.col("entities_people"), F.col("entities_organizations"), F.col("entities_locations"))
     done = enrichments.filter("status = 'completed'").select("article_id", names.alias("entity_set"))
     dates = articles.select(F.col("id").alias("article_id"), "published_at")
     rows = links.join(done, "article_id").join(dates, "article_id")
-    return set_union(rows, "story_id", "entity_set", [F.desc_nulls_first("published_at"), F.desc("article_id")], 10)
+    return set_union(rows, "story_id", "entity_set", [F.desc_nulls_first("published_at"), F.desc("article_id")], members)
 
 
 def update_centroids(links: DataFrame, enrichments: DataFrame, embeddings: DataFrame, touched: DataFrame | None = None) -> DataFrame:
-    """Mean of at most 50 newest-made member vectors per story."""
+    """Mean of all completed members' vectors per story."""
     wanted = links.join(touched.select("story_id"), "story_id", "left_semi") if touched is not None else links
     done = enrichments.filter("status = 'completed'").select("article_id", "analyzed_at")
     members = wanted.join(done, "article_id").join(embeddings.select("article_id", "embedding"), "article_id")
-    return mean_vector(members, "story_id", [F.desc_nulls_first("analyzed_at"), F.desc("article_id")])
+    return mean_vector(members, "story_id")
 
 
 # --- matching --------------------------------------------------------------------------
@@ -453,13 +456,18 @@ def refreshed_stories(stories: DataFrame, assignments: DataFrame, articles: Data
     ).drop("_date", "_importance")
 
 
+def _latest() -> Column:
+    """Sort key of members from oldest to latest: undated ones come last."""
+    return F.struct(F.col("published_at").isNull(), "published_at", "article_id")
+
+
 def needs_synthesis(stories: DataFrame, links: DataFrame, enrichments: DataFrame, articles: DataFrame) -> DataFrame:
     """C11: stories to write anew, with the reason."""
     counts = links.groupBy("story_id").agg(F.countDistinct("article_id").alias("article_count"))
     dates = articles.select(F.col("id").alias("article_id"), "published_at")
     newest = (
         links.join(enrichments.filter("status = 'completed'").select("article_id", "importance_score"), "article_id").join(dates, "article_id")
-        .groupBy("story_id").agg(F.max_by("importance_score", F.struct("published_at", "article_id")).alias("latest_importance"))
+        .groupBy("story_id").agg(F.max_by("importance_score", _latest()).alias("latest_importance"))
     )
     joined = stories.select(F.col("id").alias("story_id"), "version", "articles_at_synthesis").join(counts, "story_id").join(newest, "story_id", "left")
     new = F.col("article_count") - F.col("articles_at_synthesis")
@@ -473,12 +481,14 @@ def needs_synthesis(stories: DataFrame, links: DataFrame, enrichments: DataFrame
 
 
 def synthesis_payload(
-    stories: DataFrame, links: DataFrame, articles: DataFrame, enrichments: DataFrame, sources: DataFrame, relations: DataFrame
+    stories: DataFrame, links: DataFrame, articles: DataFrame, enrichments: DataFrame, sources: DataFrame, relations: DataFrame,
+    text_limit: int | None = None,
 ) -> DataFrame:
     """The facts a writer gets per story: members in order, earlier stories, latest news.
 
-    The member list is cut at 24 000 characters, so only the first members that can
-    appear in it are collected.
+    A writer that takes a limited text gives ``text_limit``: the member list is cut after
+    that many characters, and only members that start before it are collected. Entries are
+    measured as they are, whatever fields are null.
     """
     outlet = sources.select(F.col("id").alias("source_id"), F.coalesce("name", F.lit("unknown")).alias("source"))
     done = enrichments.filter("status = 'completed'").select("article_id", "summary", "key_facts", "importance_score")
@@ -492,10 +502,16 @@ def synthesis_payload(
             F.col("importance_score").alias("importance"),
         )
     )
-    first = top_n(rows, ["story_id"], [F.asc("published_at"), F.asc("article_id")], PAYLOAD_MEMBERS)
-    members = first.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("_m"))
+    place = F.struct(F.col("published_at").isNull().alias("u"), F.col("published_at").alias("d"), F.col("article_id").alias("a"))
+    entered = rows.select("story_id", place.alias("place"), entry.alias("entry"))
+    if text_limit:
+        # An entry takes two characters at least, so no more than half the limit can show.
+        few = top_n(entered, ["story_id"], [F.asc("place")], text_limit // 2)
+        before = Window.partitionBy("story_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        entered = few.withColumn("_used", F.coalesce(F.sum(F.length("entry") + 1).over(before), F.lit(0))).filter(F.col("_used") < text_limit)
+    members = entered.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("place", "entry"))).alias("_m"))
     listed = F.concat(F.lit("["), F.array_join(F.transform("_m", lambda m: m["entry"]), ","), F.lit("]"))
-    newest = F.max_by(F.struct("source", "title", "summary"), F.struct("published_at", "article_id")).alias("n")
+    newest = F.max_by(F.struct("source", "title", "summary"), _latest()).alias("n")
     latest = rows.groupBy("story_id").agg(newest, F.count(F.lit(1)).alias("article_count")).select(
         "story_id", "article_count", F.concat(F.lit("["), F.col("n.source"), F.lit("] "), F.col("n.title"), F.lit(" — "), F.col("n.summary")).alias("latest"),
     )
@@ -509,7 +525,7 @@ def synthesis_payload(
     joined = members.join(latest, "story_id").join(lines, "story_id", "left")
     related = F.coalesce(F.array_join(F.transform("_r", lambda r: r["line"]), "\n"), F.lit("(none)"))
     return joined.select(
-        "story_id", "article_count", F.substring(listed, 1, PAYLOAD_LIMIT).alias("articles_json"), related.alias("related_stories"),
+        "story_id", "article_count", (F.substring(listed, 1, text_limit) if text_limit else listed).alias("articles_json"), related.alias("related_stories"),
         F.col("latest").alias("latest_article"),
     )
 
@@ -583,9 +599,7 @@ def split_contaminated(
         F.greatest(F.lit(0), F.max("importance_score")).alias("importance_score"),
     )
     vectors = members.select("new_story_id", "article_id").join(embeddings.select("article_id", "embedding"), "article_id")
-    spread = vectors.select("new_story_id", F.posexplode("embedding").alias("pos", "x"))
-    means = spread.groupBy("new_story_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centroid = means.groupBy("new_story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centroid"))
+    centroid = mean_vector(vectors, "new_story_id").drop("n_members")
     return (
         groups.join(facts, "new_story_id").join(centroid, "new_story_id", "left")
         .select("story_id", "session_no", "new_story_id", "kept", "article_count", "first_seen_at", "last_seen_at", "importance_score",
@@ -695,7 +709,11 @@ def story_articles(links: DataFrame, articles: DataFrame, enrichments: DataFrame
     framing = perspectives.select("story_id", "article_id", "sentiment_score", "notable_emphasis")
     rows = links.join(full, "article_id").join(notes, "article_id", "left").join(framing, ["story_id", "article_id"], "left")
     order = [F.desc("relevance_score"), F.desc_nulls_first("importance_score"), F.desc("published_at"), F.asc("article_id")]
-    return rank_all(rows, ["story_id"], [("relevance_score", True)], order, rank="position")
+    # Many members share one relevance; nulls must sort in cells as they do in rows.
+    level = F.coalesce(F.col("importance_score").cast("double"), F.lit(float("inf")))
+    day = F.coalesce(F.to_date("published_at"), F.lit("0001-01-01").cast("date"))
+    celled = rows.withColumns({"_level": level, "_day": day})
+    return rank_all(celled, ["story_id"], [("relevance_score", True), ("_level", True), ("_day", True)], order, rank="position").drop("_level", "_day")
 
 
 def story_versions(versions: DataFrame, limit: int = 10) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressline.functions import clients
@@ -308,27 +310,27 @@ def dimension_counts(dimension: DataFrame, facts: DataFrame, key: str, count: st
     return dimension.join(counts, "id", "left").withColumn(count, F.coalesce(count, F.lit(0)))
 
 
-def mean_vector(vectors: DataFrame, key: str, order: Sequence[Column], members: int = 50, vector: str = "embedding") -> DataFrame:
-    """Element-wise mean of at most ``members`` vectors per key, first under ``order``.
+def mean_vector(
+    vectors: DataFrame, key: str, order: Sequence[Column] = (), members: int | None = None, vector: str = "embedding"
+) -> DataFrame:
+    """Element-wise mean of the vectors of every key, summed before the shuffle.
 
-    The limit is the reference's own; it is applied before the shuffle, and it bounds
-    the list that is collected per key.
+    With ``members`` only the first so many under ``order`` count.
     """
-    kept = top_n(vectors.filter(F.col(vector).isNotNull()), [key], order, members)
-    grouped = kept.groupBy(key).agg(
-        F.collect_list(F.struct("rank", F.col(vector).cast("array<double>").alias("v"))).alias("_members")
-    )
-    ordered = F.transform(F.array_sort("_members"), lambda m: m["v"])
-    zeros = F.transform(F.col("_members")[0]["v"], lambda _: F.lit(0.0))
-    total = F.aggregate(ordered, zeros, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-    size = F.size("_members")
-    return grouped.select(key, F.transform(total, lambda x: x / size).alias("centroid"), size.alias("n_members"))
-
-
-def set_union(rows: DataFrame, key: str, values: str, order: Sequence[Column], members: int = 10) -> DataFrame:
-    """Distinct values over the first ``members`` rows of every key."""
-    kept = top_n(rows, [key], order, members)
-    return kept.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(values)))).alias(values))
+    present = vectors.filter(F.col(vector).isNotNull())
+    kept = top_n(present, [key], order, members) if members else present
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("_mean")
+    grouped = kept.groupBy(key).agg(mean, F.count(F.lit(1)).cast("int").alias("n_members"))
+    return grouped.select(key, vector_to_array("_mean").alias("centroid"), "n_members")
+
+
+def set_union(rows: DataFrame, key: str, values: str, order: Sequence[Column] = (), members: int | None = None) -> DataFrame:
+    """Distinct values over the rows of every key, or the first ``members`` under ``order``."""
+    kept = top_n(rows, [key], order, members) if members else rows
+    single = kept.select(key, F.explode(values).alias("_value")).distinct()
+    found = single.groupBy(key).agg(F.array_sort(F.collect_list("_value")).alias(values))
+    none = F.array().cast(rows.schema[values].dataType)
+    return kept.select(key).distinct().join(found, key, "left").withColumn(values, F.coalesce(values, none))
 
 
 def change_pair_counts(changes: DataFrame, old: str, new: str, limit: int = 25) -> DataFrame:

@@ -234,7 +234,7 @@ pairs AS (
   SELECT o.id AS seed_id, c.id, 1 AS tier, c.importance_score, c.published_at FROM own o JOIN full_a f ON f.id = o.id
     JOIN story_articles sa ON sa.story_id = o.story_id JOIN base c ON c.id = sa.article_id AND c.id <> o.id
   UNION SELECT s.id, c.id, 2, c.importance_score, c.published_at FROM base s JOIN base c ON c.id <> s.id AND c.status = 'completed' AND list_has_any(c.related_themes, s.related_themes)
-  UNION SELECT s.id, c.id, 3, c.importance_score, c.published_at FROM base s JOIN names n ON n.article_id = s.id AND n.k <= 5
+  UNION SELECT s.id, c.id, 3, c.importance_score, c.published_at FROM base s JOIN names n ON n.article_id = s.id
     JOIN names o ON o.normalized_name = n.normalized_name JOIN base c ON c.id = o.article_id AND c.id <> s.id AND c.status = 'completed'),
 best AS (SELECT *, min(tier) OVER (PARTITION BY seed_id) AS first_tier FROM pairs)
 SELECT seed_id, id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY importance_score DESC, published_at DESC, id DESC) AS rank

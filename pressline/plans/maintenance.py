@@ -195,17 +195,13 @@ def _(m):
 
 
 @query("j8_id_map_join", """
-WITH lists AS (SELECT user_id, id AS row_id, article_id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS k FROM history),
-few AS (SELECT * FROM lists WHERE k <= 8)
-SELECT user_id, coalesce(string_agg(a.id || ':' || category_id, ',' ORDER BY k) FILTER (WHERE a.id IS NOT NULL), '') AS items FROM few
-LEFT JOIN (SELECT * FROM articles WHERE has_full_content) a ON a.id = few.article_id GROUP BY user_id""")
+SELECT h.user_id, coalesce(string_agg(a.id || ':' || category_id, ',' ORDER BY h.id) FILTER (WHERE a.id IS NOT NULL), '') AS items FROM history h
+LEFT JOIN (SELECT * FROM articles WHERE has_full_content) a ON a.id = h.article_id GROUP BY h.user_id""")
 def _(m):
-    from pressline.operators.ranking import top_n
-
-    few = top_n(m.history, ["user_id"], [F.asc("id")], 8, rank="k").groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "article_id"))), lambda x: x["article_id"]).alias("ids")
+    lists = m.history.groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "article_id"))), lambda x: x["article_id"]).alias("ids")
     )
-    mapped = joins.id_map_join(few, "user_id", "ids", m.articles.filter("has_full_content"), ["category_id"])
+    mapped = joins.id_map_join(lists, "user_id", "ids", m.articles.filter("has_full_content"), ["category_id"])
     shown = F.transform("items", lambda x: F.concat(x["id"], F.lit(":"), x["category_id"]))
     return mapped.select("user_id", F.array_join(shown, ",").alias("items"))
 

@@ -44,12 +44,12 @@ EMBEDDED = f"""emb AS (SELECT e.article_id, v.embedding AS v, published_at, scra
   WHERE status = 'completed' AND NOT list_contains(themes, 'sports'))"""
 CENTROIDS = f"""ranked AS (SELECT sa.story_id, v.embedding, row_number() OVER (PARTITION BY sa.story_id ORDER BY analyzed_at DESC, e.article_id DESC) AS r
   FROM story_articles sa JOIN enrichments e ON e.article_id = sa.article_id JOIN vectors v ON v.article_id = sa.article_id WHERE status = 'completed'),
-parts AS (SELECT story_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM ranked WHERE r <= 50),
+parts AS (SELECT story_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM ranked),
 means AS (SELECT story_id, pos, avg(CAST(x AS DOUBLE)) AS x FROM parts GROUP BY 1, 2),
 centroids AS (SELECT story_id, list(x ORDER BY pos) AS c FROM means GROUP BY 1),
 newest AS (SELECT sa.story_id, {NAMES} AS names, row_number() OVER (PARTITION BY sa.story_id ORDER BY published_at DESC, a.id DESC) AS r
   FROM story_articles sa JOIN enrichments e ON e.article_id = sa.article_id JOIN articles a ON a.id = sa.article_id WHERE status = 'completed'),
-story_names AS (SELECT story_id, list(DISTINCT n) AS names FROM (SELECT story_id, unnest(names) AS n FROM newest WHERE r <= 10) GROUP BY 1),
+story_names AS (SELECT story_id, list(DISTINCT n) AS names FROM (SELECT story_id, unnest(names) AS n FROM newest) GROUP BY 1),
 matchable AS (SELECT s.*, c, coalesce(n.names, []) AS names FROM stories s JOIN centroids ON centroids.story_id = s.id LEFT JOIN story_names n ON n.story_id = s.id)"""
 
 
@@ -76,8 +76,8 @@ decided AS (SELECT *, CASE WHEN r = 1 AND cos >= 0.80 AND ent >= 0.10 THEN 'atta
 revival AS (SELECT article_id, story_id, action FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY r) AS k FROM decided WHERE action IS NOT NULL) WHERE k = 1)"""
 
 
-EMBEDDING_TEXT = f"""substr(title || chr(10) || CASE WHEN {sql_strip('content')} <> '' THEN substr({sql_strip('content')}, 1, 6000) ELSE summary END || chr(10) || 'Entities: ' ||
-  array_to_string(list_concat(entities_people, list_concat(entities_organizations, entities_locations))[1:20], ', ') || chr(10) || 'Topics: ' || array_to_string(themes, ', '), 1, 8000)"""
+EMBEDDING_TEXT = f"""title || chr(10) || CASE WHEN {sql_strip('content')} <> '' THEN {sql_strip('content')} ELSE summary END || chr(10) || 'Entities: ' ||
+  array_to_string(list_concat(entities_people, list_concat(entities_organizations, entities_locations)), ', ') || chr(10) || 'Topics: ' || array_to_string(themes, ', ')"""
 
 
 @query("c1_embedding_text", f"SELECT article_id, {EMBEDDING_TEXT} AS text FROM enrichments JOIN articles ON articles.id = article_id")
@@ -259,8 +259,8 @@ def _(m):
 WITH rows AS (SELECT story_id, a.id, s.name AS source, published_at, title, summary, key_facts, importance_score, row_number() OVER (PARTITION BY story_id ORDER BY published_at, a.id) AS r,
     row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC, a.id DESC) AS back FROM story_articles sa JOIN articles a ON a.id = sa.article_id
     JOIN enrichments e ON e.article_id = a.id JOIN sources s ON s.id = a.source_id WHERE status = 'completed'),
-listed AS (SELECT story_id, count(*) AS n, substr('[' || string_agg(CAST(to_json(struct_pack(article_id := id, source := source, published := strftime(published_at, '%Y-%m-%d %H:%M:%S'), title := title,
-    summary := summary, key_facts := key_facts, importance := importance_score)) AS VARCHAR), ',' ORDER BY r) || ']', 1, 24000) AS articles_json FROM rows GROUP BY 1),
+listed AS (SELECT story_id, count(*) AS n, '[' || string_agg(CAST(to_json(struct_pack(article_id := id, source := source, published := strftime(published_at, '%Y-%m-%d %H:%M:%S'), title := title,
+    summary := summary, key_facts := key_facts, importance := importance_score)) AS VARCHAR), ',' ORDER BY r) || ']' AS articles_json FROM rows GROUP BY 1),
 lines AS (SELECT from_story_id AS story_id, string_agg(substr('- [' || CAST(CAST(last_seen_at AS DATE) AS VARCHAR) || '] ' || title || ': ' || short_summary, 1, 300), chr(10) ORDER BY to_story_id) AS t
   FROM story_relations JOIN stories ON stories.id = to_story_id GROUP BY 1)
 SELECT listed.story_id, n AS article_count, articles_json, coalesce(t, '(none)') AS related_stories, '[' || source || '] ' || title || ' — ' || summary AS latest_article

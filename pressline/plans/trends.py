@@ -212,31 +212,30 @@ def _(m):
 
 
 @query("a16_mean_vector", """
-WITH ranked AS (SELECT story_id, embedding, row_number() OVER (PARTITION BY story_id ORDER BY analyzed_at DESC, e.article_id DESC) AS rank
+WITH ranked AS (SELECT story_id, embedding
   FROM story_articles sa JOIN enrichments e ON e.article_id = sa.article_id JOIN embeddings v ON v.vec_id = sa.article_id WHERE status = 'completed'),
-parts AS (SELECT story_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM ranked WHERE rank <= 50)
+parts AS (SELECT story_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM ranked)
 SELECT story_id, pos - 1 AS pos, round(avg(CAST(x AS DOUBLE)), 5) AS x FROM parts GROUP BY story_id, pos""")
 def _(m):
     members = (
         m.story_articles.join(m.enrichments.filter("status = 'completed'").select("article_id", "analyzed_at"), "article_id")
         .join(m.embeddings.select("article_id", "embedding"), "article_id")
     )
-    centroid = trends.mean_vector(members, "story_id", [F.desc("analyzed_at"), F.desc("article_id")])
+    centroid = trends.mean_vector(members, "story_id")
     return centroid.select("story_id", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
 @query("a17_set_union_agg", """
-WITH ranked AS (SELECT story_id, entities_people || entities_organizations || entities_locations AS names,
-    row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC, a.id DESC) AS rank
+WITH ranked AS (SELECT story_id, entities_people || entities_organizations || entities_locations AS names
   FROM story_articles sa JOIN articles a ON a.id = sa.article_id JOIN enrichments e ON e.article_id = sa.article_id WHERE status = 'completed')
-SELECT story_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT story_id, unnest(names) AS name FROM ranked WHERE rank <= 10) GROUP BY 1""")
+SELECT story_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT story_id, unnest(names) AS name FROM ranked) GROUP BY 1""")
 def _(m):
     done = m.enrichments.filter("status = 'completed'").select(
         "article_id", F.concat("entities_people", "entities_organizations", "entities_locations").alias("names")
     )
     dates = m.articles.select(F.col("id").alias("article_id"), "published_at")
     rows = m.story_articles.join(done, "article_id").join(dates, "article_id")
-    union = trends.set_union(rows, "story_id", "names", [F.desc("published_at"), F.desc("article_id")])
+    union = trends.set_union(rows, "story_id", "names")
     return union.select("story_id", F.array_join("names", ",").alias("names"))
 
 
@@ -354,9 +353,9 @@ def _(m):
     return ranking.queue_position(m.video_queue)
 
 
-@query("l1_freshness_order", "SELECT id, scraped_at FROM articles ORDER BY scraped_at DESC, id DESC LIMIT 100")
+@query("l1_freshness_order", "SELECT id, scraped_at, row_number() OVER (ORDER BY scraped_at DESC, id DESC) AS position FROM articles")
 def _(m):
-    return m.articles.select("id", "scraped_at").orderBy(*ranking.freshness_order()).limit(100)
+    return ranking.global_positions(m.articles.select("id", "scraped_at"), ranking.freshness_order(), by_time="scraped_at")
 
 
 @query("l2_page", """
@@ -368,9 +367,21 @@ def _(m):
 
 
 @query("l4_intelligence_order", """
-SELECT id, importance_score FROM articles a JOIN enrichments e ON e.article_id = a.id WHERE status = 'completed'
-ORDER BY is_breaking_candidate DESC, importance_score DESC, follow_up_worthy DESC, scraped_at DESC, id DESC LIMIT 50""")
+SELECT id, importance_score, row_number() OVER (ORDER BY is_breaking_candidate DESC, importance_score DESC, follow_up_worthy DESC, scraped_at DESC, id DESC) AS position
+FROM articles a JOIN enrichments e ON e.article_id = a.id WHERE status = 'completed'""")
 def _(m):
     done = m.enrichments.filter("status = 'completed'").withColumnRenamed("article_id", "id")
     rows = m.articles.select("id", "scraped_at").join(done, "id")
-    return rows.orderBy(*ranking.intelligence_order()).limit(50).select("id", "importance_score")
+    leading = ["is_breaking_candidate", "importance_score", "follow_up_worthy"]
+    placed = ranking.global_positions(rows, ranking.intelligence_order(), by_time="scraped_at", leading=leading)
+    return placed.select("id", "importance_score", "position")
+
+
+@query("l2_page_after", """
+SELECT id, scraped_at FROM articles WHERE has_full_content AND (scraped_at < TIMESTAMP '2024-01-30 00:00:00' OR scraped_at = TIMESTAMP '2024-01-30 00:00:00' AND id < 7)
+ORDER BY scraped_at DESC, id DESC LIMIT 20""")
+def _(m):
+    """The page after a key; the key reaches the scan as a filter."""
+    rows = m.articles.filter("has_full_content").select("id", "scraped_at")
+    last = {"scraped_at": F.lit("2024-01-30 00:00:00").cast("timestamp"), "id": F.lit(7)}
+    return ranking.page_after(rows, last, 20)

@@ -1,9 +1,11 @@
 """Operators on small fixtures: traps, ties, hot keys and properties."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from pressline.operators import annotations, audience, entities, feeds, graph, identity, joins, ranking, search, trends, video
@@ -61,7 +63,9 @@ def test_gap_sessions_of_a_hot_key(spark, break_at_gap):
 
 def test_queue_position_counts_higher_levels_queued_earlier(spark):
     rng = random.Random(3)
-    rows = [(i, rng.choice(ranking.QUEUE_PRIORITIES), "queued", AS_OF + timedelta(minutes=rng.randint(0, 300))) for i in range(200)]
+    rows = [(i, rng.choice(ranking.QUEUE_PRIORITIES), "queued", AS_OF + timedelta(minutes=rng.randint(-3000, 3000))) for i in range(200)]
+    # A third of the queue inside one second.
+    rows += [(1000 + i, rng.choice(ranking.QUEUE_PRIORITIES), "queued", AS_OF + timedelta(microseconds=rng.randint(0, 40) * 20_011)) for i in range(100)]
     df = spark.createDataFrame(rows, "id int, priority string, status string, queued_at timestamp")
     level = ranking.QUEUE_PRIORITIES.index
     for r in ranking.queue_position(df).collect():
@@ -207,16 +211,29 @@ def test_query_language():
     assert search.search_terms("it's an old-time query") == ["old", "time", "query"]
 
 
-@pytest.mark.parametrize(
-    ("raw", "good"),
-    [
-        ('{"key": 1}', True), ('```json\n{"a": 1}\n```', True), ('```\n{"a": 1}\n```', True), ('  \n {"a": 1} \n', True), ("", False), ("   \n", False),
-        ("not json", False), ('{"a": [1, 2', False), ('{"a": {"b": [1, {"c": 2}]}}', True), ('```json\n\n{"a": 1}\n\n```', True), (None, False),
-    ],
+JSON_VALUES = st.recursive(
+    st.none() | st.booleans() | st.integers(-1000, 1000) | st.text("ab `\n\\\"{}", max_size=6),
+    lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text("xyz", min_size=1, max_size=3), inner, max_size=3), max_leaves=8,
 )
-def test_model_json(spark, raw, good):
-    row = annotations.parse_model_json(spark.createDataFrame([(raw,)], "raw string")).selectExpr("data IS NOT NULL AS ok", "error").first()
-    assert row.ok == good and (row.error is None) == good
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.dictionaries(st.text("key", min_size=1, max_size=3), JSON_VALUES, max_size=3), st.sampled_from(["", "```", "```json"]), st.integers(0, 3), st.integers(0, 12)), min_size=20, max_size=40))
+def test_wrapped_json_is_read_back_and_cut_json_is_not(spark, cases):
+    """Any object inside a fence and padding is found; the same text without its end is an error."""
+    rows, want = [], []
+    for value, fence, padding, cut in cases:
+        body = json.dumps(value)
+        whole = f"{fence}\n{body}\n```" if fence else body
+        rows.append((len(rows), "\n " * padding + whole + " \n" * padding))
+        want.append(value)
+        rows.append((len(rows), body[: max(0, len(body) - 1 - cut)]))
+        want.append(None)
+    parsed = annotations.parse_model_json(spark.createDataFrame(rows, "id int, raw string"))
+    for row in parsed.selectExpr("id", "to_json(data) AS data", "error").collect():
+        assert (row.error is None) == (want[row.id] is not None), rows[row.id]
+        if want[row.id] is not None:
+            assert json.loads(row.data) == want[row.id]
 
 
 def validated(spark, raw):
@@ -253,8 +270,15 @@ def test_breaking_audience_never_meets_recent_history(spark):
     history = spark.createDataFrame([(2, 101, AS_OF - timedelta(hours=1))], "user_id bigint, article_id bigint, sent_at timestamp")
     found = audience.breaking_audience(items, tokens, history, profiles, now())
     assert {(r.breaking_id, r.user_id) for r in found.collect()} == {(1, 1), (2, 1)}
-    with pytest.raises(Exception, match="unsent items"):
-        audience.breaking_audience(items, tokens, history, profiles, now(), max_items=1).collect()
+    many = spark.range(20000).selectExpr(
+        "id + 10 AS id", "id + 1000 AS article_id", "false AS is_sent", "IF(id % 2 = 0, array(2, 3), cast(array() AS array<int>)) AS target_categories",
+        "IF(id % 4 < 2, array(7), cast(array() AS array<int>)) AS target_sources",
+    )
+    fans = spark.createDataFrame([(1, [3, 2], [7]), (2, [], [7])], "user_id bigint, preferred_categories array<int>, followed_sources array<int>")
+    reached = audience.breaking_audience(many, tokens, history, fans, now())
+    # User 1 fits every item; user 2 those without categories, whatever their outlet.
+    assert {(r.user_id, r["count"]) for r in reached.groupBy("user_id").count().collect()} == {(1, 20000), (2, 10000)}
+    assert reached.distinct().count() == 30000
 
 
 def test_batches_hold_a_hundred(spark):
