@@ -227,12 +227,15 @@ def schedule_messages(selected: DataFrame, articles: DataFrame, sources: DataFra
 def alert_messages(alerts: DataFrame, tokens: DataFrame) -> DataFrame:
     """N8 for story alerts: every active token gets every alert.
 
-    ``alerts`` is the short list of :func:`pending_alerts`; it travels as one row.
+    The fan-out is the result itself. Alerts and tokens meet on a salt, so neither list is
+    ever one row or one task.
     """
-    entry = F.struct(F.col("id").alias("alert_id"), "story_id", "article_id", "title", F.substring("reason", 1, 180).alias("body"), "importance_score")
-    listed = alerts.groupBy().agg(F.collect_list(entry).alias("_alerts"))
-    sent = tokens.filter("is_active").withColumn("_alerts", listed.scalar())
-    return sent.select("user_id", "token", F.explode("_alerts").alias("x")).select("user_id", "token", "x.*")
+    sent = alerts.select(
+        F.col("id").alias("alert_id"), "story_id", "article_id", "title", F.substring("reason", 1, 180).alias("body"), "importance_score",
+        F.explode(F.sequence(F.lit(0), F.lit(AUDIENCE_SALTS - 1))).alias("_salt"),
+    )
+    to = tokens.filter("is_active").select("user_id", "token", F.pmod(F.xxhash64("token"), F.lit(AUDIENCE_SALTS)).cast("int").alias("_salt"))
+    return to.join(sent, "_salt").select("user_id", "token", *[c for c in sent.columns if c != "_salt"])
 
 
 def message_batches(messages: DataFrame, per: str, size: int = MESSAGES_PER_BATCH, bucket: int = 10000) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressline.operators.ranking import freshness_order
+from pressline.session import cut_lineage
 
 TERM = r"[\p{L}\p{N}_]+"
 FIELD_WEIGHTS = {"title": 1.0, "excerpt": 0.4, "content": 0.2}
@@ -163,24 +164,29 @@ def any_term_search(articles: DataFrame, query: str) -> DataFrame:
 def cascade_search(queries: Sequence[tuple[int, str]], articles: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Q6: for each query the matches of the first strategy that finds anything.
 
-    One scan tests the three text strategies for all queries and emits only matches;
-    the ranked strategy comes from the postings. The smallest tier per query is kept.
+    The ranked strategy comes from the postings. Only the queries it leaves open are tested
+    on the texts, with all three text strategies in one scan that emits only matches; of
+    these the smallest tier per query is kept.
     """
-    ranked = fts_search(queries, articles, index).select("query_id", "id", F.lit(1).alias("tier"), "rank")
+    ranked = cut_lineage(fts_search(queries, articles, index).select("query_id", "id", F.lit(1).alias("tier"), "rank"))
+    answered = {row["query_id"] for row in ranked.select("query_id").distinct().collect()}  # as many as queries
+    waiting = [(qid, text) for qid, text in queries if qid not in answered]
+    if not waiting:
+        return ranked
     tests = F.array(
         *[
             F.struct(F.lit(qid).cast("bigint").alias("query_id"), F.lit(tier).alias("tier"), match.alias("hit"))
-            for qid, text in queries
+            for qid, text in waiting
             for tier, match in ((2, phrase_match(text)), (3, all_terms_match(text)), (4, any_term_match(text)))
         ]
     )
     scanned = articles.select("id", F.explode(F.filter(tests, lambda t: t["hit"])).alias("t")).select(
         "t.query_id", "id", "t.tier", F.lit(None).cast("double").alias("rank")
     )
-    matches = ranked.unionByName(scanned)
-    first = matches.groupBy("query_id").agg(F.min("tier").alias("_tier"))
-    kept = matches.join(first, "query_id").filter("tier = _tier")
-    return kept.drop("_tier")
+    scanned = cut_lineage(scanned)
+    first = scanned.groupBy("query_id").agg(F.min("tier").alias("_tier"))
+    kept = scanned.join(first, "query_id").filter("tier = _tier").drop("_tier")
+    return ranked.unionByName(kept.select(*ranked.columns))
 
 
 def search_sort(matches: DataFrame, articles: DataFrame, mode: str, query: str = "", views: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_ROWS = 4096
+STRIP_ROWS = 512  # rows of a block that are compared at once; bounds the dense matrices of a task
 
 
 def _blocked(df: DataFrame, id_column: str, rows: int, block: str, blocks: str) -> DataFrame:
@@ -52,7 +53,20 @@ def compare_blocks(
     spread_b = _copied(b, "n_r", a, "block_l", "n_l")
     # Both sides may come from one table: fresh aliases tell their columns apart.
     spread_b = spread_b.select(*[F.col(name).alias(name) for name in spread_b.columns])
-    return spread_a.groupBy(*keys).cogroup(spread_b.groupBy(*keys)).applyInPandas(compare, schema)
+    return spread_a.groupBy(*keys).cogroup(spread_b.groupBy(*keys)).applyInPandas(striped(compare), schema)
+
+
+def striped(compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Compare a few left rows at a time, so that a task holds no matrix of a whole block pair."""
+
+    def compare_strips(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) <= STRIP_ROWS:
+            return compare(left, right)
+        strips = [compare(left.iloc[at : at + STRIP_ROWS].reset_index(drop=True), right) for at in range(0, len(left), STRIP_ROWS)]
+        found = [strip for strip in strips if len(strip)]
+        return pd.concat(found, ignore_index=True) if found else strips[0]
+
+    return compare_strips
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:

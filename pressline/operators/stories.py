@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressline.functions import text as tx
 from pressline.functions import vectors as vec
 from pressline.operators import similarity as sim
 from pressline.operators.entities import verbatim_entities
-from pressline.operators.feeds import exclude_themes
+from pressline.operators.feeds import exclude_themes, hours_before
 from pressline.operators.graph import connected_components
 from pressline.operators.ranking import card_image, first_seen, gap_sessions, rank_all, top_n
 from pressline.operators.trends import mean_vector, set_union, story_counts
-from pressline.session import cut_lineage
+from pressline.session import cut_lineage, shared_dir
 
 # --- fixed values: matching thresholds ---
 ATTACH_SCORE = 0.66
@@ -632,44 +636,67 @@ def prune_by_theme(stories: DataFrame, theme: str, children: dict[str, DataFrame
     return {"stories": stories.filter(~F.col("primary_theme").eqNullSafe(F.lit(theme))), **kept}
 
 
+_ASSIGNMENT = "article_id bigint, story_id bigint, action string, relevance_score double, related_story_id bigint"
+_STATE = "id bigint, total array<double>, n bigint, entity_set array<string>, last_seen_at timestamp, importance_score int"
+
+
 def rebuild_all(
     articles: DataFrame, enrichments: DataFrame, embeddings: DataFrame, adjudicate: Adjudicator, as_of: Column, batch_days: int = 1,
     replay: bool = True, rows: int = sim.BLOCK_ROWS,
 ) -> DataFrame:
     """All assignments from scratch, one pass per ``batch_days`` of publication dates.
 
-    Stories grow from pass to pass as in the reference; each pass ends in a checkpoint,
-    so a lost executor never replays earlier passes. With ``replay`` a pass runs as of
-    the end of its own days; otherwise every pass uses ``as_of``, as the reference does,
-    and stories older than the event window can only be revived.
+    Articles without a publication date come last, by the day they were scraped, which is
+    also their event date. Stories are carried from pass to pass as a table with the sums of
+    their vectors; a pass adds its own articles to it, stories too old to be revived leave
+    it, and the assignments of every pass are a table of their own. Work is thus linear in
+    the passes, and a lost executor never replays earlier ones. With ``replay`` a pass runs
+    as of the end of its own days; otherwise every pass uses ``as_of``, as the reference
+    does, and stories older than the event window can only be revived.
     """
     spark = articles.sparkSession
-    empty_links = spark.createDataFrame([], "article_id bigint")
-    work = cut_lineage(unassigned(enrichments, embeddings, empty_links, articles))
-    span = work.agg(F.min(F.to_date("published_at")).alias("lo"), F.max(F.to_date("published_at")).alias("hi")).first()
-    done = spark.createDataFrame([], "article_id bigint, story_id bigint, action string, relevance_score double, related_story_id bigint")
-    if span["lo"] is None:
-        return done
-    for offset in range(0, (span["hi"] - span["lo"]).days + 1, batch_days):
-        day = F.date_add(F.lit(span["lo"]), offset)
-        batch = work.filter((F.to_date("published_at") >= day) & (F.to_date("published_at") < F.date_add(day, batch_days)))
-        stories = current_stories(done, work, enrichments, embeddings, articles)
-        newest = F.least(as_of, F.date_add(day, batch_days).cast("timestamp")) if replay else as_of
-        done = cut_lineage(done.unionByName(assign_batch(batch, stories, adjudicate, newest, rows)))
-    return done
-
-
-def current_stories(assignments: DataFrame, work: DataFrame, enrichments: DataFrame, embeddings: DataFrame, articles: DataFrame) -> DataFrame:
-    """Stories as the matcher needs them, from the assignments so far."""
-    links = assignments.select("story_id", "article_id")
-    facts = links.join(work.select("article_id", "published_at", "importance_score"), "article_id").groupBy("story_id").agg(
-        F.max("published_at").alias("last_seen_at"), F.max("importance_score").alias("importance_score")
-    )
-    centroid = update_centroids(links, enrichments, embeddings).select("story_id", "centroid")
-    names = story_entity_sets(links, enrichments, articles)
-    return facts.join(centroid, "story_id").join(names, "story_id", "left").select(
-        F.col("story_id").alias("id"), "centroid", "entity_set", "last_seen_at", "importance_score", F.lit("active").alias("status")
-    )
+    root = f"{shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
+    waiting = unassigned(enrichments, embeddings, spark.createDataFrame([], "article_id bigint"), articles)
+    event = F.coalesce("published_at", "scraped_at")
+    work = cut_lineage(waiting.withColumns({"_undated": F.col("published_at").isNull(), "_day": F.to_date(event)}))
+    days = [(r["_undated"], r["_day"]) for r in work.select("_undated", "_day").distinct().collect()]  # one row per calendar day
+    passes = sorted({(undated, (day.toordinal() if day else 0) // batch_days) for undated, day in days})
+    stories = spark.createDataFrame([], _STATE)
+    done = [spark.createDataFrame([], _ASSIGNMENT)]
+    for number, (undated, span) in enumerate(passes):
+        ordinal = F.coalesce(F.datediff("_day", F.lit("0001-01-01").cast("date")) + 1, F.lit(0))
+        batch = work.filter((F.col("_undated") == undated) & (F.floor(ordinal / batch_days) == span)).drop("_undated", "_day")
+        end = F.date_add(F.lit("0001-01-01").cast("date"), (span + 1) * batch_days - 1).cast("timestamp")
+        newest = F.least(as_of, end) if replay and not undated else as_of
+        known = stories.select("id", F.transform("total", lambda x: x / F.col("n")).alias("centroid"), "entity_set", "last_seen_at", "importance_score", F.lit("active").alias("status"))
+        assign_batch(batch, known, adjudicate, newest, rows).select("article_id", "story_id", "action", "relevance_score", "related_story_id").write.parquet(f"{root}/pass-{number}")
+        assigned = spark.read.schema(_ASSIGNMENT).parquet(f"{root}/pass-{number}")
+        stories = cut_lineage(grown_stories(stories, assigned, work, newest if replay and not undated else None))
+        done.append(assigned)
+    return reduce(DataFrame.unionByName, done)
+
+
+def grown_stories(stories: DataFrame, assigned: DataFrame, work: DataFrame, as_of: Column | None) -> DataFrame:
+    """The table of stories after a pass: new members' vectors, names, dates and importance added.
+
+    With ``as_of`` the stories that no later article can revive are left out.
+    """
+    members = assigned.select("story_id", "article_id").join(work, "article_id")
+    sums = members.groupBy(F.col("story_id").alias("_id")).agg(
+        Summarizer.sum(array_to_vector(F.col("embedding").cast("array<double>"))).alias("_sum"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.coalesce("published_at", "scraped_at")).alias("_last"), F.max("importance_score").alias("_importance"),
+    )
+    names = set_union(members.select(F.col("story_id").alias("_id"), F.col("entity_set").alias("_names")), "_id", "_names")
+    none = F.array().cast("array<string>")
+    both = stories.join(sums.withColumn("_sum", vector_to_array("_sum")).join(names, "_id", "left"), F.col("id") == F.col("_id"), "full_outer")
+    merged = both.select(
+        F.coalesce("id", "_id").alias("id"),
+        F.when(F.col("total").isNull(), F.col("_sum")).when(F.col("_sum").isNull(), F.col("total")).otherwise(F.zip_with("total", "_sum", lambda x, y: x + y)).alias("total"),
+        (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"),
+        F.array_sort(F.array_union(F.coalesce("entity_set", none), F.coalesce("_names", none))).alias("entity_set"),
+        F.greatest("last_seen_at", "_last").alias("last_seen_at"), F.greatest("importance_score", "_importance").alias("importance_score"),
+    )
+    return merged if as_of is None else merged.filter(F.col("last_seen_at") >= hours_before(as_of, 24 * (REVIVAL_LOOKBACK_DAYS + 1)))
 
 
 # --- reading ---------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pressline.operators import stories
 from pressline.plans.identity import sql_strip
 from pressline.plans.model import AS_OF_SQL, Model
 from pressline.plans.registry import query
+from pressline.session import cut_lineage
 
 LATER_SQL = "TIMESTAMP '2024-03-05 00:00:00'"
 
@@ -337,9 +338,25 @@ def _(m):
     return out
 
 
+def rebuilt(m: Model):
+    """A rebuild in which every 13th article has no publication date."""
+    articles = m.articles.withColumn("published_at", F.when(F.col("id") % 13 != 0, F.col("published_at")))
+    return stories.rebuild_all(articles, m.enrichments, m.vectors, stories.verdicts_by(judge), m.as_of, batch_days=8)
+
+
 @query("c16_rebuild_all")
 def _(m):
-    return stories.rebuild_all(m.articles, m.enrichments, m.vectors, stories.verdicts_by(judge), m.as_of, batch_days=8)
+    return rebuilt(m)
+
+
+@query("c16_rebuild_members", f"""
+WITH {EMBEDDED} SELECT article_id, 1::BIGINT AS n_stories, true AS seeded FROM emb""")
+def _(m):
+    """Every eligible article, dated or not, is in one story, and every story has the article that made it."""
+    done = cut_lineage(rebuilt(m))
+    seeds = done.filter("action = 'created'").select("story_id").distinct().withColumn("seeded", F.lit(True))
+    joined = done.join(seeds, "story_id", "left")
+    return joined.groupBy("article_id").agg(F.countDistinct("story_id").alias("n_stories"), F.every(F.coalesce("seeded", F.lit(False))).alias("seeded"))
 
 
 @query("c17_story_card", """

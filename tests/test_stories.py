@@ -176,3 +176,65 @@ def test_forest_connects_what_is_linked():
     linked[0, 0] = linked[1, 0] = linked[1, 2] = True
     edges = similarity.forest(linked, np.array([1, 2, 3]), np.array([7, 8, 9]))
     assert {frozenset(e) for e in edges.itertuples(index=False)} == {frozenset({2, 1}), frozenset({7, 1}), frozenset({9, 1})}
+
+
+def test_rebuild_equals_a_story_by_story_model(spark):
+    """One article a day: each pass is one article, as in the step-by-step model; undated ones come last."""
+    rng = random.Random(11)
+    start = AS_OF - timedelta(days=40)
+    arts = []
+    for i in range(0, 24, 3):
+        angle = rng.choice([0.0, 0.25, 1.2]) + rng.uniform(-0.05, 0.05)
+        names = {rng.choice(["person:a", "person:b", "org:c"])}
+        arts.append({"id": i, "v": [math.cos(angle), math.sin(angle)], "names": names, "date": None if i in (6, 15) else start + timedelta(days=i), "scraped": start + timedelta(days=i, hours=2)})
+    existing, want = {}, {}
+    for a in sorted(arts, key=lambda a: (a["date"] is None, a["date"] or a["scraped"])):
+        day = a["date"] or a["scraped"]
+        end = datetime(day.year, day.month, day.day) + timedelta(days=1) if a["date"] else AS_OF
+        rows = [{"id": k, "v": np.mean(s["v"], axis=0), "last": s["last"], "importance": 5, "names": s["names"]} for k, s in existing.items()]
+        story, strong, score = brute_match(a, rows, min(end, AS_OF))
+        if not strong and score < 0.66:
+            story = None
+        if story is None:
+            older = [r for r in rows if r["last"] < min(end, AS_OF) - timedelta(days=14)]
+            cosine = lambda r: np.dot(a["v"], r["v"]) / np.linalg.norm(r["v"])
+            best = max(older, key=cosine, default=None)
+            story = best["id"] if best and cosine(best) >= 0.80 and jaccard(a["names"], best["names"]) >= 0.10 else None
+        if story is None:
+            story = a["id"]
+            existing[story] = {"v": [], "last": day, "names": set()}
+        s = existing[story]
+        s["v"].append(a["v"])
+        s["last"] = max(s["last"], day)
+        s["names"] |= a["names"]
+        want[a["id"]] = story
+    articles = spark.createDataFrame([(a["id"], a["date"], a["scraped"]) for a in arts], "id bigint, published_at timestamp, scraped_at timestamp")
+    by = lambda kind, a: [n.split(":")[1] for n in a["names"] if n.startswith(kind)]
+    notes = spark.createDataFrame(
+        [(a["id"], "completed", 5, ["politics"], by("person", a), by("org", a), [], a["scraped"]) for a in arts],
+        "article_id bigint, status string, importance_score int, themes array<string>, entities_people array<string>, entities_organizations array<string>, entities_locations array<string>, analyzed_at timestamp",
+    )
+    vectors = spark.createDataFrame([(a["id"], a["v"]) for a in arts], "article_id bigint, embedding array<double>")
+    never = stories.verdicts_by(lambda article, story: F.lit("different"))
+    done = {r.article_id: r.story_id for r in stories.rebuild_all(articles, notes, vectors, never, now()).collect()}
+    groups = lambda labels: sorted(sorted(k for k, v in labels.items() if v == label) for label in set(labels.values()))
+    assert len(done) == len(arts) and groups(done) == groups(want), (groups(done), groups(want))
+
+
+def test_undated_members_come_last_and_are_the_latest(spark):
+    links = spark.createDataFrame([(1, i) for i in (10, 11, 12)], "story_id bigint, article_id bigint")
+    articles = spark.createDataFrame([(10, "t", "u", AS_OF, AS_OF, 1), (11, "t", "u", None, AS_OF, 1), (12, "t", "u", AS_OF - timedelta(days=1), AS_OF, 1)], "id bigint, title string, url string, published_at timestamp, scraped_at timestamp, source_id int")
+    notes = spark.createDataFrame([(i, "completed", None, None, None) for i in (10, 11, 12)], "article_id bigint, status string, summary string, key_facts array<string>, importance_score int")
+    story = spark.createDataFrame([(1, "s", AS_OF, "x")], "id bigint, title string, last_seen_at timestamp, short_summary string")
+    outlet = spark.createDataFrame([(1, "src")], "id int, name string")
+    none = spark.createDataFrame([], "from_story_id bigint, to_story_id bigint")
+    row = stories.synthesis_payload(story, links, articles, notes, outlet, none).first()
+    import json
+
+    assert [e["article_id"] for e in json.loads(row.articles_json)] == [12, 10, 11]
+    many = spark.range(1000).selectExpr("1L AS story_id", "id AS article_id")
+    facts = spark.range(1000).selectExpr("id", "cast(null AS string) AS title", "'' AS url", "cast(null AS timestamp) AS published_at", "timestamp'2024-01-01' AS scraped_at", "1 AS source_id")
+    bare = spark.range(1000).selectExpr("id AS article_id", "'completed' AS status", "cast(null AS string) AS summary", "cast(null AS array<string>) AS key_facts", "cast(null AS int) AS importance_score")
+    whole = stories.synthesis_payload(story, many, facts, bare, outlet, none).first().articles_json
+    cut = stories.synthesis_payload(story, many, facts, bare, outlet, none, text_limit=24000).first().articles_json
+    assert len(json.loads(whole)) == 1000 and cut == whole[:24000]
