@@ -17,7 +17,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from pressline.llm.memo import TokenMemo
+from pressline.llm.memo import TokenMemo, joined
 from pressline.llm.textarrays import SPACE, occurrence, slices, span_hashes, split_lines, split_words, window_hashes, window_starts, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -93,7 +93,7 @@ def _vocabulary(path: str) -> tuple[TokenMemo, np.ndarray]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         fallback = np.array([model.is_byte(i) or model.is_unknown(i) for i in range(model.vocab_size())])
-        memo = TokenMemo(lambda words: model.encode([w.decode() for w in words], num_threads=1))
+        memo = TokenMemo(lambda words: joined(model.encode([w.decode() for w in words], num_threads=1)))
         _loaded[path] = memo, fallback
     return _loaded[path]
 

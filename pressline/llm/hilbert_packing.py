@@ -25,6 +25,7 @@ END = 1  # the id that closes every document
 DIMENSIONS = 4
 BITS = 10
 TIE_BITS = 22
+SAMPLE = 16
 SPREAD = 0.5  # means beyond this are rare; the grid covers -SPREAD … SPREAD
 
 
@@ -78,13 +79,39 @@ def curve_keys(column: pa.Array, tie: np.ndarray) -> np.ndarray:
     return (hilbert_keys(grid) << TIE_BITS) | parted.astype(np.int64)
 
 
-def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
         for part in slices(batch):
-            tie = part.column("_tie").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text"), pa.array(curve_keys(part.column("text"), tie))], names=["doc_id", "text", "curve_key"]
-            )
+            yield part, curve_keys(part.column("text"), part.column("_tie").to_numpy(zero_copy_only=False))
+
+
+def _key_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, keys in _keyed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["curve_key"])
+
+
+def _placed(bounds: np.ndarray):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys in _keyed(batches):
+            ids = pa.array(np.searchsorted(bounds, keys).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(keys), ids], names=["doc_id", "text", "curve_key", "part"])
+
+    return place
+
+
+def sort_along_curve(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` range-sorted by curve key, one stretch of the curve per partition.
+
+    The bounds of the stretches are quantiles of the keys of one document in ``SAMPLE``; they
+    only balance the partitions.
+    """
+    named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id").alias("_tie"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = named.filter(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(SAMPLE)) == 0)
+    shares = [k / parts for k in range(1, parts)]
+    bounds = np.array(some.mapInArrow(_key_only, "curve_key long").approxQuantile("curve_key", shares, 0.1 / parts) if shares else [], np.float64)
+    keyed = named.mapInArrow(_placed(bounds), "doc_id long, text string, curve_key long, part int")
+    return keyed.repartitionById(parts, "part").sortWithinPartitions("curve_key", "doc_id").select("doc_id", "text")
 
 
 class _Packer:
@@ -168,8 +195,6 @@ def pack_along_curve(docs: DataFrame, vocabulary: str | None = None, length: int
     are not read.
     """
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id").alias("_tie")).mapInArrow(_key, "doc_id long, text string, curve_key long")
-    ranged = keyed.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
-    return ranged.select("doc_id", "text").mapInArrow(
+    return sort_along_curve(docs).mapInArrow(
         _pack(path, length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )

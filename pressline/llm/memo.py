@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -11,15 +12,22 @@ from pressline.llm.textarrays import ranges
 ENTRIES = 300_000
 
 
+def joined(found: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and all elements of id sequences."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return lengths, np.fromiter(chain.from_iterable(found), np.uint16, int(lengths.sum()))
+
+
 class TokenMemo:
     """Maps words to runs in one flat array of token ids.
 
-    ``encode`` turns a list of new words into their id sequences. The first ``entries`` words
+    ``encode`` turns a list of new words into the number of ids of each and all ids in order.
+    The first ``entries`` words
     stay; later ones are encoded again for each call, so memory is bounded and results never
     depend on the memo.
     """
 
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], entries: int = ENTRIES):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], entries: int = ENTRIES):
         self.encode, self.entries = encode, entries
         self.place: dict[Hashable, int] = {}
         self.ids = np.zeros(1 << 16, np.uint16)
@@ -30,9 +38,7 @@ class TokenMemo:
         self.settled = 0  # ids that stay
 
     def _add(self, words: list) -> None:
-        found = self.encode(words)
-        lengths = np.fromiter(map(len, found), np.int64, len(words))
-        flat = np.concatenate([np.asarray(ids, np.uint16) for ids in found]) if words else np.zeros(0, np.uint16)
+        lengths, flat = self.encode(words)
         at, n = len(self.place), len(words)
         while at + n > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
-from pressline.llm.memo import TokenMemo
+from pressline.llm.memo import TokenMemo, joined
 
 # How the vocabulary's own file splits a text without white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+WHOLE = "\0"  # marks a part that is encoded by itself
+PARTS = 450_000
+
 
 class WordBpe:
     """Ids as the ``tokenizers`` library gives them, mostly from memory.
@@ -30,29 +34,39 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PIECES)
-        self.parts = TokenMemo(self._encode_parts)
+        self.parts = TokenMemo(self._encode_parts, PARTS)
         self.words = TokenMemo(self._encode_words)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def _encode_parts(self, parts: list[str]) -> list:
-        encoding = self.library.encode(" ".join(parts), add_special_tokens=False)
-        ids, place = np.asarray(encoding.ids, np.uint16), np.asarray(encoding.word_ids, np.int64)
-        cut = np.flatnonzero(np.diff(place)) + 1
-        if len(cut) + 1 != len(parts):
-            return [self._whole(part) for part in parts]
-        return np.split(ids, cut)
-
-    def _encode_words(self, words: list[str]) -> list:
-        plain = [max(word) < "ɐ" for word in words]
-        split = [self.pattern.findall(word.lower()) if simple else [] for word, simple in zip(words, plain)]
-        length, ids = self.parts.tokens([part for parts in split for part in parts])
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts; plain ones, one piece of the pattern each, are encoded in one call."""
+        plain = [part for part in parts if part[0] != WHOLE]
+        encoding = self.library.encode(" ".join(plain), add_special_tokens=False)
+        place = np.asarray(encoding.word_ids, np.int64)
+        if len(plain) == len(parts) and len(place) and place[-1] + 1 == len(parts):
+            return np.bincount(place, minlength=len(parts)), np.asarray(encoding.ids, np.uint16)
+        return joined([self.library.encode(part.lstrip(WHOLE), add_special_tokens=False).ids for part in parts])
+
+    def _split(self, word: str) -> list[str]:
+        """The parts of a word; a word of other than Latin characters is one part, marked as such."""
+        if max(word) >= "ɐ":
+            return [WHOLE + word]
+        if word.isalpha():
+            return [word.lower()]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1]]
+        return self.pattern.findall(word.lower())
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = list(map(self._split, words))
+        length, ids = self.parts.tokens(list(chain.from_iterable(split)))
         ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *map(len, split)])]
-        return [ids[ends[k] : ends[k + 1]] if simple else self._whole(word) for k, (word, simple) in enumerate(zip(words, plain))]
+        return np.diff(ends), ids
 
     def _splits(self, text: str) -> bool:
-        return not any(token in text for token in self.special) and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return not any(token in text for token in self.special) and not any(c in text for c in "\0\x1c\x1d\x1e\x1f")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""

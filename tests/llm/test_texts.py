@@ -11,7 +11,7 @@ import pytest
 import public_tokenizers as P
 
 from pressline.llm import boosted_trees, fertility, hilbert_packing, token_counts
-from pressline.llm.memo import TokenMemo
+from pressline.llm.memo import TokenMemo, joined
 from pressline.llm.word_bpe import WordBpe
 
 DATA = "/root/testdata/sf0.001"
@@ -59,7 +59,7 @@ def test_word_ids_equal_the_library():
 
 
 def test_memo_is_bounded():
-    memo = TokenMemo(lambda words: [[len(w), ord(w[0])] for w in words], entries=3)
+    memo = TokenMemo(lambda words: joined([[len(w), ord(w[0])] for w in words]), entries=3)
     for words in (["a", "bb"], ["ccc", "dd", "e", "a"], ["ff", "a", "ff"], []):
         length, ids = memo.tokens(words)
         assert length.tolist() == [2] * len(words) and ids.tolist() == [x for w in words for x in (len(w), ord(w[0]))]
