@@ -67,9 +67,13 @@ _FIELDS = (
     "`@type`: variant, headline: string, name: string, url: string, articleBody: string, datePublished: string, "
     "author: variant, image: variant, keywords: variant, itemListElement: variant"
 )
-_LEAF = f"struct<{_FIELDS}>"
-_MIDDLE = f"struct<{_FIELDS}, `@graph`: array<{_LEAF}>>"
-_NODE = f"struct<{_FIELDS}, `@graph`: array<{_MIDDLE}>>"
+GRAPH_DEPTH = 8  # graphs inside graphs that are followed
+
+
+def _node_type(depth: int) -> str:
+    return f"struct<{_FIELDS}>" if depth == 0 else f"struct<{_FIELDS}, `@graph`: array<{_node_type(depth - 1)}>>"
+
+
 _NAMES = ["@type", "headline", "name", "url", "articleBody", "datePublished", "author", "image", "keywords", "itemListElement"]
 
 
@@ -77,20 +81,24 @@ def _leaf(node: Column) -> Column:
     return F.struct(*[node[n].alias(n) for n in _NAMES])
 
 
+def _graph_members(nodes: str, depth: int) -> Column:
+    none = F.array().cast(f"array<{_node_type(depth)}>")
+    return F.flatten(F.transform(nodes, lambda n: F.coalesce(n["@graph"], none)))
+
+
 def jsonld_nodes(page: DataFrame) -> DataFrame:
     """Column ``nodes`` with all JSON-LD objects: top-level ones, then ``@graph`` members.
 
-    Lists are flattened; graphs inside graphs are followed one more level.
+    Lists are flattened; graphs inside graphs are followed ``GRAPH_DEPTH`` levels, the nearer first.
     """
     scripts = F.filter("page.scripts", lambda e: e["attrs"]["type"] == "application/ld+json")
-    none = F.array().cast(f"array<{_NODE}>")
-    parsed = F.flatten(F.transform(scripts, lambda e: F.coalesce(F.from_json(e["text"], f"array<{_NODE}>"), none)))
-    middle_none, leaf_none = F.array().cast(f"array<{_MIDDLE}>"), F.array().cast(f"array<{_LEAF}>")
-    roots = page.withColumn("_roots", F.filter(parsed, lambda n: n.isNotNull()))
-    graphs = roots.withColumn("_middle", F.flatten(F.transform("_roots", lambda n: F.coalesce(n["@graph"], middle_none))))
-    leaves = F.flatten(F.transform("_middle", lambda n: F.coalesce(n["@graph"], leaf_none)))
-    every = F.concat(F.transform("_roots", _leaf), F.transform("_middle", _leaf), leaves)
-    return graphs.withColumn("nodes", every).drop("_roots", "_middle")
+    kind = f"array<{_node_type(GRAPH_DEPTH)}>"
+    parsed = F.flatten(F.transform(scripts, lambda e: F.coalesce(F.from_json(e["text"], kind), F.array().cast(kind))))
+    levels = page.withColumn("_level0", F.filter(parsed, lambda n: n.isNotNull()))
+    for depth in range(1, GRAPH_DEPTH + 1):
+        levels = levels.withColumn(f"_level{depth}", _graph_members(f"_level{depth - 1}", GRAPH_DEPTH - depth))
+    names = [f"_level{depth}" for depth in range(GRAPH_DEPTH + 1)]
+    return levels.withColumn("nodes", F.concat(*[F.transform(name, _leaf) for name in names])).drop(*names)
 
 
 def _types(node: Column) -> Column:

@@ -117,3 +117,14 @@ def test_favicons(spark):
     page = '<link rel="apple-touch-icon" href="/t.png"><link rel="Shortcut Icon" href="//c.example/s.ico"><link rel="icon" href="data:x">'
     rows = extract.favicon_candidates(pages(spark, (1, "https://x.example/a", page))).orderBy("priority").collect()
     assert [r.icon_url for r in rows] == ["https://x.example/t.png", "https://c.example/s.ico", "https://x.example/favicon.ico"]  # every kind holds "icon"
+
+
+def test_graphs_inside_graphs(spark):
+    inner = '{"@type":"NewsArticle","headline":"deep"}'
+    for _ in range(6):
+        inner = '{"@type":"WebPage","@graph":[' + inner + "]}"
+    html = f'<html><script type="application/ld+json">{inner}</script></html>'
+    pages = spark.createDataFrame([(1, "https://a.example/x", html)], "page_id long, url string, html string")
+    parsed = pages.select(extract.page_elements(F.col("html")).alias("page"))
+    nodes = extract.jsonld_nodes(parsed).selectExpr("transform(nodes, n -> n.headline) AS h").first().h
+    assert nodes == [None] * 6 + ["deep"]
