@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.RandomState(20240131).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, dtype=bool)
@@ -27,10 +27,10 @@ def _power(kind: str, size: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < size:
         base = _BASE if kind == "up" else pow(_BASE, -1, 2**64)
-        steps = np.full(max(size, 2 * len(have)), base, np.uint64)
+        steps = np.full(max(size, SLICE_BYTES + 1), base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) <= 8 * SLICE_BYTES:  # one very long text does not keep its tables
+        if len(have) <= 2 * SLICE_BYTES:  # one very long text does not keep its tables
             _powers[kind] = have
     return have[:size]
 
