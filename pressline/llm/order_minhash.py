@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 from pressline.llm.store import stored
 from pressline.llm.textarrays import mix, occurrence, ranges, sequence_hashes, slices, split_words, word_hashes
 from pressline.operators.graph import connected_components
+from pressline.operators.ranking import top_n
 
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 24
 ELEMENTS = 4
 SMALL_BUCKET = 8  # up to this many members all pairs are candidates
+LIKELY_PARTNERS = 4  # partners a document tries in the second pass; the third pass tries all that are left
 SECOND_TABLES = 6  # a larger bucket is split by each of the next tables
 _UNNAMED = 1 << 62  # vertices of rows without an id start here
 _ODD = np.random.RandomState(7).randint(1, 2**62, TABLES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,7 +179,14 @@ def _beside_main(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "part", "drawn")).alias("main"))
     others = stored(members.join(main, "key").filter("part <> main.part").select("key", "rep", "n", "part", "main.drawn"))
     pairs = others.select("rep", F.explode("drawn").alias("other"))
-    return others.drop("drawn"), _toward(pairs, "other")
+    return others.drop("drawn"), pairs.select("rep", F.greatest("rep", "other").alias("src"), F.least("rep", "other").alias("dst"))
+
+
+def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that links do not yet hold together, with the part each belongs to."""
+    parts = connected_components(links).select(F.col("id").alias("rep"), "component")
+    labelled = met.select("key", "rep", "n").join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    return stored(_members(labelled).drop("least", "largest"))
 
 
 def _second_keys(members: DataFrame, keys: DataFrame) -> DataFrame:
@@ -207,11 +216,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     null id is allowed: such a row joins its class without naming it and its ``kept`` says
     that no other row of its class is. Ids must be below 2**62; other columns are not read.
 
-    Finding candidates takes two passes. The first compares every document with the one
-    leader it shares most buckets with and joins what is confirmed. The second takes all
-    pairs of a bucket whose members are still apart. In a bucket of more than
-    ``SMALL_BUCKET`` members those outside the largest part are compared with four drawn
-    members of that part, and among each other after a split by second sketches; what stays
+    Finding candidates takes three passes. The first compares every document with the one
+    leader it shares most buckets with and joins what is confirmed. The second compares those
+    that stand beside the largest part of a large bucket with a few members of that part.
+    The third takes all pairs of a bucket whose members are still apart. In a bucket of more than
+    ``SMALL_BUCKET`` members those outside the largest part are compared with all drawn
+    members of that part, four a bucket, and among each other after a split by second sketches; what stays
     large is compared with its two end members. Candidates therefore grow with the
     documents, not with the square of a group, and none are left unverified.
     """
@@ -230,16 +240,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     votes = met.filter("rep <> least").groupBy("rep", "least").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("rep").agg(F.max(F.struct("votes", "least")).alias("best"))
     first = stored(_links(best.select(F.col("rep").alias("src"), F.col("best.least").alias("dst")), texts, similarity))
-    parts = connected_components(first).select(F.col("id").alias("rep"), "component")
+    _, near_main = _beside_main(_apart(met, first).filter(F.col("size") > SMALL_BUCKET))
+    likely = near_main.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("votes"), F.first("rep").alias("rep"))
+    tried = top_n(likely, ["rep"], [F.desc("votes"), F.asc("src"), F.asc("dst")], LIKELY_PARTNERS).select("src", "dst")
+    first = stored(first.unionByName(_links(tried.distinct(), texts, similarity)))
 
-    apart = met.select("key", "rep", "n").join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    apart = stored(_members(apart).drop("least", "largest"))
+    apart = _apart(met, first)
     small = _cross_pairs(apart.filter(F.col("size") <= SMALL_BUCKET), "key", similarity)
     others, to_main = _beside_main(apart.filter(F.col("size") > SMALL_BUCKET))
     split = _members(_second_keys(others, reps.select("rep", "keys")), "key2")
     split_small = _cross_pairs(split.filter(F.col("size") <= SMALL_BUCKET), "key2", similarity)
     large = split.filter(F.col("size") > SMALL_BUCKET)
-    ends = _toward(large, "least").unionByName(_toward(large, "largest")).unionByName(to_main)
+    ends = _toward(large, "least").unionByName(_toward(large, "largest")).unionByName(to_main.select("src", "dst"))
     pairs = small.unionByName(split_small).unionByName(ends).distinct()
     second = _links(pairs, texts, similarity)
     labels = connected_components(first.unionByName(second)).select(F.col("id").alias("rep"), "component")
