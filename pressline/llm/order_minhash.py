@@ -4,12 +4,12 @@ A document is the sequence of its five-word shingles, each labelled with how man
 came before it. A sketch takes, for each of several hash functions, the few labelled shingles
 with the smallest hashes and keeps them in text order, so that texts agree on a sketch when
 they share shingles in the same order. Documents that agree on a whole sketch meet in a
-bucket. Candidates are verified by aligning their labelled shingles inside a band.
+bucket. Candidates are verified by aligning their labelled shingles inside a band. A bucket of
+any size is compared completely, a large one in cells of bounded size.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -28,7 +28,9 @@ TABLES = 24
 ELEMENTS = 4
 SMALL_BUCKET = 8  # up to this many members all pairs are candidates
 LIKELY_PARTNERS = 4  # partners a document tries in the second pass; the third pass tries all that are left
-SECOND_TABLES = 6  # a larger bucket is split by each of the next tables
+BLOCK_WEIGHT = 1 << 16  # shingles, and MEMBER_WEIGHT for each member, of a block of a larger bucket
+MEMBER_WEIGHT = 64
+_COLUMNS = 2048  # shingles counted in one matrix product
 _UNNAMED = 1 << 62  # vertices of rows without an id start here
 _ODD = np.random.RandomState(7).randint(1, 2**62, TABLES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.RandomState(8).randint(1, 2**62, ELEMENTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,11 +147,8 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _members(reps: DataFrame, key: str = "key") -> DataFrame:
-    """Rows of ``reps`` whose ``key`` others share, with the bucket's size, least and largest vertex and parts."""
-    size = reps.groupBy(key).agg(
-        F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"), F.max("rep").alias("largest"),
-        F.min("part").alias("_a"), F.max("part").alias("_b"),
-    )
+    """Rows of ``reps`` whose ``key`` others share, with the bucket's size and least vertex."""
+    size = reps.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"), F.min("part").alias("_a"), F.max("part").alias("_b"))
     return reps.join(size.filter("size > 1 and _a <> _b").drop("_a", "_b"), key)
 
 
@@ -163,48 +162,117 @@ def _cross_pairs(members: DataFrame, key: str, similarity: float) -> DataFrame:
     return listed.select(F.inline(pairs))
 
 
-def _toward(members: DataFrame, end: str) -> DataFrame:
-    """Pairs of each member with one end of its bucket."""
-    pair = F.col("rep") != F.col(end)
-    return members.filter(pair).select(F.greatest("rep", end).alias("src"), F.least("rep", end).alias("dst"))
-
-
-def _beside_main(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of large buckets outside the bucket's largest part, and their pairs with four members of that part.
-
-    The four are drawn by hashes of bucket and member, so each bucket has its own.
-    """
+def _main_parts(members: DataFrame) -> DataFrame:
+    """The largest part of each bucket, and four members of it drawn by hashes of bucket and member."""
     draws = [F.min(F.struct(F.xxhash64("key", "rep", F.lit(k)), "rep"))["rep"] for k in range(4)]
     sizes = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.array(*draws).alias("drawn"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "part", "drawn")).alias("main"))
-    others = stored(members.join(main, "key").filter("part <> main.part").select("key", "rep", "n", "part", "main.drawn"))
-    pairs = others.select("rep", F.explode("drawn").alias("other"))
-    return others.drop("drawn"), pairs.select("rep", F.greatest("rep", "other").alias("src"), F.least("rep", "other").alias("dst"))
+    return sizes.groupBy("key").agg(F.max(F.struct("c", "part", "drawn")).alias("main"))
+
+
+def _beside_main(members: DataFrame) -> DataFrame:
+    """Pairs of the members of large buckets outside the bucket's largest part with four members of that part."""
+    others = members.join(_main_parts(members), "key").filter("part <> main.part")
+    pairs = others.select("rep", F.explode("main.drawn").alias("other"))
+    return pairs.select("rep", F.greatest("rep", "other").alias("src"), F.least("rep", "other").alias("dst"))
 
 
 def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that links do not yet hold together, with the part each belongs to."""
     parts = connected_components(links).select(F.col("id").alias("rep"), "component")
     labelled = met.select("key", "rep", "n").join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    return stored(_members(labelled).drop("least", "largest"))
+    return stored(_members(labelled).drop("least"))
 
 
-def _second_keys(members: DataFrame, keys: DataFrame) -> DataFrame:
-    """Members of large buckets once per further table, with a key of both sketches and a coarse size.
+def _cells(members: DataFrame) -> DataFrame:
+    """Members of large buckets once per cell (``key, i, j``) in which they are compared, with their ``block``.
 
-    Sizes fall into steps of the threshold's width, laid out twice and shifted by half.
+    A bucket that fits is one cell. Others are cut by a hash into blocks of the largest part and
+    blocks of the rest; a cell is a block of the rest with itself, another one or one of the
+    largest part, so that every pair of members of different parts shares a cell.
     """
-    own = members.select("key", "rep", "n", "part").join(keys, "rep")
-    place = F.array_position("keys", F.col("key")) - 1
-    step = F.log(F.col("n").cast("double")) / math.log(1.25)
-    classes = F.array(F.floor(step) * 2, F.floor(step + 0.5) * 2 + 1)
-    further = F.transform(F.sequence(F.lit(1), F.lit(SECOND_TABLES)), lambda k: F.get("keys", F.pmod(place + k, F.lit(TABLES)).cast("int")))
-    spread = own.select("key", "rep", "n", "part", F.explode(further).alias("other"), classes.alias("classes"))
-    return spread.select(
-        F.explode(F.transform("classes", lambda c: F.xxhash64("key", "other", c))).alias("key2"), "rep", "n", "part"
+    weight = F.col("n") + MEMBER_WEIGHT
+    sized = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
+    whole = sized.groupBy("key").agg(F.max(F.struct("c", "part", "w")).alias("main"), F.sum("w").alias("w"))
+    count = lambda w: F.when(F.col("w") <= BLOCK_WEIGHT, 1).otherwise(F.ceil(w / BLOCK_WEIGHT)).cast("int")
+    plan = whole.select(
+        "key", F.col("main.part").alias("main"), count(F.col("w") - F.col("main.w")).alias("rest"),
+        F.when(F.col("w") <= BLOCK_WEIGHT, 0).otherwise(count(F.col("main.w"))).alias("most"),
+    )
+    inside = (F.col("part") == F.col("main")) & (F.col("most") > 0)
+    place = F.xxhash64("rep", F.lit("block"))
+    block = F.when(inside, F.col("rest") + F.pmod(place, F.greatest("most", F.lit(1)))).otherwise(F.pmod(place, F.col("rest")))
+    own = members.join(plan, "key").select("key", "rep", "part", "rest", "most", block.cast("int").alias("block"))
+    partner = F.sequence(F.lit(0), F.when(F.col("block") < F.col("rest"), F.col("rest") + F.col("most")).otherwise(F.col("rest")) - 1)
+    return own.withColumn("with", F.explode(partner)).select(
+        "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "part"
     ).distinct()
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            values, bounds = labelled_shingles(part.column("text"))
+            lists = pa.ListArray.from_arrays(bounds.astype(np.int32), values.view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("rep"), lists], names=["rep", "shingles"])
+
+
+def common_counts(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each row of ``left`` has in common with each of ``right``; a row's values are distinct."""
+    size = np.diff(bounds)
+    row = np.repeat(np.arange(len(size)), size)
+    _, token, often = np.unique(values, return_inverse=True, return_counts=True)
+    shared = often > 1
+    number = np.cumsum(shared) - 1
+    kept = np.flatnonzero(shared[token])
+    kept = kept[np.argsort(token[kept], kind="stable")]
+    token, row = number[token[kept]], row[kept]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(shared.sum()), _COLUMNS):
+        a, b = np.searchsorted(token, [low, low + _COLUMNS])
+        has = np.zeros((len(size), _COLUMNS), np.float32)
+        has[row[a:b], token[a:b] - low] = 1
+        total += has[left] @ has[right].T
+    return total
+
+
+def _compare(threshold: float):
+    def compare(cell: pa.Table) -> pa.Table:
+        """Links that join the parts of a cell as all its similar pairs would."""
+        cell = cell.combine_chunks()
+        lists = cell.column("shingles").combine_chunks()
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy()[bounds[0] : bounds[-1]].view(np.uint64)
+        bounds = bounds - bounds[0]
+        size = np.diff(bounds)
+        rep, block, label = (cell.column(c).to_numpy() for c in ("rep", "block", "part"))
+        left, right = (np.flatnonzero(block == cell.column(c)[0].as_py()) for c in ("i", "j"))
+        if not len(left) or not len(right):
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
+        least = threshold / (1 + threshold) * (size[left][:, None] + size[right][None, :])
+        likely = common_counts(values, bounds, left, right) >= least - 1e-3
+        label = np.unique(label, return_inverse=True)[1]
+        found = []
+        if left[0] == right[0]:
+            likely = np.triu(likely, 1)
+        for x, row in zip(left, likely):
+            for y in right[row]:
+                if label[x] != label[y] and aligned(values[bounds[x] : bounds[x + 1]], values[bounds[y] : bounds[y + 1]], threshold) > 0:
+                    label[label == label[y]] = label[x]
+                    found.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"src": ends[:, 0], "dst": ends[:, 1]})
+
+    return compare
+
+
+def _large_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links that join the members of large buckets as all their similar pairs would."""
+    inside = members.select(F.col("rep").alias("vertex")).distinct()
+    read = texts.join(inside, "vertex", "left_semi").select(F.col("vertex").alias("rep"), "text").distinct()
+    shingles = stored(read.mapInArrow(_shingles, "rep long, shingles array<long>"))
+    return _cells(members).join(shingles, "rep").groupBy("key", "i", "j").applyInArrow(_compare(threshold), "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id, kept`` for every row: the class of near copies it belongs to.
 
@@ -219,11 +287,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Finding candidates takes three passes. The first compares every document with the one
     leader it shares most buckets with and joins what is confirmed. The second compares those
     that stand beside the largest part of a large bucket with a few members of that part.
-    The third takes all pairs of a bucket whose members are still apart. In a bucket of more than
-    ``SMALL_BUCKET`` members those outside the largest part are compared with all drawn
-    members of that part, four a bucket, and among each other after a split by second sketches; what stays
-    large is compared with its two end members. Candidates therefore grow with the
-    documents, not with the square of a group, and none are left unverified.
+    The third takes all pairs of a bucket whose members are still apart. A bucket of more than
+    ``SMALL_BUCKET`` members is cut into blocks of bounded size; every pair of blocks, but for
+    those of its largest part, is compared in one task, which counts the common shingles of all
+    pairs, aligns those that can be similar and emits a spanning forest. So every pair that
+    shares a sketch is linked or known to be in one class already; work, not rows, grows with
+    the square of a group that does not hold together.
     """
     unnamed = F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED)
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("vertex"), F.md5("text").alias("copy"), "text", "doc_id")
@@ -240,20 +309,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     votes = met.filter("rep <> least").groupBy("rep", "least").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("rep").agg(F.max(F.struct("votes", "least")).alias("best"))
     first = stored(_links(best.select(F.col("rep").alias("src"), F.col("best.least").alias("dst")), texts, similarity))
-    _, near_main = _beside_main(_apart(met, first).filter(F.col("size") > SMALL_BUCKET))
+    near_main = _beside_main(_apart(met, first).filter(F.col("size") > SMALL_BUCKET))
     likely = near_main.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("votes"), F.first("rep").alias("rep"))
     tried = top_n(likely, ["rep"], [F.desc("votes"), F.asc("src"), F.asc("dst")], LIKELY_PARTNERS).select("src", "dst")
     first = stored(first.unionByName(_links(tried.distinct(), texts, similarity)))
 
     apart = _apart(met, first)
     small = _cross_pairs(apart.filter(F.col("size") <= SMALL_BUCKET), "key", similarity)
-    others, to_main = _beside_main(apart.filter(F.col("size") > SMALL_BUCKET))
-    split = _members(_second_keys(others, reps.select("rep", "keys")), "key2")
-    split_small = _cross_pairs(split.filter(F.col("size") <= SMALL_BUCKET), "key2", similarity)
-    large = split.filter(F.col("size") > SMALL_BUCKET)
-    ends = _toward(large, "least").unionByName(_toward(large, "largest")).unionByName(to_main.select("src", "dst"))
-    pairs = small.unionByName(split_small).unionByName(ends).distinct()
-    second = _links(pairs, texts, similarity)
+    large = _large_links(apart.filter(F.col("size") > SMALL_BUCKET), texts, similarity)
+    second = _links(small.distinct(), texts, similarity).unionByName(large)
     labels = connected_components(first.unionByName(second)).select(F.col("id").alias("rep"), "component")
 
     classes = reps.select("rep", "copy").join(labels, "rep", "left").select("copy", F.coalesce("component", "rep").alias("component_id"))

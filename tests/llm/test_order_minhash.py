@@ -82,6 +82,33 @@ def test_classes_equal_those_of_all_pairs(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def template_family(count=300):
+    """Pages of one template at a similarity of 0.78, of which every two following ones reach 0.806."""
+    template = [f"t{i}" for i in range(200)]
+    return [(d, " ".join(template + [f"p{d // 2}-{i}" for i in range(4)] + [f"o{d}-{i}" for i in range(24)])) for d in range(count)]
+
+
+def family_classes(rows):
+    sets = [om.labelled_shingles(pa.array([t]))[0] for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and om.aligned(sets[a], sets[b], 0.8) > 0:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+@pytest.mark.parametrize("weight", [om.BLOCK_WEIGHT, 4000])
+def test_large_buckets_are_compared_completely(spark, monkeypatch, weight):
+    monkeypatch.setattr(om, "BLOCK_WEIGHT", weight)
+    rows = template_family()
+    want = family_classes(rows)
+    assert want == {d: d // 2 * 2 for d, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in om.near_duplicates(docs).collect()} == want
+
+
 def test_alignment_equals_the_full_table():
     rng = random.Random(5)
     for _ in range(200):
