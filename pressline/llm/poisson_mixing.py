@@ -4,7 +4,8 @@ A source that should make up more of the mix than it does is repeated, one that
 up less is thinned. Its rate is the mean number of copies of each of its documents. Every
 document draws its own number of copies from a Poisson distribution with that mean, by
 inverting the distribution at a uniform value hashed from a seed and the document's id, so
-the draw needs no state and is the same on every run. Copies are then shuffled globally.
+the draw needs no state and is the same on every run. A high rate is drawn as a sum of
+independent draws of equal rates. Copies are then shuffled globally.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pressline.llm.store import stored
 SEED = "mix-1"
 ALPHA = 0.5
 BROADCAST_SOURCES = 5000  # up to this many distributions, a few MB, travel to every task; more are joined
+DRAW_RATE = 700  # highest rate of one draw: exp(-rate) keeps its full precision
 _CELL_BITS = 40  # positions are counted in 2**12 parts of the hash range of 2**52
 
 
@@ -57,15 +59,23 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
 
     ``rates`` has one row per source, a null source included; a source without a rate is left
     out of the mix. ``_copy`` counts the copies of a row from 0 and ``_key`` is its place in
-    the global shuffle, below 2**52. Rates up to about 700 are supported.
+    the global shuffle, below 2**52. Rates above ``DRAW_RATE`` are split into equal parts, each
+    drawn from a hash of its own.
     """
-    known = stored(rates.select(F.col("source").alias("_source"), _distribution(F.col("rate")).alias("_c")))
+    parts = F.greatest(F.ceil(F.col("rate") / DRAW_RATE).cast("int"), F.lit(1))
+    known = stored(rates.select(F.col("source").alias("_source"), _distribution(F.col("rate") / parts).alias("_c"), parts.alias("_parts")))
     if known.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    drawn = _uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) / float(1 << 52)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    drawn = _uniform(F.lit(seed), name) / float(1 << 52)
+    further = F.transform(
+        F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: _uniform(F.lit(seed), F.lit("part"), k.cast("string"), name) / float(1 << 52)
+    )
     joined = docs.join(known, docs["source"].eqNullSafe(known["_source"])).withColumn("_u", drawn)
+    joined = joined.withColumn("_us", F.when(F.col("_parts") > 1, further))
     copies = F.size(F.filter("_c", lambda c: c <= F.col("_u")))
-    counted = joined.withColumn("_n", copies).filter("_n > 0").drop("_source", "_c", "_u")
+    rest = F.aggregate("_us", F.lit(0), lambda n, u: n + F.size(F.filter("_c", lambda c: c <= u)))
+    counted = joined.withColumn("_n", copies + F.coalesce(rest, F.lit(0))).filter("_n > 0").drop("_source", "_c", "_parts", "_u", "_us")
     spread = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     key = _uniform(F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_copy").cast("string"))
     return spread.withColumn("_key", key)

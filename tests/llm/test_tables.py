@@ -132,6 +132,18 @@ def test_copies_follow_the_poisson_draw(spark):
     assert [(r._key, r.doc_id or -1, r._copy) for r in sorted(placed, key=lambda r: r.position)] == sorted((r._key, r.doc_id or -1, r._copy) for r in placed)
 
 
+def test_high_rates_keep_mean_and_variance(spark):
+    rates = {"a": 699.0, "b": 800.0, "c": 5000.0}
+    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(900)], "doc_id long, source string")
+    mixed = poisson_mixing.replicate(docs, spark.createDataFrame(list(rates.items()), "source string, rate double"))
+    counts = mixed.groupBy("source", "doc_id").count().collect()
+    for source, rate in rates.items():
+        got = np.array([r["count"] for r in counts if r.source == source])
+        assert len(got) == 300
+        assert abs(got.mean() - rate) < 4 * math.sqrt(rate / 300)
+        assert abs(got.var() / rate - 1) < 0.33
+
+
 def test_mix_reaches_the_target_shares(spark):
     rows = [(i, "x" * 100, "big" if i % 4 else "small") for i in range(20000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
