@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pressline.llm.store import stored
 from pressline.llm.textarrays import mix, occurrence, ranges, sequence_hashes, slices, split_words, word_hashes
@@ -273,6 +273,12 @@ def _large_links(members: DataFrame, texts: DataFrame, threshold: float) -> Data
     return _cells(members).join(shingles, "rep").groupBy("key", "i", "j").applyInArrow(_compare(threshold), "src long, dst long")
 
 
+def _vertex() -> Column:
+    """The id of a row, or a hash of its text above all ids."""
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED)
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id, kept`` for every row: the class of near copies it belongs to.
 
@@ -294,8 +300,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shares a sketch is linked or known to be in one class already; work, not rows, grows with
     the square of a group that does not hold together.
     """
-    unnamed = F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED)
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("vertex"), F.md5("text").alias("copy"), "text", "doc_id")
+    component = F.col("component")
+    return _judged(docs, similarity).select(
+        "doc_id", F.when(component < _UNNAMED, component).alias("component_id"), (F.col("vertex") == component).alias("kept")
+    )
+
+
+def _judged(docs: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id, vertex, component`` for every row, for rows and classes without ids too."""
+    named = docs.select(_vertex().alias("vertex"), F.md5("text").alias("copy"), "text", "doc_id")
     present = named.filter(F.col("text").isNotNull())
     sketched = present.select("vertex", "copy", "text").mapInArrow(_sketch, "vertex long, copy string, n int, keys array<long>")
     reps = stored(sketched.groupBy("copy").agg(F.min("vertex").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -322,13 +335,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     classes = reps.select("rep", "copy").join(labels, "rep", "left").select("copy", F.coalesce("component", "rep").alias("component_id"))
     joined = named.select("doc_id", "vertex", "copy").join(classes, "copy", "left")
-    component = F.coalesce("component_id", "vertex")
-    return joined.select(
-        "doc_id", F.when(component < _UNNAMED, component).alias("component_id"), (F.col("vertex") == component).alias("kept")
-    )
+    return joined.select("doc_id", "vertex", F.coalesce("component_id", "vertex").alias("component"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows that :func:`near_duplicates` does not keep; rows without an id stay."""
-    dropped = near_duplicates(docs, similarity).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped.hint("shuffle_hash"), docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """``docs`` without the rows that :func:`near_duplicates` does not keep.
+
+    Of the rows without an id that have the text of a class without ids, one stays, any of them;
+    rows with neither id nor text stay.
+    """
+    dropped = stored(_judged(docs, similarity).filter("vertex <> component").select(F.col("vertex").alias("_vertex")).distinct())
+    left = docs.withColumn("_vertex", _vertex()).join(dropped.hint("shuffle_hash"), "_vertex", "left_anti")
+    unnamed = F.col("doc_id").isNull() & F.col("text").isNotNull()
+    return left.filter(~unnamed).unionByName(left.filter(unnamed).dropDuplicates(["_vertex"])).select(*docs.columns)

@@ -137,5 +137,16 @@ def test_unnamed_and_repeated_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [7, 7]
 
 
+def test_one_row_of_a_class_without_ids_stays(spark):
+    a, b, c = (" ".join(WORDS[i : i + 40]) for i in (0, 60, 120))
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (None, b), (3, b), (5, c), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in om.keep_one(docs).collect()]
+    alone = [t for d, t in kept if d is None and t is not None]
+    assert len(alone) == 1 and alone[0] in (a, a + " more")
+    assert sorted(d for d, _ in kept if d is not None) == [3, 5]
+    assert kept.count((None, None)) == 2
+
+
 def test_empty_table(spark):
     assert om.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
