@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressline.llm import (
-    boosted_trees, cross_polytope, fertility, hilbert_packing, order_minhash, poisson_mixing, sharding, suffixes, token_counts, url_reputation,
+    boosted_trees, cross_polytope, fertility, hilbert_packing, middle_filling, order_minhash, poisson_mixing, sharding, suffixes, token_counts, url_reputation,
 )
 from pressline.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -91,6 +91,27 @@ draws AS (
 SELECT doc_id, source, copy, row_number() OVER (ORDER BY key, doc_id, copy) - 1 AS position FROM copies
 """
 
+OP11_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || doc_id) AS h
+  FROM documents
+), numbers AS (
+  SELECT doc_id, text, u, len(u) AS n, [CAST('0x' || substr(h, k, 8) AS BIGINT) FOR k IN [1, 9, 17, 25]] AS h FROM units
+), forms AS (
+  SELECT doc_id, text, u, CAST(n AS BIGINT) AS n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM forms
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``host, good`` of pages whose path ends in the number of a labelled document.
@@ -169,3 +190,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed along the curve; ids as checksums."""
     packed = hilbert_packing.pack_along_curve(table(spark, folder, "documents"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents cut for filling in the middle; texts as checksums."""
+    made = middle_filling.fill_in_middle(table(spark, folder, "documents"))
+    back = middle_filling.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
