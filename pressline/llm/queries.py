@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressline.llm import (
-    boosted_trees, cross_polytope, fertility, hilbert_packing, middle_filling, order_minhash, poisson_mixing, sharding, suffixes, token_counts, url_reputation,
+    boosted_trees, cross_polytope, fertility, hilbert_packing, license_scan, middle_filling, order_minhash, poisson_mixing, sharding, suffixes, token_counts, url_reputation,
 )
 from pressline.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -113,6 +113,63 @@ FROM parts
 """
 
 
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+def license_sql() -> str:
+    """The license scan on DuckDB, with the library's templates and phrases as values."""
+    words, phrases, notices = [], [], []
+    for number, template in enumerate(license_scan.TEMPLATES):
+        own = license_scan.template_words(template.text)
+        words += [(number, place, word) for place, word in enumerate(own)]
+        phrases += [(number, phrase) for phrase in template.phrases]
+        notices.append((number, template.label))
+    base = list(license_scan.BASE_PHRASES.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), flat AS (SELECT r, unnest(w) AS word, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos FROM d),
+t(t, place, word) AS (VALUES {_values(words)}), n(t, label) AS (VALUES {_values(notices)}),
+p(t, phrase) AS (VALUES {_values(phrases)}), b(phrase, label) AS (VALUES {_values(base)}),
+df AS (
+  SELECT v.word, count(DISTINCT flat.r) AS df, greatest(1, CAST(floor(1000 * ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT flat.r) + 1)) + 0.5) AS BIGINT)) AS weight
+  FROM (SELECT DISTINCT word FROM t) v LEFT JOIN flat USING (word) GROUP BY v.word
+), ranked AS (
+  SELECT t, word, weight, row_number() OVER (PARTITION BY t ORDER BY df, word) AS rk, count(*) OVER (PARTITION BY t) AS many
+  FROM (SELECT DISTINCT t, word FROM t) JOIN df USING (word)
+), indexed AS (SELECT t, word, weight FROM ranked WHERE rk <= least({license_scan.INDEXED}, (many + 1) // 2)),
+total AS (SELECT t, sum(weight) AS total FROM indexed GROUP BY t),
+needles AS (SELECT DISTINCT phrase, string_split(phrase, ' ') AS parts FROM (SELECT phrase FROM p UNION ALL SELECT phrase FROM b)),
+standing AS (
+  SELECT r, phrase, pos FROM needles JOIN flat ON flat.word = parts[1] JOIN d USING (r) WHERE w[pos + 1:pos + len(parts)] = parts
+), own AS (SELECT t, list(word ORDER BY place) AS words FROM t GROUP BY t),
+placed AS (
+  SELECT t, phrase, (SELECT min(i) FROM range(0, len(words)) g(i) WHERE words[i + 1:i + len(string_split(phrase, ' '))] = string_split(phrase, ' ')) AS place
+  FROM p JOIN own USING (t)
+), votes AS (
+  SELECT flat.r, i.t, flat.word AS item, i.weight, 0 AS phrase, pos - place AS off FROM flat JOIN indexed i USING (word) JOIN t ON t.t = i.t AND t.word = i.word
+  UNION ALL SELECT s.r, placed.t, s.phrase, 0, 1, s.pos - placed.place FROM standing s JOIN placed USING (phrase)
+), binned AS (
+  SELECT DISTINCT r, t, item, weight, phrase, CAST(floor(off / {license_scan.BAND}) AS BIGINT) - k AS bin FROM votes, (VALUES (0), (1)) x(k)
+), judged AS (
+  SELECT r, t, sum(weight) / any_value(total) AS share, sum(phrase) AS have FROM binned JOIN total USING (t) GROUP BY r, t, bin
+), found AS (
+  SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM judged JOIN n USING (t)
+  WHERE share >= {license_scan.LEAST_SHARE} AND have = (SELECT count(*) FROM p WHERE p.t = judged.t) GROUP BY r
+), based AS (
+  SELECT r, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM standing JOIN b USING (phrase) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(based.n, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(based.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  CASE WHEN based.n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM d LEFT JOIN based USING (r) LEFT JOIN found USING (r)
+"""
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``host, good`` of pages whose path ends in the number of a labelled document.
 
@@ -200,3 +257,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
     )
+
+
+@query("op13_license_scan", license_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return license_scan.scan_licenses(table(spark, folder, "documents"))
