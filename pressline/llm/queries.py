@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressline.llm import (
-    boosted_trees, cross_polytope, fertility, hilbert_packing, license_scan, middle_filling, order_minhash, poisson_mixing, sharding, suffixes, token_counts, url_reputation,
+    boosted_trees, cross_polytope, fertility, hard_negatives, hilbert_packing, license_scan, middle_filling, order_minhash, poisson_mixing, sharding, suffixes, token_counts, url_reputation,
 )
 from pressline.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -112,6 +112,21 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM parts
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
 
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
@@ -259,6 +274,14 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 @query("op13_license_scan", license_sql())
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices in all documents."""
