@@ -203,13 +203,15 @@ def near_vectors(
     reach. A vector that is null, empty, zero or holds null, infinite or undefined components
     links with nothing, nor do vectors of different lengths. Equal vectors are worked on once
     and all count. Rows with one id stand for one vector. A null id is allowed: the row has no
-    name, but counts. Ids must be below 2**62; other columns are not read.
+    name, but counts. Ids from 2**62 on are an error; other columns are not read.
 
     The hashes per table set the number of buckets, ``(2 * width) ** hashes``; raise them, and
     the tables with them, as the table grows. Buckets of any size are compared completely.
     """
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding").withColumn("good", F.coalesce(good, F.lit(False)))
+    named = F.col("vec_id").cast("long")
+    named = F.when(named >= _UNNAMED, F.raise_error(F.lit("ids must be below 2**62"))).otherwise(named)
+    rows = vectors.select(named.alias("vec_id"), "embedding").withColumn("good", F.coalesce(good, F.lit(False)))
     name = F.coalesce(F.min("vec_id"), F.xxhash64("embedding").bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED))
     classes = rows.filter("good").groupBy("embedding").agg(name.alias("rep"), F.count(F.lit(1)).alias("size"))
     kind = vectors.schema["embedding"].dataType.simpleString()

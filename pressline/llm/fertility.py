@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
+from pressline.llm.columns import as_before, set_aside
 from pressline.llm.memo import TokenMemo, joined
 from pressline.llm.textarrays import SPACE, occurrence, slices, span_hashes, split_lines, split_words, window_hashes, window_starts, word_hashes
 
@@ -206,11 +208,20 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: Mapping
 
 
 def passing(docs: DataFrame, vocabulary: str | None = None, bands: Mapping[str, Band] = BANDS) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns, in one pass."""
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns, in one pass.
+
+    Null and empty texts go, since they fail the base rules; repeated rows are judged one by one
+    and stay as often as they come. An empty table stays empty.
+    """
+    own = ("lang", "text")
+    plain = set_aside(docs, *own)
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     names = [name for name in _statistic_names() if name not in ("n_tokens", "word_chars", "n_symbols", "n_dup_lines")]
     added = {name: f"_rule_{name}" for name in names}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{added[n]}` {kind}" for n, kind in _statistic_kinds() if n in added)])
+    schema = StructType(plain.schema.fields[:])
+    for name, kind in _statistic_kinds():
+        if name in added:
+            schema = schema.add(added[name], kind)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +231,9 @@ def passing(docs: DataFrame, vocabulary: str | None = None, bands: Mapping[str,
                     part = part.append_column(added[name], pa.array(found[name]))
                 yield part
 
-    measured = docs.mapInArrow(measure, schema)
-    judged = verdicts(measured.select(F.col("lang"), *[F.col(added[n]).alias(n) for n in names], F.struct(*docs.columns).alias("_row")), bands)
-    return judged.filter("kept").select("_row.*")
+    measured = plain.mapInArrow(measure, schema)
+    judged = verdicts(measured.select(F.col("lang"), *[F.col(added[n]).alias(n) for n in names], F.struct(*plain.columns).alias("_row")), bands)
+    return as_before(judged.filter("kept").select("_row.*"), docs, *own)
 
 
 def _statistic_kinds() -> list[tuple[str, str]]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pressline.llm.columns import as_before, set_aside
 from pressline.llm.store import stored
 
 SEED = "mix-1"
@@ -105,8 +106,8 @@ def mix(docs: DataFrame, rates: DataFrame | None = None, budget: float = 1.0, al
 
     Without ``rates`` the target weights are the tempered ones of :func:`tempered_weights`.
     A null text has no bytes; a source of such texts alone gets rate 0. Repeated rows and rows
-    without an id draw the same number of copies as each other. Columns whose names begin
-    with an underscore are reserved.
+    without an id draw the same number of copies as each other. An empty table stays empty.
     """
+    own = ("doc_id", "source")
     known = repetition_rates(tempered_weights(docs, alpha), budget) if rates is None else rates
-    return shuffled(replicate(docs, known, seed)).select(*docs.columns)
+    return as_before(shuffled(replicate(set_aside(docs, *own), known, seed)), docs, *own)

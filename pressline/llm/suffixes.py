@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pressline.llm.columns import as_before, set_aside
 from pressline.llm.store import stored
 from pressline.llm.textarrays import covered, slices, split_words, window_hashes, window_starts, word_hashes
 
@@ -241,19 +242,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_duplicates(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """``docs`` without the removed ranges; texts of which no word is left go.
 
-    Only ``text`` and, where present, ``n_chars`` change. Null texts stay as they are.
+    Only ``text`` and, where present, ``n_chars`` change. Null texts stay as they are, empty
+    ones go. Repeated rows lose the same words, since rows with equal id and text are one
+    document. An empty table stays empty.
     """
-    spans = repeated_spans(docs, passage).filter("removed").groupBy("doc").agg(
+    own = ("doc_id", "text", "n_chars")
+    plain = set_aside(docs, *own)
+    spans = repeated_spans(plain, passage).filter("removed").groupBy("doc").agg(
         F.collect_list(F.struct("span_start", "span_end")).alias("spans")
     ).select(F.col("doc").alias("_doc"), "spans")
     empty = F.array().cast("array<struct<span_start:int,span_end:int>>")
-    marked = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(spans.hint("shuffle_hash"), "_doc", "left").withColumn(
+    marked = plain.withColumn("_doc", F.xxhash64("doc_id", "text")).join(spans.hint("shuffle_hash"), "_doc", "left").withColumn(
         "spans", F.coalesce("spans", empty)
     )
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in plain.columns if c != "text"]
     narrow = marked.select(*others, "text", "spans")
     schema = narrow.select(*others, "text").schema
     left = narrow.mapInArrow(_cut, schema).filter("text is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return as_before(left, docs, *own)
