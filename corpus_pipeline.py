@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pressline.llm import fertility, hilbert_packing, order_minhash, poisson_mixing, suffixes
 from pressline.llm.store import stored
+from pressline.session import prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each stage's result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Texts are long: small Arrow batches keep the buffers of executors and Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
