@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -55,15 +55,18 @@ class TokenMemo:
         for word in self.passing:
             del self.place[word]
         self.passing, self.used = [], self.settled
-        new = list(set(words).difference(self.place))
-        if new:
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list({words[k] for k in missing})
             stay = max(0, self.entries - len(self.place))
             self._add(new[:stay])
             self.settled = self.used
             self.passing = new[stay:]
             if self.passing:
                 self._add(self.passing)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            at[missing] = [self.place[words[k]] for k in missing]
+        return at
 
     def tokens(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of every word, and all ids in order."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -12,6 +13,10 @@ from pressline.llm.memo import TokenMemo, joined
 # How the vocabulary's own file splits a text without white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# Lines of Latin letters, blanks and single marks: their pieces are the words and the marks.
+PLAIN_LINE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-į\u0131-ɏ ]++|[.,;:!?](?![.,;:!?]))*+")
+MARKS = ".,;:!?"
+
 WHOLE = "\0"  # marks a part that is encoded by itself
 PARTS = 450_000
 
@@ -20,10 +25,10 @@ class WordBpe:
     """Ids as the ``tokenizers`` library gives them, mostly from memory.
 
     White space never reaches a token of such a vocabulary, so a text's ids are those of its
-    words. New words of plain Latin characters are split by the file's own pattern and their
-    parts looked up or encoded in one call; other words are encoded by the library, as are
-    whole texts that hold special tokens or control characters that only Python takes for
-    white space.
+    lines and of their words. Lines of plain Latin letters and single marks are taken apart by
+    string methods. Words of other lines are remembered; new ones of Latin characters are split
+    by the file's own pattern, the rest is encoded by the library, as are whole texts that hold
+    special tokens or control characters that only Python takes for white space.
     """
 
     def __init__(self, path: str):
@@ -68,13 +73,35 @@ class WordBpe:
     def _splits(self, text: str) -> bool:
         return not any(token in text for token in self.special) and not any(c in text for c in "\0\x1c\x1d\x1e\x1f")
 
+    def _pieces(self, line: str) -> list[str] | None:
+        """The parts of a plain line."""
+        if PLAIN_LINE.fullmatch(line) is None:
+            return None
+        line = line.lower()
+        for mark in MARKS:
+            if mark in line:
+                line = line.replace(mark, f" {mark} ")
+        return line.split()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
         simple = [self._splits(text) for text in texts]
-        split = [text.split() if ok else [] for text, ok in zip(texts, simple)]
-        length, ids = self.words.tokens([word for words in split for word in words])
-        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *map(len, split)])]
-        return [ids[ends[k] : ends[k + 1]] if ok else self._whole(text) for k, (text, ok) in enumerate(zip(texts, simple))]
+        split = [text.split("\n") if ok else [] for text, ok in zip(texts, simple)]
+        lines = list(chain.from_iterable(split))
+        pieces = list(map(self._pieces, lines))
+        found: list = [None] * len(lines)
+        for plain, memo in ((True, self.parts), (False, self.words)):
+            mine = [k for k, own in enumerate(pieces) if (own is not None) == plain]
+            parts = [pieces[k] if plain else lines[k].split() for k in mine]
+            length, ids = memo.tokens(list(chain.from_iterable(parts)))
+            ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *map(len, parts)])].tolist()
+            for k, a, b in zip(mine, ends[:-1], ends[1:]):
+                found[k] = ids[a:b]
+        out, at = [], 0
+        for text, ok, own in zip(texts, simple, split):
+            out.append(np.concatenate(found[at : at + len(own)]) if ok else self._whole(text))
+            at += len(own)
+        return out
 
 
 _loaded: dict[str, WordBpe] = {}
