@@ -158,9 +158,14 @@ _PAIR_SCHEMA = "article_id bigint, story_id bigint, cosine double, days int"
 
 
 def interval_similarity_join(
-    articles: DataFrame, stories: DataFrame, floor: float = COSINE_FLOOR, days: int = EVENT_WINDOW_DAYS, rows: int = sim.BLOCK_ROWS
+    articles: DataFrame, stories: DataFrame, floor: float = COSINE_FLOOR, days: int = EVENT_WINDOW_DAYS, rows: int = sim.NEAR_ROWS,
+    top: int | None = None,
 ) -> DataFrame:
-    """Pairs of article and story within ``days`` whole days and at least ``floor`` similar."""
+    """Pairs of article and story within ``days`` whole days and at least ``floor`` similar.
+
+    With ``top`` only the most similar stories of an article, by id where equal: no block emits
+    more than that many per article.
+    """
     width = (2 * days + 1) * DAY * 1_000_000
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +173,13 @@ def interval_similarity_join(
             return pd.DataFrame(columns=["article_id", "story_id", "cosine", "days"])
         cosine = sim.unit_rows(left["embedding"]) @ sim.unit_rows(right["centroid"]).T
         apart = np.floor((left["published"].to_numpy()[:, None] - right["last_seen"].to_numpy()[None, :]) / (DAY * 1e6))
-        i, j = np.nonzero((cosine >= floor) & (np.abs(apart) <= days))
+        close = (cosine >= floor) & (np.abs(apart) <= days)
+        if top is not None:
+            rank = np.lexsort((np.broadcast_to(right["story_id"].to_numpy(), cosine.shape), -np.where(close, cosine, -2.0)), axis=1)[:, :top]
+            first = np.zeros_like(close)
+            np.put_along_axis(first, rank, True, axis=1)
+            close &= first
+        i, j = np.nonzero(close)
         return pd.DataFrame(
             {"article_id": left["article_id"].to_numpy()[i], "story_id": right["story_id"].to_numpy()[j], "cosine": cosine[i, j],
              "days": apart[i, j].astype("int32")}
@@ -185,10 +196,11 @@ def interval_similarity_join(
     left = articles.filter("embedding IS NOT NULL AND published_at IS NOT NULL").select(
         "article_id", "embedding", published.alias("published"), F.floor(published / width).alias("cell")
     )
-    return sim.compare_blocks(left, right, compare, _PAIR_SCHEMA, "article_id", "story_id", rows)
+    pairs = sim.compare_near(left, right, compare, _PAIR_SCHEMA, "article_id", "story_id", "embedding", "centroid", floor, rows)
+    return pairs if top is None else top_n(pairs, ["article_id"], [F.desc("cosine"), F.asc("story_id")], top)
 
 
-def match_active(articles: DataFrame, stories: DataFrame, as_of: Column, rows: int = sim.BLOCK_ROWS) -> DataFrame:
+def match_active(articles: DataFrame, stories: DataFrame, as_of: Column, rows: int = sim.NEAR_ROWS) -> DataFrame:
     """The best active story per article, ``attached`` when it is good enough.
 
     A strong cosine wins at once, by story order (newest, then most important), before
@@ -217,7 +229,7 @@ def match_active(articles: DataFrame, stories: DataFrame, as_of: Column, rows: i
         "article_id", "embedding", "entity_set", _micros("published_at").alias("published"),
         F.coalesce(F.floor(_micros("published_at") / width), undated).alias("cell"),
     )
-    hits = sim.compare_blocks(left, right, _match_block, _MATCH_SCHEMA, "article_id", "story_id", rows)
+    hits = sim.compare_near(left, right, _match_block, _MATCH_SCHEMA, "article_id", "story_id", "embedding", "centroid", COSINE_FLOOR, rows)
     by_rank = F.struct(
         F.col("strong").alias("a"), F.when(F.col("strong"), 0.0).otherwise(F.col("score")).alias("b"), F.col("last_seen").alias("c"),
         F.col("importance").alias("d"), (-F.col("story_id")).alias("e"),
@@ -251,7 +263,7 @@ def _revival_block(articles: pd.DataFrame, stories: pd.DataFrame) -> pd.DataFram
     )
 
 
-def revival_candidates(articles: DataFrame, stories: DataFrame, as_of: Column, rows: int = sim.BLOCK_ROWS) -> DataFrame:
+def revival_candidates(articles: DataFrame, stories: DataFrame, as_of: Column, rows: int = sim.NEAR_ROWS) -> DataFrame:
     """C6 input: the two most similar stories last seen 14 to 365 days ago, per article."""
     window = as_of - F.make_dt_interval(days=F.lit(EVENT_WINDOW_DAYS))
     oldest = as_of - F.make_dt_interval(days=F.lit(REVIVAL_LOOKBACK_DAYS))
@@ -261,7 +273,7 @@ def revival_candidates(articles: DataFrame, stories: DataFrame, as_of: Column, r
         _micros("last_seen_at").alias("last_seen"), F.coalesce("importance_score", F.lit(0)).cast("int").alias("importance"),
     )
     left = articles.filter(F.col("embedding").isNotNull()).select("article_id", "embedding", "entity_set")
-    hits = sim.compare_blocks(left, right, _revival_block, _REVIVAL_SCHEMA, "article_id", "story_id", rows)
+    hits = sim.compare_near(left, right, _revival_block, _REVIVAL_SCHEMA, "article_id", "story_id", "embedding", "centroid", ADJUDICATION_COSINE, rows)
     order = [F.desc("cosine"), F.desc("last_seen"), F.desc("importance"), F.asc("story_id")]
     return top_n(hits, ["article_id"], order, ADJUDICATION_CANDIDATES)
 
@@ -279,7 +291,7 @@ def verdicts_by(judge: Callable[[Column, Column], Column]) -> Adjudicator:
     return lambda candidates: candidates.withColumn("verdict", judge(F.col("article_id"), F.col("story_id")))
 
 
-def match_revival(articles: DataFrame, stories: DataFrame, adjudicate: Adjudicator, as_of: Column, rows: int = sim.BLOCK_ROWS) -> DataFrame:
+def match_revival(articles: DataFrame, stories: DataFrame, adjudicate: Adjudicator, as_of: Column, rows: int = sim.NEAR_ROWS) -> DataFrame:
     """``(article_id, story_id, action)`` with action attach or related.
 
     The most similar older story is revived directly when vector and names agree;
@@ -307,7 +319,7 @@ def _same_event_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return sim.forest(linked, left["article_id"].to_numpy(), right["article_id"].to_numpy())
 
 
-def same_event_groups(articles: DataFrame, as_of: Column, rows: int = sim.BLOCK_ROWS) -> DataFrame:
+def same_event_groups(articles: DataFrame, as_of: Column, rows: int = sim.NEAR_ROWS) -> DataFrame:
     """C7 residue: ``(article_id, group_id)``; articles of one event share a group.
 
     Two articles belong together under the thresholds that let an article join a story,
@@ -331,7 +343,9 @@ def same_event_groups(articles: DataFrame, as_of: Column, rows: int = sim.BLOCK_
     # Close dates lie in the same or the next cell: the right side also stands one cell earlier.
     left = heads.withColumn("cell", cell).drop("copy")
     right = heads.withColumn("cell", F.explode(F.array(cell, cell - 1))).drop("copy")
-    edges = sim.compare_blocks(left, right, _same_event_block, "src bigint, dst bigint", "article_id", "article_id", rows)
+    edges = sim.compare_near(
+        left, right, _same_event_block, "src bigint, dst bigint", "article_id", "article_id", "embedding", "embedding", COSINE_FLOOR, rows
+    )
     groups = connected_components(edges.unionByName(copies))
     labelled = articles.select("article_id").join(groups.withColumnRenamed("id", "article_id"), "article_id", "left")
     return labelled.select("article_id", F.coalesce("component", "article_id").alias("group_id"))
@@ -343,7 +357,7 @@ def story_key(*parts: Column) -> Column:
 
 
 def assign_batch(
-    articles: DataFrame, stories: DataFrame, adjudicate: Adjudicator, as_of: Column, rows: int = sim.BLOCK_ROWS
+    articles: DataFrame, stories: DataFrame, adjudicate: Adjudicator, as_of: Column, rows: int = sim.NEAR_ROWS
 ) -> DataFrame:
     """One row per article: story, action, relevance and an older related story.
 
@@ -642,7 +656,7 @@ _STATE = "id bigint, total array<double>, n bigint, entity_set array<string>, la
 
 def rebuild_all(
     articles: DataFrame, enrichments: DataFrame, embeddings: DataFrame, adjudicate: Adjudicator, as_of: Column, batch_days: int = 1,
-    replay: bool = True, rows: int = sim.BLOCK_ROWS,
+    replay: bool = True, rows: int = sim.NEAR_ROWS,
 ) -> DataFrame:
     """All assignments from scratch, one pass per ``batch_days`` of publication dates.
 

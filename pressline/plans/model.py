@@ -94,11 +94,12 @@ class Model:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """The embeddings summed down to four numbers, so that pairs of all similarities occur."""
-        sums = ", ".join(
-            f"aggregate(slice(embedding, {16 * i + 1}, 16), 0.0D, (acc, x) -> acc + cast(x AS double))" for i in range(4)
-        )
-        return self.raw("embeddings").selectExpr("vec_id AS article_id", f"array({sums}) AS embedding")
+        """The embeddings with dimensions that count less and less, as in vectors of text models.
+
+        All dimensions take part; independent ones alone would leave no two articles similar.
+        """
+        scaled = "transform(embedding, (x, i) -> cast(x AS double) / (i + 1))"
+        return self.raw("embeddings").selectExpr("vec_id AS article_id", f"{scaled} AS embedding")
 
     @cached_property
     def enrichments(self) -> DataFrame:
@@ -347,9 +348,7 @@ SQL_TABLES = {
     "categories": f"""
   SELECT DISTINCT category_id AS id, ({_list(CATEGORIES)})[category_id + 1] AS name FROM articles""",
     "authors": "SELECT DISTINCT author_id AS id, 'Author ' || author_id AS name FROM articles",
-    "vectors": "SELECT vec_id AS article_id, ["
-    + ", ".join(f"list_sum(CAST(embedding[{16 * i + 1}:{16 * i + 16}] AS DOUBLE[]))" for i in range(4))
-    + "] AS embedding FROM embeddings",
+    "vectors": "SELECT vec_id AS article_id, [CAST(embedding[i] AS DOUBLE) / i FOR i IN range(1, len(embedding) + 1)] AS embedding FROM embeddings",
     "enrichments": f"""
   SELECT d.doc_id AS article_id,
     CASE WHEN d.doc_id % 11 = 0 THEN 'failed' WHEN d.doc_id % 7 = 0 THEN 'pending' WHEN d.doc_id % 31 = 0 THEN 'processing' ELSE 'completed' END AS status,

@@ -238,3 +238,54 @@ def test_undated_members_come_last_and_are_the_latest(spark):
     whole = stories.synthesis_payload(story, many, facts, bare, outlet, none).first().articles_json
     cut = stories.synthesis_payload(story, many, facts, bare, outlet, none, text_limit=24000).first().articles_json
     assert len(json.loads(whole)) == 1000 and cut == whole[:24000]
+
+
+def clustered(n, seed, zero=3, noise=0.25):
+    rng = np.random.RandomState(seed)
+    centres = np.random.RandomState(0).normal(size=(9, 24))
+    rows = centres[np.arange(n) % 9] * rng.uniform(0.5, 2, (n, 1)) + rng.normal(0, noise, (n, 24))
+    rows[:zero] = 0
+    return rows
+
+
+def test_pruned_similarity_join_equals_the_block_product(spark, monkeypatch):
+    sim = similarity
+
+    monkeypatch.setattr(sim, "PIVOT_SAMPLE", 200)
+    base = datetime(2024, 1, 1)
+    left = [(k, v.tolist(), base + timedelta(hours=5 * (k % 300))) for k, v in enumerate(clustered(700, 1))]
+    right = [(k, v.tolist(), base + timedelta(hours=7 * (k % 200))) for k, v in enumerate(clustered(400, 2))]
+    articles = spark.createDataFrame(left, "article_id bigint, embedding array<double>, published_at timestamp").repartition(4)
+    events = spark.createDataFrame(right, "id bigint, centroid array<double>, last_seen_at timestamp").repartition(3)
+    pairs = lambda df: sorted((r.article_id, r.story_id, r.days, round(r.cosine, 9)) for r in df.collect())
+    for floor in (0.52, 0.9):
+        got = pairs(stories.interval_similarity_join(articles, events, floor, rows=40))
+        a, b = clustered(700, 1), clustered(400, 2)
+        unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+        cosine = unit(a) @ unit(b).T
+        want = []
+        for i, j in zip(*np.nonzero(cosine >= floor)):
+            days = (left[i][2] - right[j][2]) // timedelta(days=1)
+            if abs(days) <= 14:
+                want.append((int(i), int(j), days, round(float(cosine[i, j]), 9)))
+        assert got == sorted(want) and got
+    best = pairs(stories.interval_similarity_join(articles, events, 0.9, rows=40, top=2).drop("rank"))
+    order = {}
+    for row in sorted(got, key=lambda r: (r[0], -r[3], r[1])):
+        order.setdefault(row[0], []).append(row)
+    assert best == sorted(r for rows in order.values() for r in rows[:2])
+
+
+def test_most_block_pairs_of_clustered_vectors_are_skipped(spark, monkeypatch):
+    sim = similarity
+
+    rows = clustered(2000, 5, noise=0.1)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "id bigint, v array<double>").repartition(4)
+    pivots = sim.choose_pivots(sim.unit_rows(df.limit(300).toPandas()["v"])[4:], 16)
+    a, b = sim.with_blocks(df, "id", "v", pivots, 50), sim.with_blocks(df, "id", "v", pivots, 50)
+    blocks = a.select("block").distinct().count()
+    kept = sim.block_pairs(a, b, len(pivots), 0.8).count()
+    print('SKIPPED', 1 - kept / blocks**2)
+    assert blocks > 30 and kept < 0.35 * blocks * blocks
+    sizes = a.groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 100
