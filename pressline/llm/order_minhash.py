@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pressline.llm.columns import as_before, set_aside
 from pressline.llm.store import stored
 from pressline.llm.textarrays import mix, occurrence, ranges, sequence_hashes, slices, split_words, word_hashes
 from pressline.operators.graph import connected_components
@@ -28,7 +29,7 @@ TABLES = 24
 ELEMENTS = 4
 SMALL_BUCKET = 8  # up to this many members all pairs are candidates
 LIKELY_PARTNERS = 4  # partners a document tries in the second pass; the third pass tries all that are left
-BLOCK_WEIGHT = 1 << 16  # shingles, and MEMBER_WEIGHT for each member, of a block of a larger bucket
+BLOCK_WEIGHT = 1 << 18  # shingles, and MEMBER_WEIGHT for each member, of a block of larger buckets
 MEMBER_WEIGHT = 64
 _COLUMNS = 2048  # shingles counted in one matrix product
 _UNNAMED = 1 << 62  # vertices of rows without an id start here
@@ -180,32 +181,42 @@ def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that links do not yet hold together, with the part each belongs to."""
     parts = connected_components(links).select(F.col("id").alias("rep"), "component")
     labelled = met.select("key", "rep", "n").join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    return stored(_members(labelled).drop("least"))
+    return stored(_members(labelled))
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """``rep, part, n, group``: the members of large buckets, with the buckets that overlap in one group.
+
+    Most large buckets hold the same members. In its group a member is compared once, however
+    many of the buckets it is in.
+    """
+    together = connected_components(members.select(F.col("rep").alias("src"), F.col("least").alias("dst")).distinct())
+    return members.select("rep", "part", "n").distinct().join(together.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep")
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """Members of large buckets once per cell (``key, i, j``) in which they are compared, with their ``block``.
+    """Members of large buckets once per cell (``group, i, j``) in which they are compared, with their ``block``.
 
-    A bucket that fits is one cell. Others are cut by a hash into blocks of the largest part and
-    blocks of the rest; a cell is a block of the rest with itself, another one or one of the
-    largest part, so that every pair of members of different parts shares a cell.
+    A group of buckets that fits is one cell. Others are cut by a hash into blocks of the largest
+    part and blocks of the rest; a cell is a block of the rest with itself, another one or one of
+    the largest part, so that every pair of members of different parts shares a cell.
     """
     weight = F.col("n") + MEMBER_WEIGHT
-    sized = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
-    whole = sized.groupBy("key").agg(F.max(F.struct("c", "part", "w")).alias("main"), F.sum("w").alias("w"))
+    sized = members.groupBy("group", "part").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
+    whole = sized.groupBy("group").agg(F.max(F.struct("c", "part", "w")).alias("main"), F.sum("w").alias("w"))
     count = lambda w: F.when(F.col("w") <= BLOCK_WEIGHT, 1).otherwise(F.ceil(w / BLOCK_WEIGHT)).cast("int")
     plan = whole.select(
-        "key", F.col("main.part").alias("main"), count(F.col("w") - F.col("main.w")).alias("rest"),
+        "group", F.col("main.part").alias("main"), count(F.col("w") - F.col("main.w")).alias("rest"),
         F.when(F.col("w") <= BLOCK_WEIGHT, 0).otherwise(count(F.col("main.w"))).alias("most"),
     )
     inside = (F.col("part") == F.col("main")) & (F.col("most") > 0)
     place = F.xxhash64("rep", F.lit("block"))
     block = F.when(inside, F.col("rest") + F.pmod(place, F.greatest("most", F.lit(1)))).otherwise(F.pmod(place, F.col("rest")))
-    own = members.join(plan, "key").select("key", "rep", "part", "rest", "most", block.cast("int").alias("block"))
+    own = members.join(plan, "group").select("group", "rep", "part", "rest", "most", block.cast("int").alias("block"))
     partner = F.sequence(F.lit(0), F.when(F.col("block") < F.col("rest"), F.col("rest") + F.col("most")).otherwise(F.col("rest")) - 1)
     return own.withColumn("with", F.explode(partner)).select(
-        "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "part"
-    ).distinct()
+        "group", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "part"
+    )
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,13 +281,19 @@ def _large_links(members: DataFrame, texts: DataFrame, threshold: float) -> Data
     inside = members.select(F.col("rep").alias("vertex")).distinct()
     read = texts.join(inside, "vertex", "left_semi").select(F.col("vertex").alias("rep"), "text").distinct()
     shingles = stored(read.mapInArrow(_shingles, "rep long, shingles array<long>"))
-    return _cells(members).join(shingles, "rep").groupBy("key", "i", "j").applyInArrow(_compare(threshold), "src long, dst long")
+    return _cells(_groups(members)).join(shingles, "rep").groupBy("group", "i", "j").applyInArrow(_compare(threshold), "src long, dst long")
 
 
 def _vertex() -> Column:
     """The id of a row, or a hash of its text above all ids."""
     unnamed = F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED)
-    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+    return F.coalesce(named_below(F.col("doc_id")), unnamed)
+
+
+def named_below(name: Column, limit: int = _UNNAMED) -> Column:
+    """A row's id; one from ``limit`` on is refused, since vertices without an id start there."""
+    value = name.cast("long")
+    return F.when(value >= limit, F.raise_error(F.lit("ids must be below 2**62"))).otherwise(value)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -288,15 +305,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     row that carries it is kept. Equal texts, empty ones included, are one class and are
     worked on once. A null text is linked with nothing. Rows with one id are one document. A
     null id is allowed: such a row joins its class without naming it and its ``kept`` says
-    that no other row of its class is. Ids must be below 2**62; other columns are not read.
+    that no other row of its class is. Ids from 2**62 on are an error; other columns are not read.
 
     Finding candidates takes three passes. The first compares every document with the one
     leader it shares most buckets with and joins what is confirmed. The second compares those
     that stand beside the largest part of a large bucket with a few members of that part.
-    The third takes all pairs of a bucket whose members are still apart. A bucket of more than
-    ``SMALL_BUCKET`` members is cut into blocks of bounded size; every pair of blocks, but for
-    those of its largest part, is compared in one task, which counts the common shingles of all
-    pairs, aligns those that can be similar and emits a spanning forest. So every pair that
+    The third takes all pairs of a bucket whose members are still apart. Buckets of more than
+    ``SMALL_BUCKET`` members that overlap are one group, which is cut into blocks of bounded
+    size; every pair of blocks, but for those of the group's largest part, is compared in one
+    task, which counts the common shingles of all pairs, aligns those that can be similar and
+    emits a spanning forest. So every pair that
     shares a sketch is linked or known to be in one class already; work, not rows, grows with
     the square of a group that does not hold together.
     """
@@ -342,9 +360,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that :func:`near_duplicates` does not keep.
 
     Of the rows without an id that have the text of a class without ids, one stays, any of them;
-    rows with neither id nor text stay.
+    rows with neither id nor text stay. Repeated rows of a kept id stay as often as they come.
     """
-    dropped = stored(_judged(docs, similarity).filter("vertex <> component").select(F.col("vertex").alias("_vertex")).distinct())
-    left = docs.withColumn("_vertex", _vertex()).join(dropped.hint("shuffle_hash"), "_vertex", "left_anti")
+    own = ("doc_id", "text")
+    plain = set_aside(docs, *own)
+    dropped = stored(_judged(plain, similarity).filter("vertex <> component").select(F.col("vertex").alias("_vertex")).distinct())
+    left = plain.withColumn("_vertex", _vertex()).join(dropped.hint("shuffle_hash"), "_vertex", "left_anti")
     unnamed = F.col("doc_id").isNull() & F.col("text").isNotNull()
-    return left.filter(~unnamed).unionByName(left.filter(unnamed).dropDuplicates(["_vertex"])).select(*docs.columns)
+    return as_before(left.filter(~unnamed).unionByName(left.filter(unnamed).dropDuplicates(["_vertex"])), docs, *own)
