@@ -14,36 +14,40 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressline.operators.ranking import freshness_order
+from pressline.operators.ranking import freshness_order, top_n
+from pressline.operators.substrings import GramIndex, Needle, substring_matches
 from pressline.session import cut_lineage
 
 TERM = r"[\p{L}\p{N}_]+"
 FIELD_WEIGHTS = {"title": 1.0, "excerpt": 0.4, "content": 0.2}
+FIELD_STEP = 1 << 40  # positions of one field end long before those of the next begin
+SIX_FIELDS = ("title", "excerpt", "content", "source_name", "category_name", "tag_names")
+ID_BLOCK = 4096  # articles of a block of postings
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def build_search_index(articles: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+def build_search_index(articles: DataFrame, only: Sequence[str] | None = None, positions: bool = False) -> DataFrame:
     """Q1: postings ``(term, id, tf_title, tf_excerpt, tf_content, weight)``.
 
     All occurrences of a term in an article come from one row, so they are combined
     before the shuffle; a frequent term spreads over its articles. With ``only`` the
-    postings of the listed terms are built and no others leave the scan.
+    postings of the listed terms are built and no others leave the scan. With ``positions``
+    the postings also list where the term stands, each field ``FIELD_STEP`` after the last, so
+    that phrases need no text.
     """
 
-    def tagged(field):
-        found = terms(F.col(field))
-        if only is not None:
-            found = F.filter(found, lambda t: t.isin(list(only)))
-        return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+    def tagged(number: int, field: str) -> Column:
+        placed = F.transform(terms(F.col(field)), lambda t, i: F.struct(t.alias("term"), (i + number * F.lit(FIELD_STEP)).alias("at")))
+        return F.filter(placed, lambda o: o["term"].isin(list(only))) if only is not None else placed
 
-    occurrences = F.concat(*[tagged(field) for field in FIELD_WEIGHTS])
+    occurrences = F.concat(*[tagged(number, field) for number, field in enumerate(FIELD_WEIGHTS)])
     rows = articles.select("id", F.explode(occurrences).alias("o"))
-    counts = rows.groupBy("o.term", "id").agg(
-        *[F.count_if(F.col("o.field") == field).alias(f"tf_{field}") for field in FIELD_WEIGHTS]
-    )
+    of = F.floor(F.col("o.at") / FIELD_STEP)
+    counted = [F.count_if(of == number).alias(f"tf_{field}") for number, field in enumerate(FIELD_WEIGHTS)]
+    counts = rows.groupBy("o.term", "id").agg(*counted, *([F.sort_array(F.collect_list("o.at")).alias("positions")] if positions else []))
     weight = reduce(
         lambda a, b: a + b,
         [F.when(F.col(f"tf_{f}") > 0, F.lit(w) * (1 + F.log(F.col(f"tf_{f}")))).otherwise(0.0) for f, w in FIELD_WEIGHTS.items()],
@@ -56,6 +60,11 @@ def write_search_index(index: DataFrame, path: str) -> None:
     index.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
 
 
+def block_maxima(index: DataFrame) -> DataFrame:
+    """The greatest weight of every term per block of article ids: bounds for :func:`fts_top`."""
+    return index.groupBy("term", F.floor(F.col("id") / ID_BLOCK).alias("block")).agg(F.max("weight").alias("most"))
+
+
 def parse_query(query: str) -> list[dict]:
     """A web-style query as alternatives of terms, phrases and excluded terms.
 
@@ -84,42 +93,96 @@ def search_terms(query: str) -> list[str]:
     return [w for w in re.sub(r"[^\w\s]", " ", query).split() if len(w) >= 3]
 
 
-def _token_text(articles: DataFrame) -> Column:
-    """Each field as ' term term ' so that a phrase is found on term borders."""
-    parts = [F.concat(F.lit(" "), F.array_join(terms(F.col(f)), " "), F.lit(" ")) for f in FIELD_WEIGHTS]
-    return F.concat_ws("|", *parts)
+def _lookups(queries: Sequence[tuple[int, str]]) -> tuple[list, list]:
+    """Positive terms, and the terms of phrases and exclusions with their place inside them.
+
+    ``(query_id, alternative, term, n_terms)`` and ``(query_id, alternative, part, kind, place, length, term)``.
+    """
+    wanted, parts = [], []
+    for qid, text in queries:
+        for n, alt in enumerate(parse_query(text)):
+            wanted += [(qid, n, t, len(set(alt["terms"]))) for t in sorted(set(alt["terms"]))]
+            for number, (kind, phrase) in enumerate([*(("phrase", p) for p in alt["phrases"]), *(("excluded", p) for p in alt["excluded"])]):
+                own = phrase.split()
+                parts += [(qid, n, number, kind, place, len(own), t) for place, t in enumerate(own)]
+    return wanted, parts
+
+
+_WANTED = "query_id bigint, alternative int, term string, n_terms int"
+_PARTS = "query_id bigint, alternative int, part int, kind string, place int, length int, term string"
+
+
+def _matching(hits: DataFrame, postings: DataFrame, parts: list) -> DataFrame:
+    """Those of ``hits`` that hold every phrase and no exclusion, by the positions of their terms."""
+    if not parts:
+        return hits
+    rules = hits.sparkSession.createDataFrame(parts, _PARTS)
+    ids = hits.select("query_id", "alternative", "id")
+    placed = postings.select("term", "id", "positions").join(F.broadcast(rules), "term").join(ids, ["query_id", "alternative", "id"], "left_semi")
+    # Where the phrase would begin, by each of its terms; a phrase stands where all agree.
+    begins = placed.withColumn("begins", F.transform("positions", lambda p: p - F.col("place")))
+    met = begins.groupBy("query_id", "alternative", "part", "kind", "length", "id").agg(F.collect_list("begins").alias("all"))
+    common = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    standing = met.filter((F.size("all") == F.col("length")) & (F.size(common) > 0))
+    held = standing.groupBy("query_id", "alternative", "id").agg(
+        F.count_if(F.col("kind") == "phrase").alias("n_phrases"), F.count_if(F.col("kind") == "excluded").alias("n_excluded")
+    )
+    needed = rules.filter("kind = 'phrase'").groupBy("query_id", "alternative").agg(F.countDistinct("part").alias("needed"))
+    judged = hits.join(F.broadcast(needed), ["query_id", "alternative"], "left").join(held, ["query_id", "alternative", "id"], "left")
+    passes = (F.coalesce("n_phrases", F.lit(0)) == F.coalesce("needed", F.lit(0))) & (F.coalesce("n_excluded", F.lit(0)) == 0)
+    return judged.filter(passes).select(*hits.columns)
 
 
 def fts_search(queries: Sequence[tuple[int, str]], articles: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Q2: ``(query_id, id, rank)`` for a short list of queries.
 
-    Positive terms are looked up in the postings; texts are read only for articles that
-    already match and only for queries with phrases or exclusions.
+    Terms, phrases and exclusions are answered by postings with positions; no text is read
+    when ``index`` holds them (:func:`build_search_index` with ``positions``).
     """
+    wanted, parts = _lookups(queries)
     spark = articles.sparkSession
-    parsed = [(qid, n, alt) for qid, text in queries for n, alt in enumerate(parse_query(text))]
-    wanted = [(qid, n, t, len(set(alt["terms"]))) for qid, n, alt in parsed for t in sorted(set(alt["terms"]))]
     if index is None:
-        index = build_search_index(articles, only=sorted({t for _, _, t, _ in wanted}))
-    schema = "query_id bigint, alternative int, term string, n_terms int"
-    lookups = spark.createDataFrame(wanted, schema)
-    hits = (
-        index.select("term", "id", "weight").join(lookups, "term")
+        index = build_search_index(articles, only=sorted({row[2] for row in wanted} | {row[-1] for row in parts}), positions=bool(parts))
+    hits = _scored(index, spark.createDataFrame(wanted, _WANTED))
+    return _matching(hits, index, parts).groupBy("query_id", "id").agg(F.max("rank").alias("rank"))
+
+
+def _scored(index: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Articles that hold all positive terms of an alternative, with their rank."""
+    return (
+        index.select("term", "id", "weight").join(F.broadcast(lookups), "term")
         .groupBy("query_id", "alternative", "n_terms", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("rank"))
         .filter("n = n_terms").select("query_id", "alternative", "id", "rank")
     )
-    checks = [(qid, n, alt["phrases"], alt["excluded"]) for qid, n, alt in parsed if alt["phrases"] or alt["excluded"]]
-    if checks:
-        rules = spark.createDataFrame(checks, "query_id bigint, alternative int, phrases array<string>, excluded array<string>")
-        ruled = hits.join(rules, ["query_id", "alternative"])
-        plain = hits.join(rules, ["query_id", "alternative"], "left_anti")
-        needed = ruled.join(articles.select("id", _token_text(articles).alias("_text")), "id")
-        bounded = lambda p: F.concat(F.lit(" "), p, F.lit(" "))
-        passes = F.forall("phrases", lambda p: F.col("_text").contains(bounded(p))) & ~F.exists(
-            "excluded", lambda p: F.col("_text").contains(bounded(p))
-        )
-        hits = plain.unionByName(needed.filter(passes).select("query_id", "alternative", "id", "rank"))
-    return hits.groupBy("query_id", "id").agg(F.max("rank").alias("rank"))
+
+
+def fts_top(queries: Sequence[tuple[int, str]], index: DataFrame, maxima: DataFrame, k: int, first: int = 4) -> DataFrame:
+    """Q2: the ``k`` best articles per query, by rank, then by higher id: ``(query_id, id, rank)``.
+
+    The greatest weights of a block of articles bound the ranks inside it. The ``first`` blocks
+    by bound are scored; of the others only those that can still reach the k-th rank found
+    there are read. The result is that of the full ranking.
+    """
+    spark = index.sparkSession
+    wanted, parts = _lookups(queries)
+    lookups = F.broadcast(spark.createDataFrame(wanted, _WANTED))
+    bounds = maxima.join(lookups, "term").groupBy("query_id", "alternative", "n_terms", "block").agg(F.sum("most").alias("bound"), F.count(F.lit(1)).alias("n"))
+    blocks = cut_lineage(bounds.filter("n = n_terms").groupBy("query_id", "block").agg(F.max("bound").alias("bound")))
+    order = [F.desc("rank"), F.desc("id")]
+
+    def scored(inside: DataFrame) -> DataFrame:
+        """Matches in the given blocks (``query_id``, ``block``) of each query."""
+        some = index.withColumn("block", F.floor(F.col("id") / ID_BLOCK)).join(inside.select("block").distinct(), "block", "left_semi")
+        found = _matching(_scored(some, lookups), some, parts).groupBy("query_id", "id").agg(F.max("rank").alias("rank"))
+        return found.withColumn("block", F.floor(F.col("id") / ID_BLOCK)).join(inside.select("query_id", "block"), ["query_id", "block"], "left_semi").drop("block")
+
+    tried = top_n(blocks, ["query_id"], [F.desc("bound"), F.asc("block")], first, "place").drop("place")
+    best = cut_lineage(top_n(scored(tried), ["query_id"], order, k, "place"))
+    reached = best.filter(F.col("place") == k).select("query_id", F.col("rank").alias("least"))
+    # The slack covers sums of weights in another order.
+    open_ = blocks.join(tried, ["query_id", "block"], "left_anti").join(reached, "query_id", "left").filter("least is null or bound >= least - 1e-9")
+    rest = scored(cut_lineage(open_))
+    return top_n(best.drop("place").unionByName(rest), ["query_id"], order, k, "place").drop("place")
 
 
 def _contains_any(fields: Sequence[Column], needle: str) -> Column:
@@ -161,29 +224,61 @@ def any_term_search(articles: DataFrame, query: str) -> DataFrame:
     return articles.filter(any_term_match(query))
 
 
-def cascade_search(queries: Sequence[tuple[int, str]], articles: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def tag_names(articles: DataFrame) -> DataFrame:
+    """``articles`` with their tags as one text, the sixth field of :func:`any_term_search`."""
+    return articles.withColumn("tag_names", F.array_join("tags", " \x1f "))
+
+
+def _needles(qid: int, query: str) -> list[tuple[int, Needle]]:
+    """What the text strategies look for: (tier, needle)."""
+    found = search_terms(query)
+    out = [(2, Needle(qid, query, ("title", "excerpt")))]
+    out += [(3, Needle(qid, t, tuple(FIELD_WEIGHTS))) for t in found]
+    return out + [(4, Needle(qid, t, SIX_FIELDS)) for t in found]
+
+
+def indexed_text_search(queries: Sequence[tuple[int, str]], articles: DataFrame, grams: GramIndex) -> DataFrame:
+    """Q3-Q5 for many queries: ``(query_id, id, tier)``, tier 2 for the phrase, 3 for all and 4 for any terms.
+
+    ``articles`` has the six fields, ``grams`` is an index over them; texts are read only for
+    articles that hold the rarest trigrams of a needle.
+    """
+    spark = articles.sparkSession
+    listed = [pair for qid, text in queries for pair in _needles(qid, text)]
+    tiers = spark.createDataFrame([(n, tier) for n, (tier, _) in enumerate(listed)], "needle_no int, tier int")
+    needed = F.broadcast(tiers.join(spark.createDataFrame([(n, x.key) for n, (_, x) in enumerate(listed)], "needle_no int, key long"), "needle_no"))
+    count = needed.groupBy("key", "tier").agg(F.count(F.lit(1)).alias("all"))
+    found = substring_matches([x for _, x in listed], articles, grams).join(F.broadcast(tiers), "needle_no")
+    met = found.groupBy("key", "tier", "id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(count), ["key", "tier"])
+    return met.filter("tier = 4 or n = all").select(F.col("key").alias("query_id"), "id", "tier")
+
+
+def cascade_search(
+    queries: Sequence[tuple[int, str]], articles: DataFrame, index: DataFrame | None = None, grams: GramIndex | None = None
+) -> DataFrame:
     """Q6: for each query the matches of the first strategy that finds anything.
 
-    The ranked strategy comes from the postings. Only the queries it leaves open are tested
-    on the texts, with all three text strategies in one scan that emits only matches; of
-    these the smallest tier per query is kept.
+    The ranked strategy comes from the postings. Only the queries it leaves open go to the
+    text strategies, of which the smallest tier per query is kept. With ``grams`` (over
+    :func:`tag_names` of the articles) these are index look-ups, without it one scan.
     """
     ranked = cut_lineage(fts_search(queries, articles, index).select("query_id", "id", F.lit(1).alias("tier"), "rank"))
     answered = {row["query_id"] for row in ranked.select("query_id").distinct().collect()}  # as many as queries
     waiting = [(qid, text) for qid, text in queries if qid not in answered]
     if not waiting:
         return ranked
-    tests = F.array(
-        *[
-            F.struct(F.lit(qid).cast("bigint").alias("query_id"), F.lit(tier).alias("tier"), match.alias("hit"))
-            for qid, text in waiting
-            for tier, match in ((2, phrase_match(text)), (3, all_terms_match(text)), (4, any_term_match(text)))
-        ]
-    )
-    scanned = articles.select("id", F.explode(F.filter(tests, lambda t: t["hit"])).alias("t")).select(
-        "t.query_id", "id", "t.tier", F.lit(None).cast("double").alias("rank")
-    )
-    scanned = cut_lineage(scanned)
+    if grams is not None:
+        found = indexed_text_search(waiting, tag_names(articles), grams)
+    else:
+        tests = F.array(
+            *[
+                F.struct(F.lit(qid).cast("bigint").alias("query_id"), F.lit(tier).alias("tier"), match.alias("hit"))
+                for qid, text in waiting
+                for tier, match in ((2, phrase_match(text)), (3, all_terms_match(text)), (4, any_term_match(text)))
+            ]
+        )
+        found = articles.select("id", F.explode(F.filter(tests, lambda t: t["hit"])).alias("t")).select("t.query_id", "id", "t.tier")
+    scanned = cut_lineage(found.withColumn("rank", F.lit(None).cast("double")))
     first = scanned.groupBy("query_id").agg(F.min("tier").alias("_tier"))
     kept = scanned.join(first, "query_id").filter("tier = _tier").drop("_tier")
     return ranked.unionByName(kept.select(*ranked.columns))

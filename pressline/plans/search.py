@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
-from pressline.operators import search
+from pressline.operators import search, substrings
 from pressline.plans.feeds import ELIGIBLE, eligible
 from pressline.plans.model import AS_OF_SQL, Model
 from pressline.plans.registry import query
+from pressline.session import shared_dir
 
 QUERIES = [
     (1, "the and"), (2, '"of the"'), (3, "nation or rechts"), (4, "the -and"), (5, "xyzzy tion"), (6, "zzzz politics"),
@@ -53,6 +57,35 @@ def pool(m: Model):
     return eligible(m).join(names, "source_id").join(sections, "category_id")
 
 
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(m: Model, name: str, write: Callable[[str], object]) -> str:
+    """The folder of an index over the model's articles, written once per application and data folder."""
+    key = (m.spark.sparkContext.applicationId, m.folder, name)
+    if key not in _indexes:
+        path = f"{shared_dir(m.spark)}/search-{uuid.uuid4().hex}"
+        write(path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+def postings(m: Model):
+    """Stored postings with positions of the searchable articles."""
+    path = stored_index(m, "postings", lambda to: search.write_search_index(search.build_search_index(pool(m), positions=True), to))
+    return m.spark.read.parquet(path)
+
+
+def maxima(m: Model):
+    return m.spark.read.parquet(stored_index(m, "maxima", lambda to: search.block_maxima(postings(m)).write.parquet(to)))
+
+
+def grams(m: Model):
+    """The stored gram index over all six fields."""
+    path = stored_index(m, "grams", lambda to: substrings.write_gram_index(search.tag_names(pool(m)), search.SIX_FIELDS, to))
+    return substrings.GramIndex(m.spark, path, search.SIX_FIELDS)
+
+
 @query("q1_build_search_index", f"""
 WITH pool AS (SELECT * FROM articles), {INDEX} SELECT term, id, tf_title, tf_excerpt, tf_content, round(weight, 6) AS weight FROM idx""")
 def _(m):
@@ -61,9 +94,21 @@ def _(m):
 
 @query("q2_fts_search", f"WITH {POOL}, {INDEX}, {FTS} SELECT query_id, id, round(rank, 6) AS rank FROM fts")
 def _(m):
+    return search.fts_search(QUERIES, pool(m), postings(m)).withColumn("rank", F.round("rank", 6))
+
+
+@query("q2_fts_built_for_the_queries", f"WITH {POOL}, {INDEX}, {FTS} SELECT query_id, id, round(rank, 6) AS rank FROM fts")
+def _(m):
+    """The postings of the queries' terms alone, from one scan."""
     return search.fts_search(QUERIES, pool(m)).withColumn("rank", F.round("rank", 6))
 
 
+@query("q2_fts_top", f"""
+WITH {POOL}, {INDEX}, {FTS} SELECT query_id, id, round(rank, 6) AS rank FROM fts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id DESC) <= 10""")
+def _(m):
+    return search.fts_top(QUERIES, postings(m), maxima(m), 10).withColumn("rank", F.round("rank", 6))
+
+
 @query("q3_phrase_search", f"SELECT id FROM {ELIGIBLE} WHERE contains(lower(title), 'of the') OR contains(lower(excerpt), 'of the')")
 def _(m):
     return search.phrase_search(eligible(m), "of the").select("id")
@@ -93,6 +138,29 @@ def _tier(qid, phrase, terms):
   UNION ALL SELECT {qid}, id, 4, NULL FROM pool WHERE {_terms_sql(terms, ' OR ', SIX)}"""
 
 
+NEEDLES = ["of the", "e", "ve", "the", "nation", "é", "zzqq", "politics", "t4", "source 1", "ich "]
+
+
+@query("q5_substrings", f"WITH {POOL} " + " UNION ALL ".join(
+    f"SELECT {n} AS needle, id FROM pool WHERE {_terms_sql([t], '', SIX)}" for n, t in enumerate(NEEDLES)))
+def _(m):
+    """Needles of any length, from the gram index."""
+    wanted = [substrings.Needle(n, t, search.SIX_FIELDS) for n, t in enumerate(NEEDLES)]
+    found = substrings.substring_matches(wanted, search.tag_names(pool(m)), grams(m))
+    return found.select(F.col("key").cast("int").alias("needle"), "id")
+
+
+@query("q3_q4_q5_indexed", f"""
+WITH {POOL} SELECT 1 AS query_id, id, 2 AS tier FROM pool WHERE contains(lower(title), 'tion, ere (ing)') OR contains(lower(excerpt), 'tion, ere (ing)')
+UNION ALL SELECT 1, id, 3 FROM pool WHERE {_terms_sql(('tion', 'ere', 'ing'), ' AND ')} UNION ALL SELECT 1, id, 4 FROM pool WHERE {_terms_sql(('tion', 'ere', 'ing'), ' OR ', SIX)}
+UNION ALL SELECT 2, id, 2 FROM pool WHERE contains(lower(title), 'of the') OR contains(lower(excerpt), 'of the')
+UNION ALL SELECT 2, id, 3 FROM pool WHERE {_terms_sql(('the',), ' AND ')} UNION ALL SELECT 2, id, 4 FROM pool WHERE {_terms_sql(('the',), ' OR ', SIX)}""")
+def _(m):
+    """The three text strategies from the gram index."""
+    found = search.indexed_text_search([(1, "tion, ere (ing)"), (2, "of the")], search.tag_names(pool(m)), grams(m))
+    return found.select(F.col("query_id").cast("int").alias("query_id"), "id", "tier")
+
+
 CASCADE = "SELECT query_id, id, 1 AS tier, rank FROM fts" + "".join(
     _tier(qid, text, search.search_terms(text)) for qid, text in QUERIES
 )
@@ -103,7 +171,7 @@ WITH {POOL}, {INDEX}, {FTS}, matches AS ({CASCADE}),
 best AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS first_tier FROM matches)
 SELECT query_id, id, tier, round(coalesce(rank, 0), 6) AS rank FROM best WHERE tier = first_tier""")
 def _(m):
-    found = search.cascade_search(QUERIES, pool(m))
+    found = search.cascade_search(QUERIES, pool(m), postings(m), grams(m))
     return found.withColumn("rank", F.round(F.coalesce("rank", F.lit(0.0)), 6))
 
 
@@ -128,7 +196,7 @@ def _(m):
 WITH {POOL}, {INDEX}, {FTS} SELECT id, round(rank, 6) AS rank FROM fts JOIN articles USING (id) WHERE query_id = 9
 ORDER BY fts.rank DESC, CASE WHEN contains(lower(title), 'on the') THEN 1 ELSE 0 END DESC, scraped_at DESC, id DESC LIMIT 25""")
 def _(m):
-    found = search.fts_search([QUERIES[8]], pool(m))
+    found = search.fts_search([QUERIES[8]], pool(m), postings(m))
     return search.search_sort(found, m.articles, "relevance", "on the").limit(25).select("id", F.round("rank", 6).alias("rank"))
 
 
