@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from pressline.functions.binding import let
+
 # --- fixed values: replacement tables, applied in this order ---
 ESCAPED_CODE_POINTS = [
     ("\\u2018", "'"),
@@ -84,29 +87,55 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{WS}+", ""), f"{WS}+$", "")
 
 
+def one_blank(text: Column) -> Column:
+    """Whitespace runs as one blank; a run that is one blank already is not touched."""
+    return F.regexp_replace(text, f" {WS}+|(?! ){WS}+", " ")
+
+
 def squash(text: Column) -> Column:
     """Collapse whitespace runs to one blank and strip."""
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WS}+", " "))
+    return strip(one_blank(F.coalesce(text, F.lit(""))))
+
+
+def _replaced(text: Column, table: list[tuple[str, str]]) -> Column:
+    for bad, good in table:
+        text = F.replace(text, F.lit(bad), F.lit(good))
+    return text
+
+
+def _if(text: Column, test: Column, change: Callable[[Column], Column]) -> Column:
+    """``change(text)`` for rows that need it: one look at a text is cheaper than many replacements."""
+    return F.when(test, change(text)).otherwise(text)
+
+
+_TYPOGRAPHIC = SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + HARD_SPACE
+_PLAIN = "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES) + " "
+
+_MARKED = "[`\u00a0\u00b4\u2000-\u22ff\ufeff]"  # few ranges that hold all marks: quick to test
+
+
+def _plain_marks(text: Column) -> Column:
+    dotted = F.replace(text, F.lit(ELLIPSIS), F.lit("..."))
+    return F.translate(dotted, _TYPOGRAPHIC + ZERO_WIDTH, _PLAIN)
 
 
 def clean_text(text: Column, preserve_paragraphs: bool = True) -> Column:
-    """Readable article text from scraped text."""
-    out = F.coalesce(text, F.lit(""))
-    for bad, good in ESCAPED_CODE_POINTS:
-        out = F.replace(out, F.lit(bad), F.lit(good))
-    out = unescape_html(out)
-    for bad, good in MOJIBAKE:
-        out = F.replace(out, F.lit(bad), F.lit(good))
-    out = F.replace(out, F.lit(ELLIPSIS), F.lit("..."))
-    singles = SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + HARD_SPACE
-    images = "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES) + " "
-    out = F.translate(out, singles + ZERO_WIDTH, images)
-    out = F.regexp_replace(out, r"[ \t\f\x0B]+", " ")
+    """Readable article text from scraped text.
+
+    Every step first looks whether a text holds what it replaces; most texts hold nothing of it.
+    """
+    raw = F.coalesce(text, F.lit(""))
+    escaped = _if(raw, raw.contains("\\"), lambda t: _replaced(t, ESCAPED_CODE_POINTS))
+    needs = raw.contains("&")  # the replacements so far neither add nor take an ampersand
+    decoded = F.when(needs, _unescape_entities(F.when(needs, escaped))).otherwise(escaped)
+    out = let(decoded, lambda t: _if(t, t.rlike("[\u00e2\u00c2]"), lambda u: _replaced(u, MOJIBAKE)))
+    out = let(out, lambda t: _if(t, t.rlike(_MARKED), _plain_marks))
+    out = F.regexp_replace(out, r"[\t\f\x0B][ \t\f\x0B]*| [ \t\f\x0B]+", " ")
     if preserve_paragraphs:
         out = F.regexp_replace(out, r" *(?:\r\n|\r|\n) *", "\n")
         out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     else:
-        out = F.regexp_replace(out, f"{WS}+", " ")
+        out = one_blank(out)
     return strip(out)
 
 
