@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from pressline.operators import feeds, joins, maintenance, sets
 from pressline.operators.ranking import freshness_order
 from pressline.plans.feeds import INTEL, NEWS, news
 from pressline.plans.identity import WS, sql_hash, sql_strip, sql_title
-from pressline.plans.model import AS_OF_SQL, Model
+from pressline.plans.model import AS_OF, AS_OF_SQL, Model
 from pressline.plans.registry import query
 from pressline.session import shared_dir
 from pressline.sources import merge, tables
@@ -133,6 +134,35 @@ def _(m):
     return merged.withColumn("excerpt", F.coalesce("excerpt", F.lit("")))
 
 
+@query("s8_upsert_by_day", f"""
+WITH o AS (SELECT id, title, scraped_at, word_count FROM articles WHERE scraped_at < {AS_OF_SQL} - to_days(5)),
+n AS (SELECT id, 'New ' || id AS title, scraped_at, word_count + 1 AS word_count FROM articles WHERE scraped_at >= {AS_OF_SQL} - to_days(10))
+SELECT coalesce(o.id, n.id) AS id, coalesce(n.title, o.title) AS title, coalesce(n.scraped_at, o.scraped_at) AS scraped_at, coalesce(n.word_count, o.word_count) AS word_count,
+  CAST(coalesce(o.scraped_at, n.scraped_at) AS DATE)::VARCHAR AS day FROM o FULL JOIN n ON n.id = o.id""")
+def _(m):
+    """A stored table laid out by day takes an upsert; only the days of the last ten days are written."""
+    path = scratch(m, "by-day")
+    base = m.articles.select("id", "title", "scraped_at", "word_count")
+    merge.write_by_day(base.filter(F.col("scraped_at") < feeds.hours_before(m.as_of, 120)), path, "scraped_at")
+    new = base.filter(F.col("scraped_at") >= feeds.hours_before(m.as_of, 240)).select(
+        "id", F.concat(F.lit("New "), "id").alias("title"), "scraped_at", (F.col("word_count") + 1).alias("word_count")
+    )
+    for _ in range(2):  # a repeat changes nothing
+        merge.upsert_by_day(new, path, "scraped_at", ["id"], ["title", "scraped_at"], ["word_count"])
+    return m.spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+
+
+@query("s10_observed_write", """
+SELECT count(*) AS articles_found, count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS articles_added, count(*) FILTER (WHERE event_type = 'click') AS articles_updated,
+  count(*) FILTER (WHERE event_type = 'view') AS articles_skipped, count(*) FILTER (WHERE event_type = 'error') AS error_count FROM events""")
+def _(m):
+    """Figures of a run taken from the write of its rows."""
+    kinds = F.create_map(*[F.lit(x) for x in ("purchase", "added", "signup", "added", "click", "updated", "view", "skipped", "error", "error")])
+    rows = m.raw("events").select("event_id", kinds[F.col("event_type")].alias("outcome"))
+    found = merge.write_observed(rows, merge.outcome_figures(), lambda out: out.write.mode("overwrite").parquet(scratch(m, "outcomes")))
+    return m.spark.createDataFrame([found])
+
+
 @query("s9_rewrite_changed", f"SELECT id, {sql_squash('title')} AS title FROM articles WHERE title <> {sql_squash('title')}")
 def _(m):
     return merge.rewrite_changed(m.articles.select("id", "title"), {"title": tx.squash(F.col("title"))})
@@ -275,6 +305,15 @@ def _(m):
     return maintenance.retain(m.notifications, "sent_at", m.as_of, 14).select("id", "sent_at")
 
 
+@query("m1_retain_by_day", f"SELECT id, sent_at FROM notifications WHERE sent_at >= {AS_OF_SQL} - to_days(14)")
+def _(m):
+    """The same rows on a table laid out by day, of which only old days are touched."""
+    path = scratch(m, "notifications")
+    merge.write_by_day(m.notifications.select("id", "sent_at"), path, "sent_at")
+    merge.retain_by_day(m.spark, path, "sent_at", datetime.fromisoformat(AS_OF) - timedelta(days=14))
+    return m.spark.read.parquet(path).select("id", "sent_at")
+
+
 @query("m1_retain_finished_runs", f"""
 SELECT run_id, status, count(*) AS n FROM scrape_runs WHERE NOT (started_at < {AS_OF_SQL} - to_days(14) AND status IN ('completed', 'failed')) GROUP BY ALL""")
 def _(m):
