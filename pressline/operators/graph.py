@@ -42,3 +42,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = current.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     roots = current.select(F.col("dst").alias("id"), F.col("dst").alias("component"))
     return labels.unionByName(roots).distinct()
+
+
+def extended_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, component)`` after new ``edges`` (``src``, ``dst``) joined what ``labels`` held apart.
+
+    Old components are contracted to one vertex each, so the search runs over the new edges
+    alone; the stored labels are read in two joins. Only labels of components that were joined
+    change. Vertices of an edge that have no label yet are components of their own before it.
+    Ids of ``labels`` are distinct and ``component`` is the smallest id of each.
+    """
+    known = labels.select("id", "component")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    touched = cut_lineage(ends.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("old"), F.col("component").isNull().alias("fresh")))
+    side = lambda name: touched.select(F.col("id").alias(name), F.col("old").alias(f"{name}_old"))
+    contracted = edges.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_old").alias("src"), F.col("dst_old").alias("dst"))
+    joined = cut_lineage(connected_components(contracted).select(F.col("id").alias("old"), F.col("component").alias("new")))
+    moved = joined.filter("old <> new").select(F.col("old").alias("component"), "new")
+    kept = known.join(moved, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    added = touched.filter("fresh").join(joined, "old", "left").select("id", F.coalesce("new", "old").alias("component"))
+    return kept.unionByName(added)

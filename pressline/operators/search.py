@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pressline.functions.text import strip
 from pressline.operators.ranking import freshness_order, top_n
 from pressline.operators.substrings import GramIndex, Needle, substring_matches
 from pressline.session import cut_lineage
@@ -320,3 +321,54 @@ def suggestions(
 
     out = titles.unionByName(named(categories, 2)).unionByName(named(sources.filter("is_active"), 3))
     return out if len(needle) >= 2 else out.limit(0)
+
+
+SHORT_PREFIX = 4  # suggestions of texts up to this length are kept ready
+
+
+def suggestion_entries(articles: DataFrame, categories: DataFrame, sources: DataFrame, as_of: Column) -> DataFrame:
+    """Q8 input: ``part, suggestion, at``: distinct recent titles (1), categories (2), active outlets (3)."""
+    recent = articles.filter((F.col("scraped_at") >= as_of - F.expr("INTERVAL 7 DAYS")) & F.col("has_full_content"))
+    titles = recent.groupBy(F.col("title").alias("suggestion")).agg(F.max("scraped_at").alias("at")).select(F.lit(1).alias("part"), "suggestion", "at")
+    never = F.lit(None).cast("timestamp").alias("at")
+    named = lambda df, part: df.select(F.lit(part).alias("part"), F.col("name").alias("suggestion"), never).distinct()
+    return titles.unionByName(named(categories, 2)).unionByName(named(sources.filter("is_active"), 3)).filter("suggestion is not null")
+
+
+def suggestion_suffixes(entries: DataFrame) -> DataFrame:
+    """Every suffix of every entry in lower case, clustered by its first letters (``key``).
+
+    A text is a substring of an entry if it is the prefix of one of its suffixes.
+    """
+    lowered = F.lower("suggestion")
+    places = F.sequence(F.lit(1), F.length(lowered))
+    suffix = F.transform(F.when(F.length(lowered) > 0, places), lambda at: F.substring(lowered, at, F.length(lowered)))
+    rows = entries.select("part", "suggestion", "at", F.explode(F.array_distinct(suffix)).alias("suffix")).filter(F.length("suffix") > 1)
+    return rows.withColumn("key", F.substring("suffix", 1, SHORT_PREFIX))
+
+
+def _best_suggestions(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """The first titles by time and names by spelling of every key and part."""
+    distinct = rows.groupBy(*keys, "part", "suggestion").agg(F.max("at").alias("at"))
+    ranked = top_n(distinct, [*keys, "part"], [F.desc_nulls_last("at"), F.asc("suggestion")], max(limit // 2, limit // 4), "place")
+    return ranked.filter(F.col("place") <= F.when(F.col("part") == 1, limit // 2).otherwise(limit // 4)).drop("place")
+
+
+def short_suggestions(suffixes: DataFrame, limit: int = 10) -> DataFrame:
+    """The suggestions of every text of two to ``SHORT_PREFIX`` letters: ``prefix, part, suggestion, at``."""
+    sizes = F.sequence(F.lit(2), F.least(F.lit(SHORT_PREFIX), F.length("key")))
+    prefixes = suffixes.select("part", "suggestion", "at", F.explode(F.transform(sizes, lambda n: F.substring("key", 1, n))).alias("prefix"))
+    return _best_suggestions(prefixes, ["prefix"], limit)
+
+
+def suggest_many(requests: DataFrame, suffixes: DataFrame, short: DataFrame, limit: int = 10) -> DataFrame:
+    """Q8 for many partial texts: ``query_id, part, suggestion``, the rows of :func:`suggestions` for each.
+
+    ``requests`` has ``query_id, text``. Short texts are one look-up of what ``short`` keeps for
+    ``limit``; longer ones meet the suffixes that begin with their first letters.
+    """
+    asked = requests.select("query_id", F.lower(strip(F.coalesce("text", F.lit("")))).alias("needle")).filter(F.length("needle") >= 2)
+    ready = asked.join(short, F.col("needle") == F.col("prefix")).select("query_id", "part", "suggestion")
+    longer = asked.filter(F.length("needle") > SHORT_PREFIX).withColumn("key", F.substring("needle", 1, SHORT_PREFIX))
+    met = longer.join(suffixes, "key").filter(F.startswith("suffix", "needle"))
+    return ready.unionByName(_best_suggestions(met, ["query_id"], limit).select("query_id", "part", "suggestion"))

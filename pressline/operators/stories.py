@@ -8,9 +8,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pressline.functions import text as tx
 from pressline.functions import vectors as vec
@@ -654,9 +655,18 @@ _ASSIGNMENT = "article_id bigint, story_id bigint, action string, relevance_scor
 _STATE = "id bigint, total array<double>, n bigint, entity_set array<string>, last_seen_at timestamp, importance_score int"
 
 
+def _record(spark: SparkSession, path: str) -> str | None:
+    """The settings a finished pass has left, if it has."""
+    try:
+        row = spark.read.schema("settings string").parquet(path).first()
+    except AnalysisException:
+        return None
+    return row and row["settings"]
+
+
 def rebuild_all(
     articles: DataFrame, enrichments: DataFrame, embeddings: DataFrame, adjudicate: Adjudicator, as_of: Column, batch_days: int = 1,
-    replay: bool = True, rows: int = sim.NEAR_ROWS,
+    replay: bool = True, rows: int = sim.NEAR_ROWS, folder: str | None = None,
 ) -> DataFrame:
     """All assignments from scratch, one pass per ``batch_days`` of publication dates.
 
@@ -667,9 +677,14 @@ def rebuild_all(
     the passes, and a lost executor never replays earlier ones. With ``replay`` a pass runs
     as of the end of its own days; otherwise every pass uses ``as_of``, as the reference
     does, and stories older than the event window can only be revived.
+
+    ``folder`` (by default a new one below the shared folder) keeps a ledger: a pass leaves its
+    assignments, the stories after it and, last of all, a record. A run on a folder with
+    records goes on after the last one; a pass that was broken off is done again. Records of
+    other articles or settings are an error.
     """
     spark = articles.sparkSession
-    root = f"{shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
+    root = folder or f"{shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
     waiting = unassigned(enrichments, embeddings, spark.createDataFrame([], "article_id bigint"), articles)
     event = F.coalesce("published_at", "scraped_at")
     work = cut_lineage(waiting.withColumns({"_undated": F.col("published_at").isNull(), "_day": F.to_date(event)}))
@@ -677,15 +692,28 @@ def rebuild_all(
     passes = sorted({(undated, (day.toordinal() if day else 0) // batch_days) for undated, day in days})
     stories = spark.createDataFrame([], _STATE)
     done = [spark.createDataFrame([], _ASSIGNMENT)]
+    facts = work.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("article_id", "embedding", "entity_set", "_day")).alias("h")).first()
+    settings = f"{facts['n']}/{facts['h']}/{batch_days}/{replay}"
     for number, (undated, span) in enumerate(passes):
+        place = f"{root}/pass-{number}"
+        record = _record(spark, f"{place}/record")
+        if record is not None:
+            if record != settings:
+                raise ValueError(f"{root} holds a rebuild of other articles or settings")
+            stories = spark.read.schema(_STATE).parquet(f"{place}/stories")
+            done.append(spark.read.schema(_ASSIGNMENT).parquet(f"{place}/assigned"))
+            continue
         ordinal = F.coalesce(F.datediff("_day", F.lit("0001-01-01").cast("date")) + 1, F.lit(0))
         batch = work.filter((F.col("_undated") == undated) & (F.floor(ordinal / batch_days) == span)).drop("_undated", "_day")
         end = F.date_add(F.lit("0001-01-01").cast("date"), (span + 1) * batch_days - 1).cast("timestamp")
         newest = F.least(as_of, end) if replay and not undated else as_of
         known = stories.select("id", F.transform("total", lambda x: x / F.col("n")).alias("centroid"), "entity_set", "last_seen_at", "importance_score", F.lit("active").alias("status"))
-        assign_batch(batch, known, adjudicate, newest, rows).select("article_id", "story_id", "action", "relevance_score", "related_story_id").write.parquet(f"{root}/pass-{number}")
-        assigned = spark.read.schema(_ASSIGNMENT).parquet(f"{root}/pass-{number}")
-        stories = cut_lineage(grown_stories(stories, assigned, work, newest if replay and not undated else None))
+        made = assign_batch(batch, known, adjudicate, newest, rows).select("article_id", "story_id", "action", "relevance_score", "related_story_id")
+        made.write.mode("overwrite").parquet(f"{place}/assigned")
+        assigned = spark.read.schema(_ASSIGNMENT).parquet(f"{place}/assigned")
+        grown_stories(stories, assigned, work, newest if replay and not undated else None).write.mode("overwrite").parquet(f"{place}/stories")
+        stories = spark.read.schema(_STATE).parquet(f"{place}/stories")
+        spark.createDataFrame([(settings,)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{place}/record")
         done.append(assigned)
     return reduce(DataFrame.unionByName, done)
 

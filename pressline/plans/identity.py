@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pressline.functions import text as tx
 from pressline.functions import urls
 from pressline.operators import identity
+from pressline.operators.graph import connected_components, extended_components
 from pressline.plans.model import AS_OF_SQL, Model
 from pressline.plans.registry import query
 from pressline.session import cut_lineage
@@ -155,6 +156,22 @@ def _(m):
     return identity.dedupe_audit(identity_table(m))
 
 
+@query("d4_extended_components", """
+WITH RECURSIVE e AS (SELECT a.id AS src, b.id AS dst FROM articles a JOIN articles b ON a.external_id = b.external_id AND a.source_id = b.source_id
+  UNION SELECT a.id, b.id FROM articles a JOIN articles b ON a.title = b.title),
+reach(a, b) AS (SELECT id, id FROM articles UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b)
+SELECT a AS id, min(b) AS component FROM reach GROUP BY a""")
+def _(m):
+    """Classes of articles with one outlet's id, extended by those with one title."""
+    def stars(*keys):
+        first = m.articles.groupBy(*keys).agg(F.min("id").alias("dst"))
+        return m.articles.join(first, list(keys)).select(F.col("id").alias("src"), "dst")
+
+    labels = cut_lineage(connected_components(stars("external_id", "source_id")))
+    alone = m.articles.select("id").join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return extended_components(labels.unionByName(alone), stars("title"))
+
+
 @query("d4_apply_dedupe", f"WITH {IDENTIFIED}, {RUNS} SELECT id, title FROM articles WHERE id NOT IN (SELECT id FROM ({RULES}))")
 def _(m):
     rows = identity_table(m)

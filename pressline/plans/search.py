@@ -192,6 +192,31 @@ def _(m):
     return search.suggestions(m.articles, m.categories, m.sources, "er", m.as_of, 10)
 
 
+PARTIAL = ["er", "the", "x", " Politics ", "source 1", "of the", "zzqq", "and the re", "nt", ""]
+
+
+def _suggested(n, text):
+    t = text.strip().lower()
+    if len(t) < 2:
+        return f"SELECT {n} AS query_id, 1 AS part, '' AS suggestion WHERE false"
+    return f"""SELECT {n} AS query_id, * FROM (
+  (SELECT 1 AS part, title AS suggestion FROM articles WHERE scraped_at >= {AS_OF_SQL} - to_days(7) AND has_full_content AND contains(lower(title), '{t}')
+   GROUP BY title ORDER BY max(scraped_at) DESC, title LIMIT 5)
+  UNION ALL (SELECT DISTINCT 2, name FROM categories WHERE contains(lower(name), '{t}') ORDER BY name LIMIT 2)
+  UNION ALL (SELECT DISTINCT 3, name FROM sources WHERE contains(lower(name), '{t}') AND is_active ORDER BY name LIMIT 2))"""
+
+
+@query("q8_suggest_many", " UNION ALL ".join(_suggested(n, text) for n, text in enumerate(PARTIAL)))
+def _(m):
+    """Suggestions for many partial texts from a table of suffixes."""
+    entries = search.suggestion_entries(m.articles, m.categories, m.sources, m.as_of)
+    path = stored_index(m, "suffixes", lambda to: search.suggestion_suffixes(entries).repartitionByRange("key").write.parquet(to))
+    suffixes = m.spark.read.parquet(path)
+    short = m.spark.read.parquet(stored_index(m, "short", lambda to: search.short_suggestions(suffixes).write.parquet(to)))
+    requests = m.spark.createDataFrame(list(enumerate(PARTIAL)), "query_id int, text string")
+    return search.suggest_many(requests, suffixes, short)
+
+
 @query("l5_search_sort_relevance", f"""
 WITH {POOL}, {INDEX}, {FTS} SELECT id, round(rank, 6) AS rank FROM fts JOIN articles USING (id) WHERE query_id = 9
 ORDER BY fts.rank DESC, CASE WHEN contains(lower(title), 'on the') THEN 1 ELSE 0 END DESC, scraped_at DESC, id DESC LIMIT 25""")

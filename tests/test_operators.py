@@ -291,3 +291,42 @@ def test_completion_is_capped_and_engagement_counts_a_quarter(spark):
     row = {r.video_id: r for r in video.video_analytics(videos, views).collect()}
     assert (row[1].completion_rate, row[1].engagement_rate, row[1].unique_users) == (33.33, 66.67, 1)
     assert row[1].device_breakdown == {"tv": 2, "unknown": 1} and row[2].engagement_rate == 0.0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_extended_components_equal_a_recomputation(spark, seed):
+    from pressline.operators.graph import connected_components, extended_components
+
+    rng = random.Random(seed)
+    pair = lambda: (rng.randrange(300), rng.randrange(300))
+    old, new = [pair() for _ in range(140)], [pair() for _ in range(60)] + [(900, 901), (901, 5), (950, 950), (2, 2)]
+    edges = lambda rows: spark.createDataFrame(rows, "src bigint, dst bigint")
+    rows = lambda df: {r.id: r.component for r in df.collect()}
+    labels = connected_components(edges(old))
+    got, want = extended_components(labels, edges(new)).collect(), rows(connected_components(edges(old + new)))
+    assert len(got) == len({r.id for r in got})
+    assert {r.id: r.component for r in got} == {950: 950, 2: rows(labels).get(2, 2)} | want
+    assert rows(extended_components(labels, edges([])))== rows(labels)
+
+
+START = datetime(2024, 1, 1)
+
+
+def test_suggestions_for_many_texts_equal_one_by_one(spark):
+    from pressline.operators import search
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcAé ") for _ in range(rng.randint(1, 9)))
+    articles = spark.createDataFrame(
+        [(k, word() + word(), START + timedelta(hours=rng.randint(0, 400)), rng.random() < 0.8) for k in range(250)] + [(900, None, START, True)],
+        "id bigint, title string, scraped_at timestamp, has_full_content boolean",
+    )
+    categories = spark.createDataFrame([(k, word()) for k in range(20)], "id int, name string")
+    sources = spark.createDataFrame([(k, word(), k % 3 > 0) for k in range(20)], "id int, name string, is_active boolean")
+    as_of = F.lit(START + timedelta(hours=300))
+    texts = ["", "a", "ab", " Ab ", "abc", "a b", "b a a", "aaaa", "abcab", "éa", None] + [word()[:6] for _ in range(25)]
+    suffixes = search.suggestion_suffixes(search.suggestion_entries(articles, categories, sources, as_of)).cache()
+    requests = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    got = sorted(tuple(r) for r in search.suggest_many(requests, suffixes, search.short_suggestions(suffixes)).collect())
+    want = sorted((n, *r) for n, text in enumerate(texts) if text is not None for r in search.suggestions(articles, categories, sources, text, as_of).collect())
+    assert got == want and len(got) > 50

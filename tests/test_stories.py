@@ -5,11 +5,13 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pressline.operators import similarity, stories
 
 AS_OF = datetime(2024, 1, 31)
+START_DAY = datetime(2024, 1, 1)
 ARTICLE = "article_id bigint, embedding array<double>, published_at timestamp, scraped_at timestamp, importance_score int, entity_set array<string>"
 STORY = "id bigint, centroid array<double>, entity_set array<string>, last_seen_at timestamp, importance_score int, status string"
 
@@ -240,6 +242,40 @@ def test_undated_members_come_last_and_are_the_latest(spark):
     assert len(json.loads(whole)) == 1000 and cut == whole[:24000]
 
 
+def test_a_broken_rebuild_goes_on_after_the_last_finished_pass(spark, tmp_path, monkeypatch):
+    rng = np.random.RandomState(2)
+    rows = [(k, START_DAY + timedelta(days=k // 4), rng.normal(size=4).tolist()) for k in range(20)]
+    articles = spark.createDataFrame([(k, t, t) for k, t, _ in rows], "id bigint, published_at timestamp, scraped_at timestamp")
+    people = "array<string>"
+    notes = spark.createDataFrame(
+        [(k, "completed", 5, ["a"], [], [], []) for k, _, _ in rows],
+        f"article_id bigint, status string, importance_score int, entities_people {people}, entities_organizations {people}, entities_locations {people}, themes {people}",
+    )
+    vectors = spark.createDataFrame([(k, v) for k, _, v in rows], "article_id bigint, embedding array<double>")
+    judge = stories.verdicts_by(lambda a, b: F.lit("unrelated"))
+    as_of = F.lit(START_DAY + timedelta(days=30))
+    done, real = [], stories.assign_batch
+
+    def fails_in_the_third(*args):
+        done.append(1)
+        if len(done) == 3:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    run = lambda **more: sorted(tuple(r) for r in stories.rebuild_all(articles, notes, vectors, judge, as_of, **more).collect())
+    monkeypatch.setattr(stories, "assign_batch", fails_in_the_third)
+    folder = str(tmp_path / "rebuild")
+    with pytest.raises(RuntimeError):
+        run(folder=folder)
+    assert len(run(folder=folder)) == 20 and len(done) == 6  # two passes, the broken one, and three more
+    again = run(folder=folder)
+    assert len(done) == 6
+    monkeypatch.setattr(stories, "assign_batch", real)
+    assert again == run()
+    with pytest.raises(ValueError):
+        run(folder=folder, batch_days=2)
+
+
 def clustered(n, seed, zero=3, noise=0.25):
     rng = np.random.RandomState(seed)
     centres = np.random.RandomState(0).normal(size=(9, 24))
