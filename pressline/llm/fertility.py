@@ -9,6 +9,7 @@ tokens and the entropy of the tokens, and rejects a text outside the band of its
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -88,6 +89,13 @@ def _script(words) -> np.ndarray:
 _loaded: dict[str, tuple] = {}
 
 
+def _release() -> None:
+    """Give up what a task remembered, so that idle workers leave the executor's memory to later stages."""
+    _loaded.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _vocabulary(path: str) -> tuple[TokenMemo, np.ndarray]:
     """The worker's memo for a vocabulary file and which of its ids are byte fallback."""
     if path not in _loaded:
@@ -162,6 +170,7 @@ def text_statistics(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("lang"), *map(pa.array, found.values())], names=["doc_id", "lang", *found]
                 )
+        _release()
 
     return docs.select("doc_id", "lang", "text").mapInArrow(measure, schema)
 
@@ -230,6 +239,7 @@ def passing(docs: DataFrame, vocabulary: str | None = None, bands: Mapping[str,
                 for name in names:
                     part = part.append_column(added[name], pa.array(found[name]))
                 yield part
+        _release()
 
     measured = plain.mapInArrow(measure, schema)
     judged = verdicts(measured.select(F.col("lang"), *[F.col(added[n]).alias(n) for n in names], F.struct(*plain.columns).alias("_row")), bands)
