@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pressline.functions import text as tx
 from pressline.operators.feeds import hours_before
 from pressline.operators.joins import id_map_join
-from pressline.operators.ranking import deepest_need, freshness_order, pick_places, rank_all, ranked_places, top_n
+from pressline.operators.ranking import freshness_order, list_depths, pick_places, rank_all, ranked_places, top_n
 
 # --- fixed values: wording and limits ---
 BREAKING_CATEGORIES = ["breaking", "urgent", "alert", "latest", "developing", "live", "just in", "update", "flash", "bulletin"]
@@ -197,7 +197,7 @@ def schedule_articles(schedules: DataFrame, articles: DataFrame, history: DataFr
     everyone = F.lit(-1)
     named = [name(c, s) for c in (F.col("category_id"), everyone) for s in (F.col("source_id"), everyone)]
     hourly = fresh.withColumn("_hour", F.date_trunc("hour", "scraped_at"))
-    places = ranked_places(hourly, named, [("_hour", True)], freshness_order(), ["id", "scraped_at"], deepest_need(requests))
+    places = ranked_places(hourly, named, [("_hour", True)], freshness_order(), ["id", "scraped_at"], list_depths(requests))
     hits = pick_places(requests, places, "schedule_id")
     facts = due.select(F.col("id").alias("schedule_id"), "user_id", "since", "max_articles")
     open_ = hits.join(facts, "schedule_id").filter("scraped_at > since").join(sent, ["user_id", "id"], "left_anti")

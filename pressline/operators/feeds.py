@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressline.functions import text as tx
-from pressline.operators.ranking import deepest_need, freshness_order, intelligence_order, pick_places, ranked_places, top_n
+from pressline.operators.ranking import freshness_order, intelligence_order, list_depths, pick_places, ranked_places, top_n
 from pressline.operators.trends import recent_and_total_views
 
 
@@ -374,7 +374,7 @@ def read_next_for_users(
     )
     requests = users.select("user_id", (F.coalesce("_seen", F.lit(0)) + 2 * limit).alias("need"), lists.alias("lists"))
     named = [F.concat(F.lit("s"), "source_id"), F.concat(F.lit("c"), "category_id"), F.lit("all")]
-    places = ranked_places(base, named, coarse, intelligence_order(), ["id", "category_id", "source_id", *_ORDER_COLUMNS], deepest_need(requests))
+    places = ranked_places(base, named, coarse, intelligence_order(), ["id", "category_id", "source_id", *_ORDER_COLUMNS], list_depths(requests))
     hits = pick_places(requests, places, "user_id")
     fresh = hits.join(viewed, ["user_id", "id"], "left_anti").join(
         profiles.select("user_id", "preferred_categories", "followed_sources"), "user_id"

@@ -26,47 +26,51 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 def rank_all(
     df: DataFrame, keys: Sequence[str], coarse: Sequence[tuple[str, bool]], order: Sequence[Column], rank: str = "rank",
-    at_most: Column | None = None,
+    depths: DataFrame | None = None,
 ) -> DataFrame:
     """Position of every row inside its key, for keys of any size.
 
     ``coarse`` names columns (with True for descending) that are a leading, coarsened
     part of ``order``, e.g. the day of a timestamp. Rows are numbered inside
     (key, coarse) cells and shifted by the sizes of the earlier cells, so the largest
-    sort is one cell, not one key. With ``at_most`` only the first positions are kept,
-    and cells that start beyond it are dropped before any row is sorted.
+    sort is one cell, not one key. With ``depths`` (the keys and ``depth``) only the first
+    positions of a key are kept, as many as its depth; keys without one are left out, and cells
+    that start beyond it are dropped before any row is sorted.
     """
     cell = [name for name, _ in coarse]
     sizes = df.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_size"))
     directions = [F.desc(name) if descending else F.asc(name) for name, descending in coarse]
     before = Window.partitionBy(*keys).orderBy(*directions).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    if at_most is not None:
-        offsets = offsets.filter(F.col("_offset") < at_most)
+    if depths is not None:
+        wanted = depths.select(*keys, F.col("depth").alias("_depth"))
+        offsets = offsets.join(wanted, list(keys)).filter(F.col("_offset") < F.col("_depth"))
     condition = F.lit(True)
     for name in [*keys, *cell]:
         condition = condition & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    placed = df.alias("l").join(offsets.alias("r"), condition).select("l.*", "r._offset")
+    carried = ["r._offset"] if depths is None else ["r._offset", "r._depth"]
+    placed = df.alias("l").join(offsets.alias("r"), condition).select("l.*", *carried)
     inside = Window.partitionBy(*keys, *cell).orderBy(*order)
     ranked = placed.withColumn(rank, F.row_number().over(inside) + F.col("_offset")).drop("_offset")
-    return ranked if at_most is None else ranked.filter(F.col(rank) <= at_most)
+    return ranked if depths is None else ranked.filter(F.col(rank) <= F.col("_depth")).drop("_depth")
 
 
-def deepest_need(requests: DataFrame) -> Column:
-    """The largest ``need`` of any request, as a scalar."""
-    return requests.agg(F.max("need")).scalar()
+def list_depths(requests: DataFrame) -> DataFrame:
+    """``list, depth``: how deep the neediest owner of each list goes; the lists nobody asks for are not there."""
+    asked = requests.select("need", F.explode(F.array_distinct("lists")).alias("list"))
+    return asked.groupBy("list").agg(F.max("need").alias("depth"))
 
 
 def ranked_places(
-    base: DataFrame, lists: Sequence[Column], coarse: Sequence[tuple[str, bool]], order: Sequence[Column], keep: Sequence[str], at_most: Column
+    base: DataFrame, lists: Sequence[Column], coarse: Sequence[tuple[str, bool]], order: Sequence[Column], keep: Sequence[str], depths: DataFrame
 ) -> DataFrame:
     """Every row once per named list, with its position there: ``(list, pos, ...keep)``.
 
-    ``lists`` are string columns that name the lists a row belongs to; positions beyond
-    ``at_most`` are left out.
+    ``lists`` are string columns that name the lists a row belongs to; positions beyond a
+    list's own depth (:func:`list_depths`) are left out.
     """
     member = base.withColumn("list", F.explode(F.array(*lists)))
-    ranked = rank_all(member, ["list"], coarse, order, rank="pos", at_most=at_most)
+    ranked = rank_all(member, ["list"], coarse, order, rank="pos", depths=depths)
     return ranked.select("list", F.col("pos").cast("int").alias("pos"), *keep)
 
 
@@ -184,26 +188,22 @@ def intelligence_order() -> list[Column]:
     ]
 
 
+_PLACE_UNITS = ("month", "day", "hour", "second")
+
+
 def global_positions(
     df: DataFrame, order: Sequence[Column], by_time: str, leading: Sequence[str] = (), position: str = "position"
 ) -> DataFrame:
     """L1/L4: the place of every row in a descending order over the whole table.
 
-    The order is ``leading`` columns, then the time ``by_time``, then anything. Rows are
-    counted per leading values and day, and days are numbered inside months, so neither the
-    running totals nor the numbering of rows takes more than one day's or one month's part.
+    The order is ``leading`` columns, then the time ``by_time``, then anything. Rows are counted
+    per second and the counts added up in a hierarchy of months, days, hours and seconds: a
+    running total covers the parts of one cell, and no task numbers more rows than one second
+    of one combination of leading values holds.
     """
-    month, day = F.date_trunc("month", by_time), F.to_date(by_time)
-    celled = df.withColumns({"_month": month, "_day": day})
-    group = [*leading, "_month"]
-    days = celled.groupBy(*group, "_day").agg(F.count(F.lit(1)).alias("_n"))
-    months = days.groupBy(*group).agg(F.sum("_n").alias("_n"))
-    newest = [F.desc_nulls_first(c) for c in leading]
-    earlier = Window.orderBy(*newest, F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per month and leading values in one task.
-    by_month = months.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before_month"))
-    within = Window.partitionBy(*group).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
-    by_day = days.select(*group, "_day", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_before_day"))
+    cells = [f"_{unit}" for unit in _PLACE_UNITS]
+    celled = df.withColumns({cell: F.date_trunc(unit, by_time) for cell, unit in zip(cells, _PLACE_UNITS)})
+    finest = celled.groupBy(*leading, *cells).agg(F.count(F.lit(1)).alias("_n"))
 
     def matched(left, right, names):
         condition = F.lit(True)
@@ -212,9 +212,23 @@ def global_positions(
         extra = [c for c in right.columns if c not in names]
         return left.alias("l").join(right.alias("r"), condition).select("l.*", *[f"r.{c}" for c in extra])
 
-    placed = matched(celled, matched(by_day, by_month, group), [*group, "_day"])
-    inside = F.row_number().over(Window.partitionBy(*group, "_day").orderBy(*order))
-    return placed.withColumn(position, inside + F.col("_before_month") + F.col("_before_day")).drop("_month", "_day", "_before_month", "_before_day")
+    before = None
+    for level, cell in enumerate(cells):
+        keys = [*leading, *cells[: level + 1]]
+        sums = finest.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+        if before is None:  # one row per month and leading values in one task
+            earlier = Window.orderBy(*[F.desc_nulls_first(c) for c in leading], F.desc(cell))
+        else:
+            earlier = Window.partitionBy(*keys[:-1]).orderBy(F.desc(cell))
+        own = F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        here = sums.select(*keys, own.alias("_before"))
+        if before is not None:
+            above = before.withColumnRenamed("_before", "_above")
+            here = matched(here, above, keys[:-1]).select(*keys, (F.col("_before") + F.col("_above")).alias("_before"))
+        before = here
+    placed = matched(celled, before, [*leading, *cells])
+    inside = F.row_number().over(Window.partitionBy(*leading, *cells).orderBy(*order))
+    return placed.withColumn(position, inside + F.col("_before")).drop(*cells, "_before")
 
 
 def page_after(df: DataFrame, last: dict[str, Column], size: int) -> DataFrame:
