@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressline.functions import clients
+from pressline.functions import tables as table_functions
 from pressline.functions import text as tx
 from pressline.operators import audience, feeds, trends
 from pressline.operators.ranking import top_n
@@ -295,6 +296,14 @@ def _(m):
     return m.articles.select("id", F.posexplode(tx.pack_sentences(F.col("content"), 280)).alias("pos", "chunk"))
 
 
+@query("t13_pack_sentences_lateral", f"""
+SELECT id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS chunk FROM (SELECT id, {sql_pack('content', 280)} AS p FROM articles)""")
+def _(m):
+    """The same rows from SQL, by the registered table function."""
+    table_functions.register(m.spark)
+    return m.spark.sql("SELECT a.id, p.pos, p.chunk FROM {articles} a, LATERAL pack_sentences(a.content, 280) p", articles=m.articles)
+
+
 @query("t14_tag_entities", """
 SELECT article_id, replace(replace('Met Entity ' || (article_id % 50) || ' & friends <today>', '&', '&amp;'), '<today>', '&lt;today&gt;') AS plain,
   'Met <a class="entity entity-person" href="/stories/?q=Entity%20' || (article_id % 50) || '">Entity ' || (article_id % 50) || '</a> &amp; friends &lt;today&gt;' AS tagged FROM enrichments""")

@@ -1,5 +1,6 @@
 """Column functions on hand-made values."""
 
+import random
 import re
 from datetime import datetime
 
@@ -157,3 +158,16 @@ def test_packed_excerpt(spark):
     df = spark.createDataFrame([(t,) for t in texts], "v array<string>")
     found = [r[0] for r in df.select(extract.packed_excerpt(F.col("v"))).collect()]
     assert found == [packed(t) for t in texts]
+
+
+def test_pack_sentences_as_a_table_function(spark):
+    from pressline.functions import tables, text
+
+    rng = random.Random(3)
+    pieces = ["One.", "two three!", " ", "\n", "\u00a0", "Really? ", "é.", "x" * 30, "\x0b", "a. b", "\u2003", "...", "😀!"]
+    rows = [(k, "".join(rng.choice(pieces) + rng.choice(["", " ", "\t"]) for _ in range(rng.randint(0, 20)))) for k in range(200)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "id int, body string")
+    tables.register(spark)
+    got = spark.sql("SELECT d.id, p.pos, p.chunk FROM {d} d, LATERAL pack_sentences(d.body, 25) p", d=df).collect()
+    want = df.select("id", F.posexplode(text.pack_sentences(F.col("body"), 25)).alias("pos", "chunk")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 200
