@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pressline.functions import text as tx
 from pressline.functions import urls
 from pressline.functions.markup import page_elements
-from pressline.operators import extract
+from pressline.operators import extract, phrases
 from pressline.plans.identity import WS, sql_canonical, sql_strip
 from pressline.plans.model import AS_OF_SQL, Model
 from pressline.plans.registry import query
@@ -141,6 +141,19 @@ def _(m):
     return m.articles.select("id", (short | extract.is_boilerplate(F.col("content"), furniture, F.lit(0))).alias("boilerplate"))
 
 
+OUTLET_PHRASES = ["of the", "and the", "in the ", "to be", "die ", " der", "und ", "les ", "que ", "el ", "ing. ", "tion,"]
+
+
+@query("x6_phrases_of_outlets", f"""
+WITH p AS (SELECT s.id AS source_id, phrase FROM sources s, (SELECT unnest({OUTLET_PHRASES!r}) AS phrase, generate_subscripts({OUTLET_PHRASES!r}, 1) AS n) WHERE (s.id + n) % 5 = 0)
+SELECT id, EXISTS (SELECT 1 FROM p WHERE p.source_id = a.source_id AND contains(lower(a.content), phrase)) AS held FROM articles a""")
+def _(m):
+    """A rules table with phrases of their own for many outlets, matched in one pass."""
+    listed = F.array(*[F.lit(x) for x in OUTLET_PHRASES])
+    rules = m.sources.select(F.col("id").alias("owner"), F.posexplode(listed).alias("n", "phrase")).filter((F.col("owner") + F.col("n") + 1) % 5 == 0)
+    return phrases.owned_phrases(m.articles.select("id", F.col("source_id").alias("owner"), F.col("content").alias("text")), rules)
+
+
 @query("x7_full_content_gate", """
 SELECT id, word_count >= CASE WHEN source_id % 3 = 0 THEN 60 WHEN source_id % 3 = 1 THEN 70 ELSE 80 END AS has_full_content,
   CASE WHEN word_count >= CASE WHEN source_id % 3 = 0 THEN 60 WHEN source_id % 3 = 1 THEN 70 ELSE 80 END THEN 'complete' ELSE 'partial' END AS scrape_status FROM articles""")

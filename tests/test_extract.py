@@ -128,3 +128,23 @@ def test_graphs_inside_graphs(spark):
     parsed = pages.select(extract.page_elements(F.col("html")).alias("page"))
     nodes = extract.jsonld_nodes(parsed).selectExpr("transform(nodes, n -> n.headline) AS h").first().h
     assert nodes == [None] * 6 + ["deep"]
+
+
+def test_phrases_of_outlets_equal_the_pattern_of_each(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pressline.operators import phrases
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcAB é.[(") for _ in range(n))
+    rules = [(k % 8, text(rng.randint(1, 4))) for k in range(40)] + [(9, ""), (None, "a"), (3, None), (2, "AbC")]
+    rows = [(k, k % 11, text(rng.randint(0, 30))) for k in range(400)] + [(900, 1, None), (901, None, "abc"), (902, 9, "")]
+    texts = spark.createDataFrame(rows, "id int, owner int, text string").repartition(3)
+    table = spark.createDataFrame(rules, "owner int, phrase string")
+    got = {r.id: r.held for r in phrases.owned_phrases(texts, table).collect()}
+    listed = table.filter("owner is not null and phrase is not null").groupBy("owner").agg(F.collect_list("phrase").alias("p"))
+    joined = texts.join(listed, "owner", "left").select("id", F.rlike("text", extract.phrase_pattern(F.coalesce("p", F.array().cast("array<string>")))).alias("held"))
+    assert got == {r.id: r.held for r in joined.collect()} and sum(v is True for v in got.values()) > 100
+    assert not any(r.held for r in phrases.owned_phrases(texts, table.limit(0)).collect())
