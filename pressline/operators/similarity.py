@@ -27,6 +27,7 @@ BLOCK_ROWS = 4096
 NEAR_ROWS = 1024  # rows of a block where pairs of blocks are skipped: small blocks are tighter
 PIVOTS = 32
 PIVOT_SAMPLE = 1024  # rows of each side that pivots are chosen from
+WORTH_BLOCKS = 16  # blocks of the larger side from which on skipping pays for its own steps
 _LOOSE = 1e-6  # radians; rounding of angles never excludes a pair
 STRIP_ROWS = 512  # rows of a block that are compared at once; bounds the dense matrices of a task
 
@@ -83,15 +84,18 @@ def _sample(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     return df.select(F.col(vector).alias("v"), F.xxhash64(F.col(id_column)).alias("h")).orderBy("h").limit(PIVOT_SAMPLE).select("v")
 
 
-def pivots_of(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str) -> np.ndarray | None:
-    """Pivots from a bounded sample of both sides; None where both sides are smaller than a sample."""
-    a, b = _sample(left, left_id, left_vector), _sample(right, right_id, right_vector)
-    rows = a.withColumn("s", F.lit(0)).unionByName(b.withColumn("s", F.lit(1))).toPandas()
-    if rows.groupby("s").size().max() < PIVOT_SAMPLE if len(rows) else True:
+def pivots_of(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str, rows: int
+) -> np.ndarray | None:
+    """Pivots from a bounded sample of both sides, one per four blocks; None where the sides are too small to skip anything."""
+    a, b = left.agg(F.count(F.lit(1)).alias("n")), right.agg(F.count(F.lit(1)).alias("n"))
+    most = a.unionByName(b).agg(F.max("n")).first()[0]
+    if most < WORTH_BLOCKS * rows:
         return None
-    units = unit_rows(rows["v"])
+    sample = _sample(left, left_id, left_vector).unionByName(_sample(right, right_id, right_vector)).toPandas()
+    units = unit_rows(sample["v"])
     units = units[np.linalg.norm(units, axis=1) > 0]
-    return choose_pivots(units) if len(units) else None
+    return choose_pivots(units, int(min(PIVOTS, most // (4 * rows)))) if len(units) else None
 
 
 def _angles(pivots: np.ndarray):
@@ -179,10 +183,10 @@ def compare_near(
     """Apply ``compare`` to the pairs of blocks that can hold a cosine of ``least`` or more.
 
     The result is that of :func:`compare_blocks` for every ``compare`` whose results rest on
-    pairs of at least that cosine only. Null vectors are not allowed. Sides of less than
-    ``PIVOT_SAMPLE`` rows are a block each, so nothing is to be skipped and all are compared.
+    pairs of at least that cosine only. Null vectors are not allowed. Where neither side fills
+    ``WORTH_BLOCKS`` blocks all pairs are compared.
     """
-    pivots = pivots_of(left, right, left_id, right_id, left_vector, right_vector)
+    pivots = pivots_of(left, right, left_id, right_id, left_vector, right_vector, rows)
     if pivots is None:
         return compare_blocks(left, right, compare, schema, left_id, right_id)
     a, b = with_blocks(left, left_id, left_vector, pivots, rows), with_blocks(right, right_id, right_vector, pivots, rows)

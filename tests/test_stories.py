@@ -288,6 +288,7 @@ def test_pruned_similarity_join_equals_the_block_product(spark, monkeypatch):
     sim = similarity
 
     monkeypatch.setattr(sim, "PIVOT_SAMPLE", 200)
+    monkeypatch.setattr(sim, "WORTH_BLOCKS", 2)
     base = datetime(2024, 1, 1)
     left = [(k, v.tolist(), base + timedelta(hours=5 * (k % 300))) for k, v in enumerate(clustered(700, 1))]
     right = [(k, v.tolist(), base + timedelta(hours=7 * (k % 200))) for k, v in enumerate(clustered(400, 2))]
