@@ -279,6 +279,36 @@ def test_breaking_audience_never_meets_recent_history(spark):
     assert reached.distinct().count() == 30000
 
 
+def shuffles_above_the_join(df):
+    """Exchanges between the result and the join of items and users, in the plan without adaptive changes."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return plan[: plan.index("_salt#")].count("Exchange")
+
+
+def test_breaking_pairs_are_final_where_they_arise(spark):
+    """N10 shuffles no pair, N15 only counts; repeated profiles and items count a user once and each delivery."""
+    items = spark.createDataFrame(
+        [(1, 100, False, [], []), (2, 101, False, [2], []), (2, 101, False, [], []), (2, 105, False, [], [7]), (3, 102, True, [], []), (4, None, False, [], [])],
+        "id bigint, article_id bigint, is_sent boolean, target_categories array<int>, target_sources array<int>",
+    )
+    tokens = spark.createDataFrame([(1, "a", True), (1, "b", True), (2, "c", True), (3, "d", False), (None, "e", True), (4, "f", True)], "user_id bigint, token string, is_active boolean")
+    profiles = spark.createDataFrame([(1, [2], []), (1, [2], [7]), (2, [], [])], "user_id bigint, preferred_categories array<int>, followed_sources array<int>")
+    history = spark.createDataFrame(
+        [(2, 101, AS_OF), (2, 101, AS_OF), (4, 100, AS_OF - timedelta(hours=30)), (None, 100, AS_OF), (1, None, AS_OF)], "user_id bigint, article_id bigint, sent_at timestamp"
+    )
+    found = audience.breaking_audience(items, tokens, history, profiles, now())
+    rows = {(1, 1): 2, (1, 2): 1, (1, 4): 1, (1, None): 1, (2, 1): 5, (2, 4): 1, (2, None): 1, (4, 1): 2, (4, 2): 1, (4, 4): 1, (4, None): 1}
+    assert {(r.breaking_id, r.user_id): r["count"] for r in found.groupBy("breaking_id", "user_id").count().collect()} == rows
+    assert shuffles_above_the_join(found) == 0
+    stats = audience.breaking_delivery_stats(audience.breaking_audience(items, tokens, history, profiles, now(), counted=True))
+    assert {(r.breaking_id, r.total_recipients, r.successful_deliveries) for r in stats.collect()} == {(1, 3, 6), (2, 2, 11), (4, 3, 6)}
+
+
 def test_batches_hold_a_hundred(spark):
     messages = spark.range(1050).selectExpr("1 AS alert_id", "id AS user_id", "concat('t', id) AS token")
     sizes = audience.message_batches(messages, "alert_id", bucket=100).groupBy("batch_no").count().orderBy("batch_no").collect()
