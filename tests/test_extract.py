@@ -148,3 +148,26 @@ def test_phrases_of_outlets_equal_the_pattern_of_each(spark):
     joined = texts.join(listed, "owner", "left").select("id", F.rlike("text", extract.phrase_pattern(F.coalesce("p", F.array().cast("array<string>")))).alias("held"))
     assert got == {r.id: r.held for r in joined.collect()} and sum(v is True for v in got.values()) > 100
     assert not any(r.held for r in phrases.owned_phrases(texts, table.limit(0)).collect())
+
+
+def test_few_pages_are_python_objects_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pressline.functions import markup
+
+    page = "<article>" + "".join(f'<p class="a" id="p{k}">Paragraph {k} of the page</p>' for k in range(60)) + "</article>"
+    one = markup._parsed(pa.array([page, None]))
+
+    def peak(n):
+        pages = pa.array([page] * n)
+        tracemalloc.start()
+        parsed = markup._parsed(pages)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(parsed) == n and parsed[n - 1] == one[0]
+        return most
+
+    assert len(one[0]["paragraphs"]) == 60 and len(one[1]["paragraphs"]) == 0
+    assert peak(markup.PARSED_TOGETHER * 12) < 2 * peak(markup.PARSED_TOGETHER)
