@@ -9,10 +9,13 @@ with w = 1.0 for the title, 0.4 for the excerpt and 0.2 for the body.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from pressline.functions.text import strip
 from pressline.operators.ranking import freshness_order, top_n
@@ -24,21 +27,29 @@ FIELD_WEIGHTS = {"title": 1.0, "excerpt": 0.4, "content": 0.2}
 FIELD_STEP = 1 << 40  # positions of one field end long before those of the next begin
 SIX_FIELDS = ("title", "excerpt", "content", "source_name", "category_name", "tag_names")
 ID_BLOCK = 4096  # articles of a block of postings
+PACK_TOKENS = 1 << 20  # a packed posting covers articles with about this many tokens
+SPREAD = 16  # tasks among which the packed postings of one term are dealt
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def build_search_index(articles: DataFrame, only: Sequence[str] | None = None, positions: bool = False) -> DataFrame:
+def build_search_index(
+    articles: DataFrame, only: Sequence[str] | None = None, positions: bool = False, packed: bool = False
+) -> DataFrame:
     """Q1: postings ``(term, id, tf_title, tf_excerpt, tf_content, weight)``.
 
     All occurrences of a term in an article come from one row, so they are combined
     before the shuffle; a frequent term spreads over its articles. With ``only`` the
     postings of the listed terms are built and no others leave the scan. With ``positions``
     the postings also list where the term stands, each field ``FIELD_STEP`` after the last, so
-    that phrases need no text.
+    that phrases need no text. ``packed`` postings hold many articles in a row
+    (:func:`packed_postings`), always with positions.
     """
+    if packed:
+        index = packed_postings(articles)
+        return index if only is None else index.filter(F.col("term").isin(list(only)))
 
     def tagged(number: int, field: str) -> Column:
         placed = F.transform(terms(F.col(field)), lambda t, i: F.struct(t.alias("term"), (i + number * F.lit(FIELD_STEP)).alias("at")))
@@ -49,21 +60,110 @@ def build_search_index(articles: DataFrame, only: Sequence[str] | None = None, p
     of = F.floor(F.col("o.at") / FIELD_STEP)
     counted = [F.count_if(of == number).alias(f"tf_{field}") for number, field in enumerate(FIELD_WEIGHTS)]
     counts = rows.groupBy("o.term", "id").agg(*counted, *([F.sort_array(F.collect_list("o.at")).alias("positions")] if positions else []))
-    weight = reduce(
+    return counts.withColumn("weight", _weight())
+
+
+def _weight() -> Column:
+    return reduce(
         lambda a, b: a + b,
         [F.when(F.col(f"tf_{f}") > 0, F.lit(w) * (1 + F.log(F.col(f"tf_{f}")))).otherwise(0.0) for f, w in FIELD_WEIGHTS.items()],
     )
-    return counts.withColumn("weight", weight)
+
+
+def _pack_articles(rows: pa.Table) -> pa.RecordBatch:
+    """One row per term of whole articles, with a list entry for each article that holds it."""
+    ids = rows.column("id").combine_chunks().dictionary_encode(null_encoding="encode")
+    article = ids.indices.to_numpy()
+    words, owner, at = [], [], []
+    for number, field in enumerate(FIELD_WEIGHTS):
+        lists = rows.column(field).combine_chunks()
+        length = lists.value_lengths().to_numpy()
+        first = np.cumsum(length) - length
+        words.append(lists.flatten())
+        owner.append(np.repeat(article, length))
+        at.append(np.arange(length.sum()) - np.repeat(first, length) + number * FIELD_STEP)
+    names = pa.concat_arrays(words).dictionary_encode()
+    owner, at = np.concatenate(owner), np.concatenate(at)
+    count = max(1, len(ids.dictionary))
+    pair = names.indices.to_numpy().astype(np.int64) * count + owner
+    order = np.lexsort((at, pair))
+    pair, at = pair[order], at[order]
+    start = np.flatnonzero(np.diff(pair, prepend=-1))  # postings
+    term, owner = pair[start] // count, pair[start] % count
+    begin = np.flatnonzero(np.diff(term, prepend=-1))  # rows
+    ends = pa.array(np.append(begin, len(start)).astype(np.int32))
+    field = at // FIELD_STEP
+    listed = lambda values: pa.ListArray.from_arrays(ends, values)
+    tallies = [np.add.reduceat(field == number, start, dtype=np.int32) if len(start) else np.zeros(0, np.int32) for number in range(len(FIELD_WEIGHTS))]
+    places = pa.ListArray.from_arrays(pa.array(np.append(start, len(at)).astype(np.int32)), pa.array(at))
+    return pa.RecordBatch.from_arrays(
+        [names.dictionary.take(pa.array(term[begin])), listed(ids.dictionary.take(pa.array(owner))), *(listed(pa.array(t)) for t in tallies), listed(places)],
+        names=["term", "ids", *(f"tf_{f}" for f in FIELD_WEIGHTS), "positions"],
+    )
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by id; the rows of one id are packed together."""
+    held: list[pa.RecordBatch] = []
+    tokens = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and tokens >= PACK_TOKENS:
+            last = held[-1].column(0)[-1]
+            same = next((k for k in range(batch.num_rows) if batch.column(0)[k] != last), batch.num_rows)
+            held.append(batch.slice(0, same))
+            batch = batch.slice(same)
+            if not batch.num_rows:
+                continue
+            yield _pack_articles(pa.Table.from_batches(held))
+            held, tokens = [], 0
+        held.append(batch)
+        tokens += sum(len(batch.column(f).flatten()) for f in FIELD_WEIGHTS)
+    if held:
+        yield _pack_articles(pa.Table.from_batches(held))
+
+
+def packed_postings(articles: DataFrame) -> DataFrame:
+    """The postings of :func:`build_search_index` with positions, many articles to a row.
+
+    ``(term, ids, tf_title, tf_excerpt, tf_content, positions)``, all but the term lists with an
+    entry per article. Texts are shuffled once, so that the rows of an id and articles of near
+    ids meet; no row per term and article is.
+    """
+    kind = articles.schema["id"].dataType
+    near = F.floor(F.col("id") / ID_BLOCK) if isinstance(kind, NumericType) else F.col("id")
+    rows = articles.select("id", *FIELD_WEIGHTS).repartition(near).sortWithinPartitions("id")
+    lists = ", ".join(f"tf_{f} array<int>" for f in FIELD_WEIGHTS)
+    return rows.select("id", *[terms(F.col(f)).alias(f) for f in FIELD_WEIGHTS]).mapInArrow(
+        _pack, f"term string, ids array<{kind.simpleString()}>, {lists}, positions array<array<bigint>>"
+    )
+
+
+def posting_rows(index: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Postings, packed or not, as one row per term and article; with ``only`` of these terms."""
+    if only is not None:
+        index = index.filter(F.col("term").isin(list(only)))
+    if "ids" not in index.columns:
+        return index
+    lists = F.arrays_zip("ids", *(f"tf_{f}" for f in FIELD_WEIGHTS), "positions")
+    return index.select("term", F.inline(lists)).withColumnRenamed("ids", "id").withColumn("weight", _weight())
 
 
 def write_search_index(index: DataFrame, path: str) -> None:
     """Store postings clustered by term, so that a term lookup reads few row groups."""
-    index.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+    if "ids" in index.columns:
+        # A frequent term's rows go to many tasks, by their first article.
+        clustered = index.repartition("term", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SPREAD))).sortWithinPartitions("term")
+    else:
+        clustered = index.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    clustered.write.mode("overwrite").parquet(path)
 
 
 def block_maxima(index: DataFrame) -> DataFrame:
     """The greatest weight of every term per block of article ids: bounds for :func:`fts_top`."""
-    return index.groupBy("term", F.floor(F.col("id") / ID_BLOCK).alias("block")).agg(F.max("weight").alias("most"))
+    rows = posting_rows(index).select("term", "weight", F.floor(F.col("id") / ID_BLOCK).alias("block"))
+    return rows.groupBy("term", "block").agg(F.max("weight").alias("most"))
 
 
 def parse_query(query: str) -> list[dict]:
@@ -113,6 +213,10 @@ _WANTED = "query_id bigint, alternative int, term string, n_terms int"
 _PARTS = "query_id bigint, alternative int, part int, kind string, place int, length int, term string"
 
 
+def _terms_of(wanted: list, parts: list) -> list[str]:
+    return sorted({row[2] for row in wanted} | {row[-1] for row in parts})
+
+
 def _matching(hits: DataFrame, postings: DataFrame, parts: list) -> DataFrame:
     """Those of ``hits`` that hold every phrase and no exclusion, by the positions of their terms."""
     if not parts:
@@ -143,7 +247,9 @@ def fts_search(queries: Sequence[tuple[int, str]], articles: DataFrame, index: D
     wanted, parts = _lookups(queries)
     spark = articles.sparkSession
     if index is None:
-        index = build_search_index(articles, only=sorted({row[2] for row in wanted} | {row[-1] for row in parts}), positions=bool(parts))
+        index = build_search_index(articles, only=_terms_of(wanted, parts), positions=bool(parts))
+    else:
+        index = posting_rows(index, _terms_of(wanted, parts))
     hits = _scored(index, spark.createDataFrame(wanted, _WANTED))
     return _matching(hits, index, parts).groupBy("query_id", "id").agg(F.max("rank").alias("rank"))
 
@@ -167,7 +273,8 @@ def fts_top(queries: Sequence[tuple[int, str]], index: DataFrame, maxima: DataFr
     spark = index.sparkSession
     wanted, parts = _lookups(queries)
     lookups = F.broadcast(spark.createDataFrame(wanted, _WANTED))
-    bounds = maxima.join(lookups, "term").groupBy("query_id", "alternative", "n_terms", "block").agg(F.sum("most").alias("bound"), F.count(F.lit(1)).alias("n"))
+    index = posting_rows(index, _terms_of(wanted, parts))
+    bounds = maxima.filter(F.col("term").isin(_terms_of(wanted, []))).join(lookups, "term").groupBy("query_id", "alternative", "n_terms", "block").agg(F.sum("most").alias("bound"), F.count(F.lit(1)).alias("n"))
     blocks = cut_lineage(bounds.filter("n = n_terms").groupBy("query_id", "block").agg(F.max("bound").alias("bound")))
     order = [F.desc("rank"), F.desc("id")]
 

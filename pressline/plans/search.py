@@ -54,7 +54,8 @@ FTS = f"""fts AS (SELECT query_id, id, max(rank) AS rank FROM (
 def pool(m: Model):
     names = m.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     sections = m.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    return eligible(m).join(names, "source_id").join(sections, "category_id")
+    # Texts stay where they are; a shuffle by outlet or section would pile them up in few tasks.
+    return eligible(m).join(F.broadcast(names), "source_id").join(F.broadcast(sections), "category_id")
 
 
 _indexes: dict[tuple[str, str, str], str] = {}
@@ -72,7 +73,7 @@ def stored_index(m: Model, name: str, write: Callable[[str], object]) -> str:
 
 def postings(m: Model):
     """Stored postings with positions of the searchable articles."""
-    path = stored_index(m, "postings", lambda to: search.write_search_index(search.build_search_index(pool(m), positions=True), to))
+    path = stored_index(m, "postings", lambda to: search.write_search_index(search.build_search_index(pool(m), positions=True, packed=True), to))
     return m.spark.read.parquet(path)
 
 

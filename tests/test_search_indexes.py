@@ -101,3 +101,48 @@ def test_cascade_is_the_same_with_and_without_the_gram_index(articles, tmp_path)
     index = substrings.write_gram_index(search.tag_names(articles), search.SIX_FIELDS, str(tmp_path / "grams"))
     rows = lambda df: sorted((r.query_id, r.id, r.tier) for r in df.collect())
     assert rows(search.cascade_search(queries, articles, None, index)) == rows(search.cascade_search(queries, articles))
+
+
+REPEATED = [(1, "a b a", "b", None), (None, "a", None, "c"), (1, "b", "a a", "c"), (2, "", None, ""), (None, "c a", "b", "a"), (5000, "a", "b b", "a c a"), (9, None, None, None)]
+
+
+def test_packed_postings_are_those_of_the_rows(spark, tmp_path):
+    """Ids that repeat or are null are one article each, as in the postings by row."""
+    rows = spark.createDataFrame(REPEATED, "id bigint, title string, excerpt string, content string").repartition(3)
+    columns = ["term", "id", "tf_title", "tf_excerpt", "tf_content", "positions", "weight"]
+    listed = lambda df: sorted(map(repr, (tuple(r) for r in df.select(columns).collect())))
+    want = search.build_search_index(rows, positions=True)
+    packed = search.build_search_index(rows, packed=True)
+    assert listed(search.posting_rows(packed)) == listed(want)
+    search.write_search_index(packed, str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert stored.count() < want.count()
+    assert listed(search.posting_rows(stored, ["a", "c"])) == listed(want.filter("term in ('a', 'c')"))
+    found = lambda index: sorted(map(repr, search.fts_search([(1, "a b"), (2, '"a a"'), (3, "b -c")], rows, index).collect()))
+    assert found(stored) == found(want)
+    assert sorted(map(repr, search.block_maxima(stored).collect())) == sorted(map(repr, search.block_maxima(want).collect()))
+
+
+def test_rows_of_an_id_are_packed_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "PACK_TOKENS", 1)
+    words = [["x"], ["x", "y"], ["x"], ["y"], ["x"]]
+    batches = [pa.RecordBatch.from_pydict({"id": [i], "title": [w], "excerpt": [[]], "content": [[]]}, pa.schema([("id", pa.int64()), *((f, pa.list_(pa.string())) for f in search.FIELD_WEIGHTS)])) for i, w in zip([None, None, 3, 3, 4], words)]
+    packs = [{r["term"]: (r["ids"], r["tf_title"]) for r in pack.to_pylist()} for pack in search._pack(iter(batches))]
+    assert packs == [{"x": ([None], [2]), "y": ([None], [1])}, {"x": ([3], [1]), "y": ([3], [1])}, {"x": ([4], [1])}]
+
+
+def test_texts_are_not_shuffled_by_outlet(spark, tmp_path):
+    from pressline.plans import search as plans
+    from pressline.plans.model import Model
+
+    spark.createDataFrame([(k, "word " * 90, f"src{k % 3}") for k in range(9)], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = plans.pool(Model(spark, str(tmp_path)))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
