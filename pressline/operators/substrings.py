@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 LONGEST = 3
 LOOKED_UP = 4  # grams of a needle that are intersected; the texts decide
+PACK_GRAMS = 1 << 21  # postings of articles that share a row per gram
+SPREAD = 16  # tasks among which the rows of one gram are dealt
 _CHARACTER = 21  # bits of a code point and one; 0 stands for no character
 
 
@@ -45,41 +47,65 @@ def grams(text: str, length: int) -> list[int]:
     return np.unique(_packed(np.frombuffer(text.encode("utf-32-le"), np.uint32), length)).tolist()
 
 
+def _article_grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of an article and a bit for each field that holds them."""
+    found = []
+    for number, text in enumerate(texts):
+        codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+        for length in range(1, LONGEST + 1):
+            own = np.unique(_packed(codes, length))
+            found.append((own, np.full(len(own), 1 << number, np.int64)))
+    every = np.concatenate([f[0] for f in found])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    marks = np.bitwise_or.reduceat(np.concatenate([f[1] for f in found])[order], start) if len(every) else np.zeros(0, np.int64)
+    return every[start], marks
+
+
+def _grouped(ids: pa.Array, names: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per gram with the articles that hold it."""
+    row = np.repeat(np.arange(len(names)), [len(n) for n in names])
+    gram, mark = np.concatenate(names), np.concatenate(marks)
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(start, len(gram)).astype(np.int32))
+    holders = pa.ListArray.from_arrays(ends, ids.take(pa.array(row[order])))
+    held = pa.ListArray.from_arrays(ends, pa.array(mark[order]))
+    return pa.RecordBatch.from_arrays([pa.array(gram[start]), pa.array(np.diff(np.append(start, len(gram)))), holders, held], names=["gram", "n", "ids", "fields"])
+
+
 def _emit(fields: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, marks, count = [], [], [], 0
         for batch in batches:
             columns = [batch.column(k + 1).to_pylist() for k in range(fields)]
-            key, row, bit = [], [], []
             for k, texts in enumerate(zip(*columns)):
-                found = []
-                for number, text in enumerate(texts):
-                    codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
-                    for length in range(1, LONGEST + 1):
-                        own = np.unique(_packed(codes, length))
-                        found.append((own, np.full(len(own), 1 << number, np.int32)))
-                every = np.concatenate([f[0] for f in found])
-                names, at = np.unique(every, return_inverse=True)
-                marks = np.zeros(len(names), np.int32)
-                np.bitwise_or.at(marks, at, np.concatenate([f[1] for f in found]))
-                key.append(names)
-                bit.append(marks)
-                row.append(np.full(len(names), k))
-            if key:
-                ids = batch.column(0).take(pa.array(np.concatenate(row)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), ids, pa.array(np.concatenate(bit))], names=["gram", "id", "fields"])
+                own, held = _article_grams(texts)
+                ids.append(batch.column(0).slice(k, 1))
+                names.append(own)
+                marks.append(held.astype(np.int32))
+                count += len(own)
+                if count >= PACK_GRAMS:
+                    yield _grouped(pa.concat_arrays(ids), names, marks)
+                    ids, names, marks, count = [], [], [], 0
+        if ids:
+            yield _grouped(pa.concat_arrays(ids), names, marks)
 
     return emit
 
 
 def gram_postings(articles: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``gram, id, fields``: one row per gram of an article, with a bit for each field that holds it.
+    """``gram, n, ids, fields``: a row per gram and pack of articles that lie together in the input.
 
-    A field that is null holds nothing. All grams of an article come from its own row, so
-    nothing is shuffled to build them.
+    ``ids`` lists the ``n`` articles of the pack that hold the gram, ``fields`` a number for each
+    with a bit per field that holds it. A field that is null holds nothing. All grams of an
+    article come from its own row, so nothing is shuffled to build them.
     """
     texts = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"f{k}") for k, f in enumerate(fields)]
     kind = articles.schema["id"].dataType.simpleString()
-    return articles.select("id", *texts).mapInArrow(_emit(len(fields)), f"gram long, id {kind}, fields int")
+    return articles.select("id", *texts).mapInArrow(_emit(len(fields)), f"gram long, n long, ids array<{kind}>, fields array<int>")
 
 
 class GramIndex:
@@ -98,10 +124,11 @@ def write_gram_index(articles: DataFrame, fields: Sequence[str], path: str) -> G
     """Build the index and store it below ``path``, replacing what is there."""
     spark = articles.sparkSession
     rows = gram_postings(articles, fields)
-    # A gram that most articles have fills many partitions: ids are part of the order.
-    rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    # A gram that most articles have goes to many tasks, by the first article of each row.
+    dealt = rows.repartition("gram", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SPREAD)))
+    dealt.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
-    stored.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
+    stored.groupBy("gram").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
     return GramIndex(spark, path, fields)
 
 
@@ -130,7 +157,9 @@ def candidates(needles: Sequence[Needle], index: GramIndex) -> DataFrame:
     known = F.count(F.lit(1)).over(Window.partitionBy("needle_no"))
     picked = counted.select("needle_no", "gram", "mask", "n_grams", rank.alias("r"), known.alias("known")).filter("known = n_grams").filter(F.col("r") <= LOOKED_UP)
     wanted = picked.select("needle_no", "gram", "mask", F.least("n_grams", F.lit(LOOKED_UP)).alias("needed"))
-    hits = index.postings.join(F.broadcast(wanted), "gram").withColumn("both", F.col("fields").bitwiseAND(F.col("mask")))
+    packs = index.postings.filter(F.col("gram").isin(sorted({gram for _, gram, _, _ in rows}))).drop("n").join(F.broadcast(wanted), "gram")
+    listed = packs.select("needle_no", "needed", "mask", F.inline(F.arrays_zip("ids", "fields"))).withColumnRenamed("ids", "id")
+    hits = listed.withColumn("both", F.col("fields").bitwiseAND(F.col("mask")))
     met = hits.groupBy("needle_no", "id", "needed").agg(F.count(F.lit(1)).alias("n"), F.bit_and("both").alias("both"))
     return met.filter("n = needed and both <> 0").select("needle_no", "id")
 

@@ -133,6 +133,14 @@ def test_rows_of_an_id_are_packed_together(monkeypatch):
     assert packs == [{"x": ([None], [2]), "y": ([None], [1])}, {"x": ([3], [1]), "y": ([3], [1])}, {"x": ([4], [1])}]
 
 
+def test_grams_hold_many_articles_in_a_row(articles, tmp_path):
+    """A gram has a row per pack of articles, not one per article."""
+    index = substrings.write_gram_index(search.tag_names(articles), search.SIX_FIELDS, str(tmp_path / "grams"))
+    sizes = index.postings.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.sum(F.size("ids")).alias("ids"), F.countDistinct("gram").alias("grams")).first()
+    assert sizes["n"] == sizes["ids"] == index.counts.agg(F.sum("n")).first()[0]
+    assert sizes["rows"] <= 4 * sizes["grams"] < sizes["n"]
+
+
 def test_texts_are_not_shuffled_by_outlet(spark, tmp_path):
     from pressline.plans import search as plans
     from pressline.plans.model import Model
