@@ -360,3 +360,19 @@ def test_suggestions_for_many_texts_equal_one_by_one(spark):
     got = sorted(tuple(r) for r in search.suggest_many(requests, suffixes, search.short_suggestions(suffixes)).collect())
     want = sorted((n, *r) for n, text in enumerate(texts) if text is not None for r in search.suggestions(articles, categories, sources, text, as_of).collect())
     assert got == want and len(got) > 50
+
+
+def test_rounds_of_few_edges_use_few_tasks(spark):
+    """Rounds of a small edge set leave few files, however many partitions the session has."""
+    from pressline.operators.graph import LEAST_TASKS, connected_components
+
+    keep = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = connected_components(spark.createDataFrame([(k, k + 1) for k in range(50)] + [(90, 95)], "src bigint, dst bigint"))
+        assert found.rdd.getNumPartitions() <= LEAST_TASKS
+        assert {(r.id, r.component) for r in found.collect()} == {(k, 0) for k in range(51)} | {(90, 90), (95, 90)}
+    finally:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
