@@ -362,6 +362,22 @@ def test_suggestions_for_many_texts_equal_one_by_one(spark):
     assert got == want and len(got) > 50
 
 
+def test_edges_of_one_task_and_rounds_give_the_same_components(spark, monkeypatch):
+    from pressline.operators import graph
+
+    edges = [(k, k + 1) for k in range(300, 360)] + [(5, 5), (None, 3), (9, 7), (7, 8), (400, 359), (2, None)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    found = lambda: {(r.id, r.component) for r in graph.connected_components(df).collect()}
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one", "")
+    one = found()
+    spark.sparkContext.setJobGroup("rounds", "")
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", 0)
+    assert one == found() == {(k, 300) for k in range(300, 361)} | {(400, 300), (7, 7), (8, 7), (9, 7)}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 3 * len(jobs.getJobIdsForGroup("one")) < len(jobs.getJobIdsForGroup("rounds"))
+
+
 def test_rounds_of_few_edges_use_few_tasks(spark):
     """Rounds of a small edge set leave few files, however many partitions the session has."""
     from pressline.operators.graph import LEAST_TASKS, connected_components

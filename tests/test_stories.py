@@ -173,6 +173,40 @@ def test_groups_do_not_depend_on_the_block_size(spark):
     assert label(13) == whole
 
 
+def test_links_inside_a_label_are_not_compared_again(spark, monkeypatch):
+    """Many articles: what a few connect is left out of later comparisons, with the groups of all pairs."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        vector = [1.0, rng.gauss(0, 0.4), rng.gauss(0, 0.4)] if i % 4 else [rng.gauss(0, 1) for _ in range(3)]
+        rows.append((i, vector, AS_OF - timedelta(hours=rng.randint(0, 1500)), None, 1, [f"person:{rng.randint(0, 5)}"]))
+    df = spark.createDataFrame(rows, ARTICLE)
+    groups = lambda: {r.article_id: r.group_id for r in stories.same_event_groups(df, now()).collect()}
+    whole = groups()
+    compared, real = [], similarity.compare_blocks
+
+    def counted(left, right, *more):
+        compared.append((left.count(), right.count()))
+        return real(left, right, *more)
+
+    monkeypatch.setattr(similarity, "compare_blocks", counted)
+    monkeypatch.setattr(stories, "SEED_ARTICLES", 16)
+    monkeypatch.setattr(stories, "SEED_GROWTH", 5)
+    assert groups() == whole and 1 < len(set(whole.values())) < 100
+    (first, few), (second, more), (last, every) = compared
+    assert first == 400 and few < 90 and few < more < every and last < second < 200, compared
+
+
+def test_two_older_stories_are_found_in_order():
+    """The two most similar stories, the first in story order where cosines are equal."""
+    import pandas as pd
+
+    stored = pd.DataFrame({"story_id": [1, 2, 3, 4], "centroid": [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [float("nan"), 1.0]], "entity_set": [[]] * 4, "last_seen": [5, 9, 7, 9], "importance": [1] * 4})
+    new = pd.DataFrame({"article_id": [8, 9], "embedding": [[1.0, 0.0], [1.0, 1.0]], "entity_set": [[], []]})
+    found = stories._revival_block(new, stored)
+    assert list(zip(found["article_id"], found["story_id"])) == [(8, 3), (8, 1), (9, 2), (9, 3)]
+
+
 def test_forest_connects_what_is_linked():
     linked = np.zeros((3, 3), dtype=bool)
     linked[0, 0] = linked[1, 0] = linked[1, 2] = True
