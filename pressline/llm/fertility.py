@@ -9,7 +9,6 @@ tokens and the entropy of the tokens, and rejects a text outside the band of its
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from pressline.llm.columns import as_before, set_aside
-from pressline.llm.memo import TokenMemo, joined
+from pressline.llm.memo import TokenMemo, give_back, joined
 from pressline.llm.textarrays import SPACE, occurrence, slices, span_hashes, split_lines, split_words, window_hashes, window_starts, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -90,10 +89,9 @@ _loaded: dict[str, tuple] = {}
 
 
 def _release() -> None:
-    """Give up what a task remembered, so that idle workers leave the executor's memory to later stages."""
+    """Give up what a task remembered."""
     _loaded.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _vocabulary(path: str) -> tuple[TokenMemo, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pressline.llm.textarrays import mix, sequence_hashes, slices, split_words, word_hashes
-from pressline.llm.word_bpe import load
+from pressline.llm.word_bpe import forget, load
 
 LENGTH = 2048
 END = 1  # the id that closes every document
@@ -177,6 +177,7 @@ def _pack(path: str, length: int):
                 yield packer.batch()
         packer.finish()
         yield packer.batch()
+        forget()
 
     return pack
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Sequence
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 from pressline.llm.textarrays import ranges
 
-ENTRIES = 300_000
+ENTRIES = 150_000
 
 
 def joined(found: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -18,6 +20,12 @@ def joined(found: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.fromiter(chain.from_iterable(found), np.uint16, int(lengths.sum()))
 
 
+def give_back() -> None:
+    """Return what a task has given up, so that idle workers leave the executor's memory to later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class TokenMemo:
     """Maps words to runs in one flat array of token ids.
 
@@ -29,6 +37,10 @@ class TokenMemo:
 
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], entries: int = ENTRIES):
         self.encode, self.entries = encode, entries
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew without any word."""
         self.place: dict[Hashable, int] = {}
         self.ids = np.zeros(1 << 16, np.uint16)
         self.start = np.zeros(1 << 14, np.int64)

@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 
-from pressline.llm.memo import TokenMemo, joined
+from pressline.llm.memo import TokenMemo, give_back, joined
 
 # How the vocabulary's own file splits a text without white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -18,7 +18,7 @@ PLAIN_LINE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-į\u0131-ɏ ]++|[.,;:!?](?![.,;
 MARKS = ".,;:!?"
 
 WHOLE = "\0"  # marks a part that is encoded by itself
-PARTS = 450_000
+PARTS = 300_000
 
 
 class WordBpe:
@@ -112,3 +112,11 @@ def load(path: str) -> WordBpe:
     if path not in _loaded:
         _loaded[path] = WordBpe(path)
     return _loaded[path]
+
+
+def forget() -> None:
+    """Give up what the worker's encoders remember of a task's texts."""
+    for encoder in _loaded.values():
+        encoder.parts.forget()
+        encoder.words.forget()
+    give_back()

@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import public_tokenizers as P
 
-from pressline.llm import boosted_trees, fertility, hilbert_packing, token_counts
+from pressline.llm import boosted_trees, fertility, hilbert_packing, token_counts, word_bpe
 from pressline.llm.memo import TokenMemo, joined
 from pressline.llm.word_bpe import WordBpe
 
@@ -87,6 +89,16 @@ def test_packing_round_trip(docs):
         assert total <= 2048 and total & (total - 1) == 0  # nothing needs padding
 
 
+def test_a_packing_task_remembers_nothing_after_its_end(monkeypatch):
+    task = SimpleNamespace(partitionId=lambda: 0)
+    monkeypatch.setattr(hilbert_packing, "TaskContext", SimpleNamespace(get=lambda: task))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some plain words", "other words_with 3 marks"]})
+    for _ in range(2):  # a second task of the same worker gives the same ids
+        pieces = [r for part in hilbert_packing._pack(P.path("word_bpe_49k.json"), 2048)(iter([batch])) for r in part.to_pylist()]
+        assert sum(r["length"] for r in pieces) == sum(len(ids) + 1 for ids in WordBpe(P.path("word_bpe_49k.json")).encode(batch["text"].to_pylist()))
+        assert [(len(e.parts.place), len(e.words.place), e.parts.used) for e in word_bpe._loaded.values()] == [(0, 0, 0)]
+
+
 def test_hilbert_neighbours_touch():
     import itertools
 
