@@ -296,55 +296,86 @@ def breaking_audience(
     many join keys. An item with several matching keys counts at the first of them.
 
     A user brings along the unsent items' articles of the last day, so the pairs are final
-    where they arise and are never shuffled. With ``counted`` they also have the user's
-    active tokens (``n_tokens``) and whether the pair may come again (``may_repeat``: an item
-    or a profile with several rows), for :func:`breaking_delivery_stats`.
+    where they arise and are never shuffled. With ``counted`` there are counts for
+    :func:`breaking_delivery_stats` instead, and no pairs.
     """
     everyone = F.array(F.lit("all"))
     unsent = breaking.filter("NOT is_sent")
     items = unsent.select(
         F.col("id").alias("breaking_id"), "article_id", _keys("c", F.col("target_categories")).alias("_c"), _keys("s", F.col("target_sources")).alias("_s")
     )
+    wanted = F.when(F.size("_c") > 0, F.col("_c")).when(F.size("_s") > 0, F.col("_s")).otherwise(everyone)
+    offers = items.select("breaking_id", "article_id", F.array_distinct(wanted).alias("_wanted"), "_s")
+    keys = F.concat(everyone, _keys("c", F.col("preferred_categories")), _keys("s", F.col("followed_sources")))
     per_user = tokens.filter("is_active").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    users = per_user.join(profiles.select("user_id", "preferred_categories", "followed_sources"), "user_id", "left")
-    carried = ["n_tokens"] if counted else []
+    users = per_user.join(profiles.select("user_id", "preferred_categories", "followed_sources"), "user_id", "left").select("user_id", "n_tokens", keys.alias("_own"))
+    recent = history.filter((F.col("sent_at") >= hours_before(as_of, 24)) & F.col("user_id").isNotNull()).select("user_id", "article_id")
+    recent = recent.join(unsent.select("article_id"), "article_id", "left_semi")
     if counted:
-        several = lambda key: F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
-        items = items.withColumn("_item_repeats", several("breaking_id"))
-        users = users.withColumn("_user_repeats", several("user_id"))
-        carried.append("_user_repeats")
-    wanted = F.when(F.size("_c") > 0, F.col("_c")).when(F.size("_s") > 0, F.col("_s")).otherwise(everyone)
-    offered = items.withColumn("_wanted", F.array_distinct(wanted)).withColumn("_key", F.explode("_wanted")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    recent = history.filter(F.col("sent_at") >= hours_before(as_of, 24)).select("user_id", "article_id")
-    recent = recent.join(unsent.select("article_id"), "article_id", "left_semi").groupBy("user_id").agg(F.collect_set("article_id").alias("_recent"))
+        return _breaking_counts(offers, users.filter(F.col("user_id").isNotNull()), recent, salts)
+
+    offered = offers.withColumn("_key", F.explode("_wanted")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    recent = recent.groupBy("user_id").agg(F.collect_set("article_id").alias("_recent"))
     # Users who read the same travel together; the few with articles of the last day by these too.
-    keys = F.concat(everyone, _keys("c", F.col("preferred_categories")), _keys("s", F.col("followed_sources")))
     salt = F.pmod(F.xxhash64("user_id"), F.lit(salts)).cast("int")
-    own = users.join(recent, "user_id", "left").groupBy(keys.alias("_own"), salt.alias("_salt"), "_recent").agg(
-        F.collect_list(F.struct("user_id", *carried)).alias("_users")
-    )
+    own = users.join(recent, "user_id", "left").groupBy("_own", salt.alias("_salt"), "_recent").agg(F.collect_list(F.struct("user_id")).alias("_users"))
     reading = own.withColumn("_key", F.explode(F.array_distinct("_own")))
     first = (F.size("_wanted") == 1) | (F.get(F.array_intersect("_wanted", "_own"), F.lit(0)) == F.col("_key"))
     from_outlet = (F.size("_s") == 0) | F.arrays_overlap("_s", "_own")
     unseen = ~F.coalesce(F.array_contains("_recent", F.col("article_id")), F.lit(False))
     met = offered.join(reading, ["_key", "_salt"]).filter(first & from_outlet & unseen)
-    own_columns = ["breaking_id", "article_id", *(["_item_repeats"] if counted else [])]
-    pairs = met.select(*own_columns, F.inline("_users"))
-    shown = ["n_tokens", (F.col("_item_repeats") | F.col("_user_repeats")).alias("may_repeat")] if counted else []
-    return pairs.select("breaking_id", "article_id", "user_id", *shown)
+    return met.select("breaking_id", "article_id", F.inline("_users"))
 
 
-def breaking_delivery_stats(audience: DataFrame) -> DataFrame:
-    """Recipients and deliveries per item, of a :func:`breaking_audience` with ``counted``.
+def _n_fitting(targets: Column, profiles: Column) -> Column:
+    """The pairs of an item's rows and a user's profiles that fit, by the rules of :func:`breaking_audience`."""
+    fits = lambda t, own: F.get(F.array_intersect(t["_wanted"], own), F.lit(0)).isNotNull() & (
+        (F.size(t["_s"]) == 0) | F.coalesce(F.arrays_overlap(t["_s"], own), F.lit(False))
+    )
+    of_row = lambda t: F.size(F.filter(profiles, lambda own: fits(t, own))).cast("bigint")
+    return F.aggregate(targets, F.lit(0).cast("bigint"), lambda n, t: n + of_row(t))
+
+
+def _breaking_counts(offers: DataFrame, users: DataFrame, recent: DataFrame, salts: int) -> DataFrame:
+    """``(breaking_id, recipients, deliveries)``, to be added up per item.
 
-    Pairs are counted where they are; only those that may come again are told apart by user.
+    Items with the same targets and users with the same profiles are counted as classes, as if
+    no one had got anything; rows with negative counts take off the users that had got the
+    article within the last day. All rows of an id are one item, and all profiles of a user one
+    user, so each user is a recipient once, while every fitting row counts for the deliveries.
     """
-    again = F.when(F.col("may_repeat"), F.col("user_id"))
-    return audience.filter(F.col("user_id").isNotNull()).groupBy("breaking_id").agg(
-        (F.count_if(~F.col("may_repeat")) + F.countDistinct(again)).alias("total_recipients"), F.sum("n_tokens").alias("successful_deliveries")
+    asked = offers.groupBy("breaking_id").agg(F.collect_list(F.struct("article_id", F.struct("_wanted", "_s").alias("t"))).alias("_rows"))
+    asked = asked.withColumn("_targets", F.array_sort(F.transform("_rows", lambda r: r["t"])))
+    fans = users.groupBy("user_id", "n_tokens").agg(F.array_sort(F.collect_list("_own")).alias("_profiles"))
+
+    wanted, own = F.array_distinct(F.flatten(F.transform("_targets", lambda t: t["_wanted"]))), F.array_distinct(F.flatten("_profiles"))
+    offered = asked.select("_targets").distinct().withColumn("_wanted", wanted).withColumn("_key", F.explode("_wanted")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
+    reading = fans.groupBy("_profiles").agg(F.count(F.lit(1)).alias("n_users"), F.sum("n_tokens").alias("n_tokens")).withColumn("_own", own).withColumn(
+        "_key", F.explode("_own")
+    ).withColumn("_salt", F.pmod(F.xxhash64("_profiles"), F.lit(salts)).cast("int"))
+    first = F.get(F.filter(F.array_intersect("_wanted", "_own"), lambda k: k.isNotNull()), F.lit(0)) == F.col("_key")
+    met = offered.join(reading, ["_key", "_salt"]).filter(first).withColumn("_n", _n_fitting(F.col("_targets"), F.col("_profiles"))).filter("_n > 0")
+    reach = met.groupBy("_targets").agg(F.sum("n_users").alias("recipients"), F.sum(F.col("_n") * F.col("n_tokens")).alias("deliveries"))
+    counts = asked.join(reach, "_targets").select("breaking_id", "recipients", "deliveries")
+
+    pairs = recent.distinct().join(offers.select("article_id", "breaking_id").distinct(), "article_id")
+    known = pairs.groupBy("breaking_id", "user_id").agg(F.collect_set("article_id").alias("_seen")).join(fans, "user_id")
+    known = known.alias("k").join(asked.alias("a"), F.expr("k.breaking_id <=> a.breaking_id")).select("k.*", "a._rows")
+    had = lambda r: F.coalesce(F.array_contains("_seen", r["article_id"]), F.lit(False))
+    fitting = lambda keep: _n_fitting(F.transform(F.filter("_rows", keep), lambda r: r["t"]), F.col("_profiles"))
+    known = known.select("breaking_id", "n_tokens", fitting(had).alias("_lost"), fitting(lambda r: ~had(r)).alias("_left"))
+    taken = known.filter("_lost > 0").select(
+        "breaking_id", F.when(F.col("_left") == 0, F.lit(-1)).otherwise(0).cast("bigint").alias("recipients"), (-F.col("_lost") * F.col("n_tokens")).alias("deliveries")
+    )
+    return counts.unionByName(taken)
+
+
+def breaking_delivery_stats(audience: DataFrame) -> DataFrame:
+    """Recipients and deliveries per item that reaches anyone, of a :func:`breaking_audience` with ``counted``."""
+    totals = audience.groupBy("breaking_id").agg(F.sum("recipients").alias("total_recipients"), F.sum("deliveries").alias("successful_deliveries"))
+    return totals.filter("total_recipients > 0")
 
 
 def pending_alerts(alerts: DataFrame, limit: int = 20) -> DataFrame:

@@ -309,6 +309,57 @@ def test_breaking_pairs_are_final_where_they_arise(spark):
     assert {(r.breaking_id, r.total_recipients, r.successful_deliveries) for r in stats.collect()} == {(1, 3, 6), (2, 2, 11), (4, 3, 6)}
 
 
+def odd_audience(spark, seed):
+    """Tables with repeated and null keys, and what N10 gives for them, pair by pair."""
+    rng = random.Random(seed)
+    some = lambda values, most: None if rng.random() < 0.1 else [rng.choice(values) for _ in range(rng.randint(0, most))]
+    items = [(rng.choice([None, 1, 2, 3, 4, 5, 6, 7]), rng.choice([None, 100, 101, 102, 103, 104]), rng.choice([True, False, False, None]), some([1, 2, 3], 2), some([7, 8], 2)) for _ in range(25)]
+    tokens = [(rng.choice([None, *range(12)]), str(k), rng.random() < 0.8) for k in range(30)]
+    fans = [(rng.choice([None, *range(12)]), some([1, 2, 3], 2), some([7, 8], 1)) for _ in range(20)]
+    history = [(rng.choice([None, *range(12)]), rng.choice([None, 100, 101, 102, 103, 104]), AS_OF - timedelta(hours=rng.choice([1, 30]))) for _ in range(40)]
+    active = {}
+    for user, _, on in tokens:
+        if on:
+            active[user] = active.get(user, 0) + 1
+    recent = {(u, a) for u, a, at in history if at > AS_OF - timedelta(hours=24)}
+    pairs = []
+    for breaking_id, article_id, sent, categories, outlets in items:
+        for user in active if sent is False else ():
+            for _, own, sources in [f for f in fans if user is not None and f[0] == user] or [(user, [], [])]:
+                fits = all(not wanted or set(wanted) & set(has or []) for wanted, has in ((categories, own), (outlets, sources)))
+                if fits and (None in (user, article_id) or (user, article_id) not in recent):
+                    pairs.append((breaking_id, article_id, user))
+    frames = (
+        spark.createDataFrame(items, "id bigint, article_id bigint, is_sent boolean, target_categories array<int>, target_sources array<int>"),
+        spark.createDataFrame(tokens, "user_id bigint, token string, is_active boolean"),
+        spark.createDataFrame(history, "user_id bigint, article_id bigint, sent_at timestamp"),
+        spark.createDataFrame(fans, "user_id bigint, preferred_categories array<int>, followed_sources array<int>"),
+    )
+    return frames, pairs, active
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_breaking_stats_count_without_pairs(spark, seed):
+    frames, pairs, active = odd_audience(spark, seed)
+    stats = audience.breaking_delivery_stats(audience.breaking_audience(*frames, now(), counted=True)).collect()
+    known = {}
+    for breaking_id, _, user in pairs:
+        if user is not None:
+            known.setdefault(breaking_id, []).append(user)
+    assert {r.breaking_id: (r.total_recipients, r.successful_deliveries) for r in stats} == {
+        b: (len(set(users)), sum(active[u] for u in users)) for b, users in known.items()
+    }
+    # A row per item, and one for each item and user of the last day: none for each pair.
+    items = spark.range(300).selectExpr("id", "id AS article_id", "false AS is_sent", "array(cast(id % 2 AS int)) AS target_categories", "cast(array() AS array<int>) AS target_sources")
+    tokens = spark.range(400).selectExpr("id AS user_id", "'t' AS token", "true AS is_active")
+    fans = spark.range(400).selectExpr("id AS user_id", "array(0, 1) AS preferred_categories", "cast(array() AS array<int>) AS followed_sources")
+    history = spark.createDataFrame([(5, 7, AS_OF), (6, 7, AS_OF)], "user_id bigint, article_id bigint, sent_at timestamp")
+    counts = audience.breaking_audience(items, tokens, history, fans, now(), counted=True)
+    assert counts.count() == 302
+    totals = {r.breaking_id: r.total_recipients for r in audience.breaking_delivery_stats(counts).collect()}
+    assert totals == {b: 398 if b == 7 else 400 for b in range(300)}
+
+
 def test_batches_hold_a_hundred(spark):
     messages = spark.range(1050).selectExpr("1 AS alert_id", "id AS user_id", "concat('t', id) AS token")
     sizes = audience.message_batches(messages, "alert_id", bucket=100).groupBy("batch_no").count().orderBy("batch_no").collect()
