@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -360,6 +361,26 @@ def test_breaking_stats_count_without_pairs(spark, seed):
     assert totals == {b: 398 if b == 7 else 400 for b in range(300)}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_breaking_audience_of_odd_rows(spark, seed):
+    frames, pairs, _ = odd_audience(spark, seed)
+    found = audience.breaking_audience(*frames, now(), salts=2).collect()
+    assert Counter((r.breaking_id, r.article_id, r.user_id) for r in found) == Counter(pairs)
+
+
+def test_breaking_pairs_take_little_room(spark, tmp_path):
+    """Users of one kind recur in the same order for each item, in many tasks, and so take few bytes where they are stored."""
+    items = spark.range(200).selectExpr("id", "id AS article_id", "false AS is_sent", "cast(array() AS array<int>) AS target_categories", "cast(array() AS array<int>) AS target_sources")
+    tokens = spark.range(20000).selectExpr("xxhash64(id) AS user_id", "'t' AS token", "true AS is_active")
+    fans = spark.range(20000).selectExpr("xxhash64(id) AS user_id", "array(cast(id % 2 AS int)) AS preferred_categories", "cast(array() AS array<int>) AS followed_sources")
+    history = spark.range(200).selectExpr("xxhash64(id) AS user_id", "id AS article_id", f"TIMESTAMP '{AS_OF}' AS sent_at")
+    found = audience.breaking_audience(items, tokens, history, fans, now(), salts=8)
+    found.write.parquet(f"{tmp_path}/reached")
+    files = list((tmp_path / "reached").glob("*.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/reached").count() == 200 * 19999
+    assert len(files) > 4 and sum(f.stat().st_size for f in files) < 2_000_000
+
+
 def test_batches_hold_a_hundred(spark):
     messages = spark.range(1050).selectExpr("1 AS alert_id", "id AS user_id", "concat('t', id) AS token")
     sizes = audience.message_batches(messages, "alert_id", bucket=100).groupBy("batch_no").count().orderBy("batch_no").collect()
